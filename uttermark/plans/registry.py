@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uttermark.functions.text import word_tokens
+from uttermark.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def wide(self, name: str, *cols: str) -> DataFrame:
+        """A table for heavy work per row: all cores take part even if it is one file."""
+        return spread(getattr(self, name).select(*cols))
+
     # Views that several queries share; each has a SQL twin below.
 
     @property

@@ -51,3 +51,13 @@ def literal_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFr
         for row in rows
     ]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain scan over all cores when it has fewer partitions than cores.
+
+    Only small inputs (few, unsplittable files) are ever shuffled by this; a large
+    table already has more splits than cores and is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
