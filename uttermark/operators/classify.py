@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from uttermark.operators.match import overlap_partition
 from uttermark.operators.metrics import accuracy
+from uttermark.session import materialise
 
 
 def nb_counts(train: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +41,7 @@ def nb_predict(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     class name.
     """
     words, docs = nb_counts(train)
+    words = materialise(words)  # used four times below
     vocab = words.groupBy("cell", "tok").agg(
         F.map_from_entries(F.collect_list(F.struct("class", "c"))).alias("by_class")  # one per class
     )

@@ -14,24 +14,25 @@ from uttermark.plans.text import DOC_WORDS
 RATIOS = [0.0, 0.1, 0.5, 1.0]
 
 
-def labelled(t):
-    d = t.labels.join(t.documents.select("doc_id", "text"), "doc_id")
-    return d.select(
-        "doc_id", "text",
-        F.concat(F.lit("q"), F.col("quality")).alias("class"),
-        word_tokens(F.col("text")).alias("tokens"),
-    )
+def classes(t):
+    return t.labels.select("doc_id", F.concat(F.lit("q"), F.col("quality")).alias("class"))
+
+
+def with_tokens(t, ids):
+    docs = t.wide("documents", "doc_id", "text")
+    return ids.join(docs, "doc_id").withColumn("tokens", word_tokens(F.col("text")))
 
 
 def experiment(t):
-    """Real = every third document, of which a fifth is the shared test set."""
-    d = labelled(t)
-    ids = d.select("doc_id", "class").where("doc_id % 3 = 0")
-    part = splits.holdout(ids, ["class"], ["doc_id"]).select("doc_id", "split")
-    real = d.join(part, "doc_id")
-    train = real.where("split = 'train'").drop("split")
-    sweep = splits.ratio_sweep(train, d.where("doc_id % 3 > 0"), RATIOS, ["class"], ["doc_id"])
-    return sweep.drop("origin"), real.where("split = 'test'").drop("split")
+    """Real = every third document, of which a fifth is the shared test set.
+
+    The splits rank ids only; the texts are joined once, after all choices are made.
+    """
+    ids = classes(t)
+    part = splits.holdout(ids.where("doc_id % 3 = 0"), ["class"], ["doc_id"])
+    train = part.where("split = 'train'").drop("split")
+    sweep = splits.ratio_sweep(train, ids.where("doc_id % 3 > 0"), RATIOS, ["class"], ["doc_id"])
+    return with_tokens(t, sweep.drop("origin")), with_tokens(t, part.where("split = 'test'").drop("split"))
 
 
 def nb_sql(train):
@@ -89,6 +90,6 @@ SELECT part, CAST(sum(CASE WHEN pred = gold THEN 1 ELSE 0 END) AS BIGINT) AS tp,
 FROM pd JOIN ov USING (doc_id) GROUP BY ROLLUP(part)""",
 )
 def n2(t):
-    d = labelled(t)
+    d = with_tokens(t, classes(t))
     out = classify.partition_baseline(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "doc_id", "text")
     return rounded(out, "accuracy")
