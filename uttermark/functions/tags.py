@@ -103,6 +103,11 @@ def spans(tags: Column) -> Column:
     return runs(tags)
 
 
+def span_values(tokens: Column, tags: Column, build) -> Column:
+    """``build(tokens, span)`` of every span, with the tokens computed once."""
+    return let(tokens, lambda k: F.transform(spans(tags), lambda s: build(k, s)))
+
+
 def span_text(tokens: Column, span: Column) -> Column:
     return F.array_join(F.slice(tokens, span["start"] + 1, span["end"] - span["start"]), " ")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,13 @@ def ratio(num: Column, den: Column, scale: float = 1.0) -> Column:
 
 def f_score(p: Column, r: Column) -> Column:
     return ratio(F.lit(2.0) * p * r, p + r)
+
+
+def unnest(df: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
+    """One row per element of a computed array; null elements are left out.
+
+    A plain ``explode`` makes the optimizer add a filter on the size of the array below
+    it, which computes the array a second time.  The outer form does not.
+    """
+    out = df.select(*keep, F.explode_outer(array).alias(name))
+    return out.where(F.col(name).isNotNull())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from uttermark.functions.tags import begin_tags, spans, span_text, tag_type
 from uttermark.functions.text import opener
-from uttermark.functions.util import ratio
+from uttermark.functions.util import ratio, unnest
 from uttermark.operators.order import exact_percentiles, running
 
 
@@ -31,8 +31,7 @@ def language_table(df: DataFrame, splits: list[str]) -> DataFrame:
     intents = df.select("lang", F.lower("intent").alias("i")).distinct().groupBy("lang").agg(
         F.count("i").alias("n_intents")
     )
-    types = df.select("lang", F.explode(F.transform("tags", tag_type)).alias("ty"))
-    types = types.where(F.col("ty").isNotNull()).distinct().groupBy("lang").agg(
+    types = unnest(df, ["lang"], F.transform("tags", tag_type), "ty").distinct().groupBy("lang").agg(
         F.count("ty").alias("n_slot_types")
     )
     out = sizes.join(intents, "lang", "left").join(types, "lang", "left")
@@ -69,7 +68,7 @@ def label_vocab(df: DataFrame, intent: str, tags: str) -> DataFrame:
     Observed labels are numbered in sorted order, the added I- tags after them.
     """
     intents = df.select(F.lit("intent").alias("kind"), F.col(intent).alias("label"), F.lit(0).alias("step"))
-    seen = df.select(F.explode(tags).alias("label")).distinct()
+    seen = unnest(df, [], F.col(tags), "label").distinct()
     tag_rows = seen.select(F.lit("tag").alias("kind"), "label", F.lit(0).alias("step"))
     inside = seen.where(F.col("label").startswith("B-")).select(
         F.concat(F.lit("I-"), F.substring("label", 3, 2147483647)).alias("label")
@@ -117,7 +116,7 @@ def slot_fillers(df: DataFrame, tokens: str, tags: str, exclude: tuple[str, ...]
     opened = F.filter(
         spans(F.col(tags)), lambda s: F.get(F.col(tags), s["start"]).startswith("B-")
     )
-    rows = df.select(tokens, F.explode(opened).alias("s"))
+    rows = unnest(df, [tokens], opened, "s")
     out = rows.select(F.col("s.label").alias("slot"), span_text(F.col(tokens), F.col("s")).alias("value"))
     return out.where(~F.col("slot").isin(list(exclude))).distinct()
 
@@ -172,7 +171,7 @@ def empty_texts(df: DataFrame, by: list[str], text: str) -> DataFrame:
 
 def slot_histogram(df: DataFrame, tags: str) -> DataFrame:
     """Slot types by number of B- tags."""
-    b = df.select(F.explode(begin_tags(F.col(tags))).alias("tag"))
+    b = unnest(df, [], begin_tags(F.col(tags)), "tag")
     return b.groupBy(F.substring("tag", 3, 2147483647).alias("slot")).agg(
         F.count(F.lit(1)).alias("n")
     )

@@ -20,12 +20,12 @@ from uttermark.functions.text import (
     strip_suffix,
     word_tokens,
 )
-from uttermark.functions.util import let
+from uttermark.functions.util import let, unnest
 
 
 def bio_spans(df: DataFrame, key: list[str], tags: str) -> DataFrame:
     """One row per span: key, ``start``, ``end`` (exclusive), ``label``."""
-    return df.select(*key, F.explode(B.spans(F.col(tags))).alias("s")).select(*key, "s.*")
+    return unnest(df, key, B.spans(F.col(tags)), "s").select(*key, "s.*")
 
 
 def slots_to_bio(df: DataFrame, tokens: str, slots: str, on_overlap: str = "next") -> DataFrame:
@@ -83,15 +83,18 @@ def _project(tokens: Column, slots: Column, translations: Column, find) -> Colum
     """Place each source slot by its translated value, else by its source value; a place
     that is taken gives the slot up."""
 
-    def step(acc: Column, t: Column, s: Column) -> Column:
+    def step(acc: Column, t: Column, s: Column, tr: Column) -> Column:
         def place(v: Column) -> Column:
             own = F.when(v != s["value"], find(t, s["value"]))
             return let(F.coalesce(find(t, v), own), lambda p: B.put(acc, p, s["slot_type"]))
 
         ok = B.usable(s["slot_type"], s["value"])
-        return F.when(ok, let(_translated(s, translations), place)).otherwise(acc)
+        return F.when(ok, let(_translated(s, tr), place)).otherwise(acc)
 
-    return B.fold_slots(tokens, slots, step)
+    def fold(t: Column, tr: Column) -> Column:
+        return F.aggregate(slots, B.blank_tags(t), lambda acc, s: step(acc, t, s, tr))
+
+    return let(tokens, lambda t: let(translations, lambda tr: fold(t, tr)))
 
 
 def _caseless(tokens: Column, value: Column, free_in: Column | None = None) -> Column:
@@ -236,11 +239,11 @@ def chunks_to_bio(df: DataFrame, chunks: str) -> DataFrame:
     )
 
 
-def _cut_chunks(tokens: Column, tags: Column) -> Column:
+def _cut_chunks(words: Column, tags: Column) -> Column:
     """A chunk starts at a B- tag and where O follows a slot.  An I- tag with no slot
     before it takes the plain words before it into its slot."""
 
-    def body(t: Column) -> Column:
+    def body(tokens: Column, t: Column) -> Column:
         n = F.size(t)
         cuts = F.filter(
             F.sequence(F.lit(0), n),
@@ -256,10 +259,10 @@ def _cut_chunks(tokens: Column, tags: Column) -> Column:
             def chunk(s: Column, e: Column) -> Column:
                 typed = F.filter(F.slice(t, s + 1, e - s), lambda x: x != "O")
                 slot = B.tag_type(F.get(typed, F.lit(0)))
-                words = F.array_join(F.slice(tokens, s + 1, e - s), " ")
+                span = F.array_join(F.slice(tokens, s + 1, e - s), " ")
                 before = F.when(s > 0, " ").otherwise("")
                 after = F.when(e < n, " ").otherwise("")
-                text = F.when(slot.isNull(), F.concat(before, words, after)).otherwise(words)
+                text = F.when(slot.isNull(), F.concat(before, span, after)).otherwise(span)
                 return F.struct(text.alias("text"), slot.alias("slot_name"))
 
             return F.zip_with(F.slice(c, F.lit(1), k), F.slice(c, F.lit(2), k), chunk)
@@ -268,7 +271,7 @@ def _cut_chunks(tokens: Column, tags: Column) -> Column:
             F.array().cast("array<struct<text:string,slot_name:string>>")
         )
 
-    return let(tags, body)
+    return let(words, lambda tokens: let(tags, lambda t: body(tokens, t)))
 
 
 def bio_to_chunks(df: DataFrame, tokens: str, tags: str) -> DataFrame:

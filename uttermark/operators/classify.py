@@ -12,6 +12,7 @@ from pyspark.ml.feature import HashingTF, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from uttermark.functions.util import unnest
 from uttermark.operators.match import overlap_partition
 from uttermark.operators.metrics import accuracy
 from uttermark.session import materialise
@@ -23,7 +24,7 @@ def nb_counts(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``train``: ``cells array<string>, class, tokens array<string>``.  Rows with the same
     list of cells are counted together first; the lists are opened on the counts.
     """
-    words = train.select("cells", "class", F.explode("tokens").alias("tok"))
+    words = unnest(train, ["cells", "class"], F.col("tokens"), "tok")
     w = words.groupBy("cells", "class", "tok").agg(F.count(F.lit(1)).alias("c"))
     w = w.select(F.explode("cells").alias("cell"), "class", "tok", "c")
     w = w.groupBy("cell", "class", "tok").agg(F.sum("c").alias("c"))
@@ -42,9 +43,7 @@ def nb_predict(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     """
     words, docs = nb_counts(train)
     words = materialise(words)  # used four times below
-    vocab = words.groupBy("cell", "tok").agg(
-        F.map_from_entries(F.collect_list(F.struct("class", "c"))).alias("by_class")  # one per class
-    )
+    vocab = words.select("cell", "tok").distinct()
     size = vocab.groupBy("cell").agg(F.count(F.lit(1)).alias("v"))
     mass = words.groupBy("cell", "class").agg(F.sum("c").alias("t"))
     total = docs.groupBy("cell").agg(F.sum("n_docs").alias("n_cell"))
@@ -58,15 +57,12 @@ def nb_predict(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     )
     # One row: cells x classes, whose number the experiment fixes.
     table = prior.agg(F.collect_list(F.struct("cell", "class", "prior", "denom")).alias("_p"))
-    model = vocab.groupBy("tok").agg(F.collect_list(F.struct("cell", "by_class")).alias("per_cell"))
 
-    bag = test.select(key, F.explode("tokens").alias("tok")).groupBy(key, "tok").agg(
+    bag = unnest(test, [key], F.col("tokens"), "tok").groupBy(key, "tok").agg(
         F.count(F.lit(1)).alias("k")
     )
-    seen = bag.join(model, "tok").select(key, "k", F.explode("per_cell").alias("m"))
-    known = seen.groupBy(key, F.col("m.cell").alias("cell")).agg(F.sum("k").alias("n_known"))
-    hits = seen.select(key, "k", F.col("m.cell").alias("cell"), F.explode("m.by_class").alias("class", "c"))
-    hits = hits.groupBy(key, "cell", "class").agg(
+    known = bag.join(vocab, "tok").groupBy(key, "cell").agg(F.sum("k").alias("n_known"))
+    hits = bag.join(words, "tok").groupBy(key, "cell", "class").agg(
         F.sum(F.col("k") * F.log((F.col("c") + 1).cast("double"))).alias("s")
     )
     base = test.select(key).crossJoin(table).select(key, F.inline("_p"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from uttermark.functions.text import bleu13a_tokens, ngrams, normalize, rouge_tokens, word_tokens
-from uttermark.functions.util import let, ratio
+from uttermark.functions.util import let, ratio, unnest
 from uttermark.session import materialise
 
 
@@ -34,20 +35,14 @@ def exact_match_rate(cands: DataFrame, originals: DataFrame, text: str) -> DataF
     return out.withColumn("match_pct", ratio(F.col("n_matches"), F.col("n_candidates"), 100.0))
 
 
-def _with_order(n: int) -> Callable[[Column], Column]:
-    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
-
-
 def gram_rows(df: DataFrame, text: str, max_n: int) -> DataFrame:
-    """``(n, gram)`` rows of every text, distinct inside the text already."""
-    per_n = [
-        F.transform(
-            F.array_distinct(ngrams(F.col("_tok"), n)), _with_order(n)
-        )
-        for n in range(1, max_n + 1)
-    ]
+    """One row ``gram`` per n-gram of every order up to ``max_n``.
+
+    Words hold no space, so the order can be told from the n-gram itself.
+    """
     d = df.select(word_tokens(F.col(text)).alias("_tok"))
-    return d.select(F.explode(F.concat(*per_n)).alias("g")).select("g.n", "g.gram")
+    per_n = [ngrams(F.col("_tok"), n) for n in range(1, max_n + 1)]
+    return unnest(d, [], F.concat(*per_n), "gram")
 
 
 def ngram_jaccard(cands: DataFrame, originals: DataFrame, text: str, max_n: int = 5) -> DataFrame:
@@ -59,13 +54,16 @@ def ngram_jaccard(cands: DataFrame, originals: DataFrame, text: str, max_n: int
     both = gram_rows(cands, text, max_n).withColumn("side", F.lit(1)).unionByName(
         gram_rows(originals, text, max_n).withColumn("side", F.lit(2))
     )
-    flags = both.groupBy("n", "gram").agg(F.bit_or("side").alias("sides"))
-    out = flags.groupBy("n").agg(
+    flags = both.groupBy("gram").agg(F.bit_or("side").alias("sides"))
+    n = (F.length("gram") - F.length(F.replace(F.col("gram"), F.lit(" "), F.lit(""))) + 1).alias("n")
+    out = flags.groupBy(n).agg(
         F.count_if(F.col("sides").bitwiseAND(1) > 0).alias("cand_unique"),
         F.count_if(F.col("sides").bitwiseAND(2) > 0).alias("orig_unique"),
         F.count_if(F.col("sides") == 3).alias("shared"),
         F.count(F.lit(1)).alias("_union"),
     )
+    orders = cands.sparkSession.range(1, max_n + 1).select(F.col("id").cast("int").alias("n"))
+    out = orders.join(out, "n", "left").na.fill(0)
     return out.select(
         "n", "cand_unique", "orig_unique", "shared",
         ratio(F.col("shared"), F.col("_union")).alias("jaccard"),
@@ -76,8 +74,8 @@ def ngram_sets(a: DataFrame, b: DataFrame, text: str, n: int) -> DataFrame:
     """Every n-gram of either corpus with the sides it is found on."""
 
     def grams(df, side):
-        g = F.explode(F.array_distinct(ngrams(word_tokens(F.col(text)), n))).alias("gram")
-        return df.select(g).withColumn("side", F.lit(side))
+        g = ngrams(word_tokens(F.col(text)), n)
+        return unnest(df, [], g, "gram").withColumn("side", F.lit(side))
 
     both = grams(a, 1).unionByName(grams(b, 2))
     return both.groupBy("gram").agg(F.bit_or("side").alias("sides"))
@@ -125,7 +123,7 @@ def _elements(texts: DataFrame, prefix: str, n: int) -> DataFrame:
     """One row per n-gram occurrence: id, gram, occurrence number k, text length."""
     toks = F.col(f"{prefix}toks")
     grams = toks if n == 1 else ngrams(toks, n)
-    t = texts.select(f"{prefix}id", F.size(toks).alias(f"{prefix}len"), F.explode(grams).alias("gram"))
+    t = unnest(texts, [f"{prefix}id", F.size(toks).alias(f"{prefix}len")], grams, "gram")
     counts = t.groupBy(f"{prefix}id", f"{prefix}len", "gram").agg(F.count(F.lit(1)).alias("c"))
     k = F.explode(F.sequence(F.lit(1), F.col("c"))).alias("k")
     return counts.select(f"{prefix}id", f"{prefix}len", "gram", k)
@@ -187,7 +185,11 @@ def _run_stage(
     c = cpos.drop("seed", "ctop").join(start, "cid")
     c = c.where(bound(F.col("cleft"), F.col("clen"), F.greatest("cleft", "clen")) > limit)
     live = bound(F.least("cleft", "oleft"), F.col("clen"), F.col("olen")) > limit
-    pairs = c.join(opos, ["gram", "k"]).where(live).select("cid", "oid").distinct()
+    pairs = c.join(opos, ["gram", "k"]).where(live).select("cid", "oid")
+    # An explicit number of partitions, so that the scoring, which is heavy per byte, is
+    # not merged into a few tasks; the distinct below needs no further shuffle.
+    wide = int(ctexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.repartition(wide, "cid", "oid").distinct()
     rest = scored(pairs).unionByName(start)
     return rest.groupBy("cid").agg(F.max("s").alias("s"))
 
@@ -239,16 +241,17 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def clipped_counts(a: pd.Series, b: pd.Series) -> pd.Series:
     """Clipped n-gram matches of two token arrays for n = 1..4."""
-    from collections import Counter
+
+    seen: dict = {}  # counts of the texts of this batch, each text once
+
+    def grams(text):
+        toks = tuple(text)
+        if toks not in seen:
+            seen[toks] = [Counter(zip(*[toks[i:] for i in range(n)])) for n in range(1, 5)]
+        return seen[toks]
 
     def one(x, y):
-        x, y = list(x), list(y)
-        out = []
-        for n in range(1, 5):
-            cx = Counter(zip(*[x[i:] for i in range(n)]))
-            cy = Counter(zip(*[y[i:] for i in range(n)]))
-            out.append(sum((cx & cy).values()))
-        return out
+        return [sum(min(c, o[g]) for g, c in s.items() if g in o) for s, o in zip(grams(x), grams(y))]
 
     return pd.Series([one(x, y) for x, y in zip(a, b)])
 

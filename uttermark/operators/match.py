@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from uttermark.functions.text import canonicalize
-from uttermark.functions.util import ratio
+from uttermark.functions.util import ratio, unnest
 from uttermark.operators.order import first_seen
 
 
@@ -84,7 +84,7 @@ def bag_match(
         df = df.withColumn(pred, F.when(same, F.col(pred)))
 
     def side(col: str, g: int, p: int) -> DataFrame:
-        s = df.select(*key, F.explode(col).alias("_s"))
+        s = unnest(df, key, F.col(col), "_s")
         return s.select(
             *key,
             F.col("_s.slot_name").alias("slot_name"),
@@ -125,7 +125,7 @@ def keyword_confusion(
         for other, patterns in rules.items()
     ]
     found = F.filter(F.array(*hits), lambda h: h["pattern"].isNotNull())
-    out = df.withColumn("_hit", F.explode(found))
+    out = unnest(df, ["*"], found, "_hit")
     return out.select(*df.columns, "_hit.suggested", "_hit.pattern")
 
 

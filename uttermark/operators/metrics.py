@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uttermark.functions.tags import spans
-from uttermark.functions.util import f_score, ratio
+from uttermark.functions.util import f_score, ratio, unnest
 
 
 def norm_label(c: Column) -> Column:
@@ -59,7 +59,7 @@ def prf_by_class(df: DataFrame, gold: str, pred: str, cell: list[str] = ()) -> D
             F.struct(F.col("p").alias("class"), zero.alias("tp"), n.alias("fp"), zero.alias("fn")),
         ),
     )
-    rows = pairs.select(*cell, F.explode(F.filter(arms, lambda a: a.isNotNull())).alias("a"))
+    rows = unnest(pairs, list(cell), arms, "a")
     return _rolled(rows.select(*cell, "a.*"), cell, "class")
 
 
@@ -76,20 +76,24 @@ def span_f1(df: DataFrame, gold: str, pred: str, cell: list[str] = ()) -> DataFr
     A span counts when start, end and type agree.  Both tag lists are in one row, so
     the comparison is a set operation inside the row; only the counts are shuffled.
     """
-    g, p = spans(F.col(gold)), spans(F.col(pred))
-    d = df.select(*cell, g.alias("g"), p.alias("p"))
+    d = df.select(*cell, span_keys(F.col(gold)).alias("g"), span_keys(F.col(pred)).alias("p"))
     hits = F.transform(F.array_intersect("g", "p"), _count_as(1, 0, 0))
     false = F.transform(F.array_except("p", "g"), _count_as(0, 1, 0))
     missed = F.transform(F.array_except("g", "p"), _count_as(0, 0, 1))
-    rows = d.select(*cell, F.explode(F.concat(hits, false, missed)).alias("a")).select(*cell, "a.*")
+    rows = unnest(d, list(cell), F.concat(hits, false, missed), "a").select(*cell, "a.*")
     out = _rolled(rows, cell, "label")
     return out.withColumn("support", F.col("tp") + F.col("fn"))
 
 
+def span_keys(tags: Column) -> Column:
+    """Spans as strings ``start:end:label``, which set operations can hash."""
+    return F.transform(spans(tags), lambda s: F.concat_ws(":", s["start"], s["end"], s["label"]))
+
+
 def _count_as(tp: int, fp: int, fn: int):
-    def one(s: Column) -> Column:
+    def one(key: Column) -> Column:
         return F.struct(
-            s["label"].alias("label"),
+            F.get(F.split(key, ":", 3), F.lit(2)).alias("label"),
             F.lit(tp).cast("bigint").alias("tp"),
             F.lit(fp).cast("bigint").alias("fp"),
             F.lit(fn).cast("bigint").alias("fn"),

@@ -70,16 +70,14 @@ def pick_until(
     cum = running(df.withColumn("_d", d).withColumn("_step", step), [group], order, cell,
                   F.col("_step"), cum="_cum")
     held = F.col("_cum") - F.col("_step")
-    ends = (held >= target) | ((held + F.col("_d") > hi) & (held >= lo))
-    cum = cum.withColumn("_ends", ends)
-    # No row past the target can be kept, so only the rows before it are compared.
-    stop = cum.where("_ends").groupBy(group).agg(F.min("_cum").alias("_stop"))
-    kept = cum.join(stop, group, "left").where(
-        F.col("_stop").isNull() | (F.col("_cum") < F.col("_stop"))
-    )
-    total = kept.groupBy(group).agg(F.max("_cum").alias("total_s"))
-    total = total.where(F.col("total_s") >= lo)
-    return kept.join(total, group).drop("_d", "_step", "_cum", "_ends", "_stop")
+    # Rows past the target are out; what is left is at most target / gap rows per group.
+    rows = cum.where(held < target)
+    ends = (held + F.col("_d") > hi) & (held >= lo)
+    whole = W.partitionBy(group)
+    rows = rows.withColumn("_stop", F.min(F.when(ends, F.col("_cum"))).over(whole))
+    rows = rows.where(F.col("_stop").isNull() | (F.col("_cum") < F.col("_stop")))
+    rows = rows.withColumn("total_s", F.max("_cum").over(whole))
+    return rows.where(F.col("total_s") >= lo).drop("_d", "_step", "_cum", "_stop")
 
 
 def round_robin(df: DataFrame, idx: str, n: int, k: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from uttermark.functions.util import unnest
 from uttermark.operators.order import running
 
 # Ids 0..3 of a word vocabulary.
@@ -25,7 +26,7 @@ def build_vocab(df: DataFrame, tokens: str, min_freq: int = 1) -> DataFrame:
     The order is global: cells of (count, first letters) keep it out of a single task,
     although most words of a large corpus share the count 1.
     """
-    words = df.select(F.explode(tokens).alias("word")).groupBy(F.lower("word").alias("word"))
+    words = unnest(df, [], F.col(tokens), "word").groupBy(F.lower("word").alias("word"))
     counts = words.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_freq)
     cell = F.struct((-F.col("n")).alias("c"), F.substring("word", 1, 4).alias("w"))
     out = running(counts, [], [F.desc("n"), F.col("word")], cell)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from uttermark.functions.text import word_tokens
+from uttermark.functions.util import unnest
 from uttermark.operators import audit, vocab
 from uttermark.operators.order import exact_percentiles, first_n, most_common
 from uttermark.plans.registry import SQL_WORD, TAGGED_SQL, TURNS_SQL, query, spans_sql
@@ -255,7 +256,7 @@ def e30_kw(t):
     f"""WITH {TURNS_SQL} SELECT word, count(*) AS n FROM (SELECT unnest(tokens) AS word FROM turns) GROUP BY 1 ORDER BY n DESC, word LIMIT 20""",
 )
 def g1(t):
-    return most_common(t.turns.select(F.explode("tokens").alias("word")), ["word"], 20)
+    return most_common(unnest(t.turns, [], F.col("tokens"), "word"), ["word"], 20)
 
 
 @query(
@@ -285,7 +286,7 @@ SELECT value, count(*) AS n FROM w WHERE role = 'user' AND value NOT IN ('the',
   AND value NOT IN (SELECT value FROM w WHERE role = 'assistant') GROUP BY 1""",
 )
 def h2(t):
-    w = t.turns.select("role", F.explode("tokens").alias("value"))
+    w = unnest(t.turns, ["role"], F.col("tokens"), "value")
     return vocab.unseen_values(
         w.where("role = 'user'"), w.where("role = 'assistant'"), "value", ["the", "and"]
     )
@@ -298,5 +299,5 @@ SELECT value, CASE WHEN bool_or(role = 'user') THEN 'only_a' ELSE 'only_b' END A
 GROUP BY value HAVING count(DISTINCT role) = 1""",
 )
 def h3(t):
-    w = t.turns.select("role", F.explode("tokens").alias("value"))
+    w = unnest(t.turns, ["role"], F.col("tokens"), "value")
     return vocab.vocab_diff(w.where("role = 'user'"), w.where("role = 'system'"), "value")

@@ -170,12 +170,10 @@ def slot_pairs(t):
     """Gold and predicted slot values of each turn, cut from two tag rules."""
 
     def slots(tag_col):
-        return F.transform(
-            tags.spans(F.col(tag_col)),
-            lambda s: F.struct(
-                s["label"].alias("slot_name"), tags.span_text(F.col("tokens"), s).alias("raw_value")
-            ),
-        )
+        def slot(k, s):
+            return F.struct(s["label"].alias("slot_name"), tags.span_text(k, s).alias("raw_value"))
+
+        return tags.span_values(F.col("tokens"), F.col(tag_col), slot)
 
     role = F.col("role")
     return t.tagged.select(

@@ -36,7 +36,7 @@ class Tables:
     @property
     def turns(self) -> DataFrame:
         """One row per conversation turn, with tokens."""
-        return self.conversations.select(
+        return self.wide("conversations", "*").select(
             (F.col("conv_id") * 100000 + F.col("turn")).alias("utt_id"),
             "conv_id",
             "turn",
