@@ -116,8 +116,8 @@ def slot_fillers(df: DataFrame, tokens: str, tags: str, exclude: tuple[str, ...]
     opened = F.filter(
         spans(F.col(tags)), lambda s: F.get(F.col(tags), s["start"]).startswith("B-")
     )
-    rows = unnest(df, [tokens], opened, "s")
-    out = rows.select(F.col("s.label").alias("slot"), span_text(F.col(tokens), F.col("s")).alias("value"))
+    rows = unnest(df, [tokens], opened, "_s")
+    out = rows.select(F.col("_s.label").alias("slot"), span_text(F.col(tokens), F.col("_s")).alias("value"))
     return out.where(~F.col("slot").isin(list(exclude))).distinct()
 
 

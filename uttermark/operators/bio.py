@@ -25,7 +25,7 @@ from uttermark.functions.util import let, unnest
 
 def bio_spans(df: DataFrame, key: list[str], tags: str) -> DataFrame:
     """One row per span: key, ``start``, ``end`` (exclusive), ``label``."""
-    return unnest(df, key, B.spans(F.col(tags)), "s").select(*key, "s.*")
+    return unnest(df, key, B.spans(F.col(tags)), "_s").select(*key, "_s.*")
 
 
 def slots_to_bio(df: DataFrame, tokens: str, slots: str, on_overlap: str = "next") -> DataFrame:

@@ -59,15 +59,15 @@ def nb_predict(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     table = prior.agg(F.collect_list(F.struct("cell", "class", "prior", "denom")).alias("_p"))
 
     bag = unnest(test, [key], F.col("tokens"), "tok").groupBy(key, "tok").agg(
-        F.count(F.lit(1)).alias("k")
+        F.count(F.lit(1)).alias("_k")
     )
-    known = bag.join(vocab, "tok").groupBy(key, "cell").agg(F.sum("k").alias("n_known"))
+    known = bag.join(vocab, "tok").groupBy(key, "cell").agg(F.sum("_k").alias("n_known"))
     hits = bag.join(words, "tok").groupBy(key, "cell", "class").agg(
-        F.sum(F.col("k") * F.log((F.col("c") + 1).cast("double"))).alias("s")
+        F.sum(F.col("_k") * F.log((F.col("c") + 1).cast("double"))).alias("_s")
     )
     base = test.select(key).crossJoin(table).select(key, F.inline("_p"))
     scored = base.join(known, [key, "cell"], "left").join(hits, [key, "cell", "class"], "left")
-    score = F.col("prior") + F.coalesce("s", F.lit(0.0)) - F.coalesce("n_known", F.lit(0)) * F.col("denom")
+    score = F.col("prior") + F.coalesce("_s", F.lit(0.0)) - F.coalesce("n_known", F.lit(0)) * F.col("denom")
     scored = scored.withColumn("score", F.round(score, 6))
     best = F.min_by("class", F.struct((-F.col("score")).alias("a"), F.col("class").alias("b")))
     return scored.groupBy("cell", key).agg(best.alias("pred"))

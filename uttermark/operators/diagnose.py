@@ -29,17 +29,17 @@ def group_error_spread(df: DataFrame, group: str, correct: str) -> DataFrame:
 def eta_squared(df: DataFrame, group: str, correct: str) -> DataFrame:
     """Share of the variance of ``correct`` that lies between the groups; 0 if none."""
     x = F.col(correct).cast("double")
-    g = df.groupBy(group).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q")
+    per = df.groupBy(group).agg(
+        F.count(F.lit(1)).cast("double").alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q")
     )
-    t = g.agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"),
+    whole = per.agg(
+        F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"),
+        F.sum(F.col("_s") * F.col("_s") / F.col("_n")).alias("_b"),
     )
-    mean_part = F.col("s") * F.col("s") / F.col("n")
-    total = F.col("q") - mean_part
-    eta = F.when(total > 0, (F.col("b") - mean_part) / F.when(total > 0, total)).otherwise(0.0)
-    return t.select(eta.alias("eta_squared"))
+    mean_part = F.col("_s") * F.col("_s") / F.col("_n")
+    total = F.col("_q") - mean_part
+    eta = F.when(total > 0, (F.col("_b") - mean_part) / F.when(total > 0, total)).otherwise(0.0)
+    return whole.select(eta.alias("eta_squared"))
 
 
 def within_group_effect(
@@ -51,15 +51,15 @@ def within_group_effect(
     low = F.col(x) <= F.col("_med")
     err = 1.0 - F.col(correct).cast("double")
     per = df.join(med, group).groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.when(low, err)).alias("lo"),
-        F.avg(F.when(~low, err)).alias("hi"),
+        F.count(F.lit(1)).alias("_n"),
+        F.avg(F.when(low, err)).alias("_lo"),
+        F.avg(F.when(~low, err)).alias("_hi"),
     )
-    both = per.where((F.col("n") >= min_rows) & F.col("lo").isNotNull() & F.col("hi").isNotNull())
+    both = per.where((F.col("_n") >= min_rows) & F.col("_lo").isNotNull() & F.col("_hi").isNotNull())
     return both.agg(
-        F.avg("lo").alias("low_error"),
-        F.avg("hi").alias("high_error"),
-        F.coalesce((F.avg("lo") - F.avg("hi")) * 100.0, F.lit(0.0)).alias("effect_pp"),
+        F.avg("_lo").alias("low_error"),
+        F.avg("_hi").alias("high_error"),
+        F.coalesce((F.avg("_lo") - F.avg("_hi")) * 100.0, F.lit(0.0)).alias("effect_pp"),
         F.count(F.lit(1)).alias("n_groups"),
     )
 

@@ -95,12 +95,12 @@ def bag_match(
 
     both = side(gold, 1, 0).unionByName(side(pred, 0, 1))
     bags = both.groupBy(*key, "slot_name", "_v").agg(
-        F.sum("_g").alias("g"), F.sum("_p").alias("p")
+        F.sum("_g").alias("_g"), F.sum("_p").alias("_p")
     )
     return bags.groupBy(*key, "slot_name").agg(
-        F.sum(F.least("g", "p")).alias("tp"),
-        F.sum(F.greatest(F.col("p") - F.col("g"), F.lit(0))).alias("fp"),
-        F.sum(F.greatest(F.col("g") - F.col("p"), F.lit(0))).alias("fn"),
+        F.sum(F.least("_g", "_p")).alias("tp"),
+        F.sum(F.greatest(F.col("_p") - F.col("_g"), F.lit(0))).alias("fp"),
+        F.sum(F.greatest(F.col("_g") - F.col("_p"), F.lit(0))).alias("fn"),
     )
 
 

@@ -42,25 +42,25 @@ def prf_by_class(df: DataFrame, gold: str, pred: str, cell: list[str] = ()) -> D
     A wrong row is a miss of its gold class and a false hit of the predicted class; a
     null prediction is only a miss.  ``cell`` columns keep experiments apart.
     """
-    pairs = df.groupBy(*cell, F.col(gold).alias("g"), F.col(pred).alias("p")).agg(
-        F.count(F.lit(1)).alias("n")
+    pairs = df.groupBy(*cell, F.col(gold).alias("_g"), F.col(pred).alias("_p")).agg(
+        F.count(F.lit(1)).alias("_n")
     )
-    same = F.col("g").eqNullSafe(F.col("p"))
-    zero, n = F.lit(0).cast("bigint"), F.col("n")
+    same = F.col("_g").eqNullSafe(F.col("_p"))
+    zero, n = F.lit(0).cast("bigint"), F.col("_n")
     arms = F.array(
         F.struct(
-            F.col("g").alias("class"),
+            F.col("_g").alias("class"),
             F.when(same, n).otherwise(zero).alias("tp"),
             zero.alias("fp"),
             F.when(same, zero).otherwise(n).alias("fn"),
         ),
         F.when(
-            ~same & F.col("p").isNotNull(),
-            F.struct(F.col("p").alias("class"), zero.alias("tp"), n.alias("fp"), zero.alias("fn")),
+            ~same & F.col("_p").isNotNull(),
+            F.struct(F.col("_p").alias("class"), zero.alias("tp"), n.alias("fp"), zero.alias("fn")),
         ),
     )
-    rows = unnest(pairs, list(cell), arms, "a")
-    return _rolled(rows.select(*cell, "a.*"), cell, "class")
+    rows = unnest(pairs, list(cell), arms, "_a")
+    return _rolled(rows.select(*cell, "_a.*"), cell, "class")
 
 
 def _rolled(rows: DataFrame, cell: list[str], cls: str) -> DataFrame:
@@ -76,11 +76,11 @@ def span_f1(df: DataFrame, gold: str, pred: str, cell: list[str] = ()) -> DataFr
     A span counts when start, end and type agree.  Both tag lists are in one row, so
     the comparison is a set operation inside the row; only the counts are shuffled.
     """
-    d = df.select(*cell, span_keys(F.col(gold)).alias("g"), span_keys(F.col(pred)).alias("p"))
-    hits = F.transform(F.array_intersect("g", "p"), _count_as(1, 0, 0))
-    false = F.transform(F.array_except("p", "g"), _count_as(0, 1, 0))
-    missed = F.transform(F.array_except("g", "p"), _count_as(0, 0, 1))
-    rows = unnest(d, list(cell), F.concat(hits, false, missed), "a").select(*cell, "a.*")
+    d = df.select(*cell, span_keys(F.col(gold)).alias("_g"), span_keys(F.col(pred)).alias("_p"))
+    hits = F.transform(F.array_intersect("_g", "_p"), _count_as(1, 0, 0))
+    false = F.transform(F.array_except("_p", "_g"), _count_as(0, 1, 0))
+    missed = F.transform(F.array_except("_g", "_p"), _count_as(0, 0, 1))
+    rows = unnest(d, list(cell), F.concat(hits, false, missed), "_a").select(*cell, "_a.*")
     out = _rolled(rows, cell, "label")
     return out.withColumn("support", F.col("tp") + F.col("fn"))
 

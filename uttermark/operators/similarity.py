@@ -51,19 +51,19 @@ def centroid_similarity(long: DataFrame, key: str, label: str) -> DataFrame:
     number of groups (speakers) is what the caller must keep moderate.
     """
     sums = long.groupBy(label, "dim").agg(
-        F.sum("x").alias("s"), F.count(F.lit(1)).cast("double").alias("n")
+        F.sum("x").alias("_s"), F.count(F.lit(1)).cast("double").alias("_n")
     )
     own = long.join(sums, [label, "dim"])
-    rest = F.when(F.col("n") > 1, (F.col("s") - F.col("x")) / (F.col("n") - 1))
-    own = own.withColumn("rest", rest).withColumn("c", F.col("s") / F.col("n"))
+    rest = F.when(F.col("_n") > 1, (F.col("_s") - F.col("x")) / (F.col("_n") - 1))
+    own = own.withColumn("_rest", rest).withColumn("_c", F.col("_s") / F.col("_n"))
     mine = own.groupBy(key, label).agg(
-        cosine_of(F.col("x"), F.col("rest")).alias("self_cos"),
-        cosine_of(F.col("x"), F.col("c")).alias("own_cos"),
+        cosine_of(F.col("x"), F.col("_rest")).alias("self_cos"),
+        cosine_of(F.col("x"), F.col("_c")).alias("own_cos"),
     )
-    other = sums.select(F.col(label).alias("_other"), "dim", (F.col("s") / F.col("n")).alias("c"))
+    other = sums.select(F.col(label).alias("_other"), "dim", (F.col("_s") / F.col("_n")).alias("_c"))
     cross = long.join(other, "dim").where(F.col("_other") != F.col(label))
-    each = cross.groupBy(key, label, "_other").agg(cosine_of(F.col("x"), F.col("c")).alias("cos"))
-    crossed = each.groupBy(key, label).agg(F.avg("cos").alias("cross_cos"))
+    each = cross.groupBy(key, label, "_other").agg(cosine_of(F.col("x"), F.col("_c")).alias("_cos"))
+    crossed = each.groupBy(key, label).agg(F.avg("_cos").alias("cross_cos"))
     return mine.join(crossed, [key, label], "left").withColumn(
         "delta", F.col("own_cos") - F.col("cross_cos")
     )
