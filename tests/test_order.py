@@ -61,3 +61,22 @@ def test_seeded_order_is_stable(spark):
     b = [r.id for r in order.seeded_order(df.repartition(7), ["id"], 1).collect()]
     c = [r.id for r in order.seeded_order(df, ["id"], 2).collect()]
     assert a == b != c and sorted(a) == list(range(200))
+
+
+def test_within_rank_equals_ranking(spark):
+    """Thresholds give the same rows as ranking every row, for cuts of 0, some and all."""
+    df = skewed(spark)
+    cuts = {
+        "none": lambda n: F.lit(0),
+        "some": lambda n: F.floor(n * F.lit(0.37)),
+        "one": lambda n: F.least(n, F.lit(1)),
+        "all": lambda n: n,
+    }
+    got = order.within_rank(df, ["g"], ["id"], 7, cuts)
+    rank = order.ranked(df, ["g"], ["id"], 7, "rn", "n").select("id", "rn", "n")
+    both = got.join(rank, "id")
+    assert both.count() == 3000
+    wrong = both.where(
+        "none OR NOT all OR some <> (rn <= floor(n * 0.37D)) OR one <> (rn = 1)"
+    )
+    assert wrong.count() == 0

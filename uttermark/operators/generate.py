@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from uttermark.functions.util import let
-from uttermark.operators.order import first_seen, ranked, running
+from uttermark.operators.order import ORDER_CELLS, first_seen, ranked, running
 
 CHUNK = 10_000  # attempts built by one task at a time
 
@@ -44,9 +44,9 @@ def value_pool(values: DataFrame) -> DataFrame:
     ``values``: ``pool, branch, value``; branch 0 and 1 are the two kinds a pool may mix
     (words and digits).  Synonyms are values like any other.
     """
-    v = values.select("pool", "branch", "value").distinct()
-    cell = F.concat(F.col("branch").cast("string"), F.substring("value", 1, 4))
-    out = running(v, ["pool"], [F.col("branch"), F.col("value")], cell)
+    v = values.select("pool", "branch", "value").distinct().withColumn("_h", F.md5("value"))
+    cell = F.concat(F.col("branch").cast("string"), F.substring("_h", 1, ORDER_CELLS))
+    out = running(v, ["pool"], [F.col("branch"), F.col("_h"), F.col("value")], cell)
     return out.select("pool", "branch", (F.col("rn") - 1).alias("pos"), "value")
 
 

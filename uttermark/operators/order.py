@@ -9,11 +9,14 @@ window exactly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from uttermark.functions.numeric import value_cell
+from uttermark.session import checked_broadcast
 
 ORDER_CELLS = 3  # hex digits of the hash used as cell: 4096 cells per group
 
@@ -70,6 +73,62 @@ def ranked(df: DataFrame, by: list[str], key: list[str], seed: int | str, rn="rn
     return out.drop("_h")
 
 
+def within_rank(
+    df: DataFrame,
+    by: list[str],
+    key: list[str],
+    seed: int | str,
+    cuts: dict[str, Callable[[Column], Column]],
+) -> DataFrame:
+    """Add one boolean per cut: is the row among the first ``cut(n)`` of its group of n, in
+    seeded hash order?
+
+    The rows themselves are never shuffled.  The cell counts say in which cell each cut
+    falls; only the keys of that cell (one in 4096) are ranked, to find the last hash that
+    is in.  That threshold, one row per group, is joined back.
+    """
+    h = hash_of(seed, *key)
+    place = F.struct(h.alias("h"), *[F.col(k) for k in key])
+    group = F.struct(*[F.col(c) for c in by], F.lit(0).alias("_")).alias("_g")
+    slim = df.select(group, place.alias("_place"), F.substring(h, 1, ORDER_CELLS).alias("_cell"))
+    cells = slim.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    upto = W.partitionBy("_g").orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+    cells = cells.withColumn("_upto", F.sum("_c").over(upto)).withColumn(
+        "_n", F.sum("_c").over(W.partitionBy("_g"))
+    )
+    before = F.col("_upto") - F.col("_c")
+    wanted = [
+        F.struct(F.lit(name).alias("name"), (cut(F.col("_n")) - before).cast("bigint").alias("rank"))
+        for name, cut in cuts.items()
+    ]
+    hit = F.filter(F.array(*wanted), lambda w: (w["rank"] >= 1) & (w["rank"] <= F.col("_c")))
+    hit = cells.select("_g", "_cell", hit.alias("_hit")).where(F.size("_hit") > 0)
+    inside = slim.join(hit, ["_g", "_cell"])
+    w = W.partitionBy("_g", "_cell").orderBy("_place")
+    inside = inside.withColumn("_rank", F.row_number().over(w))
+    ends = [
+        F.max(
+            F.when(F.exists("_hit", _is_cut(name)), F.col("_place"))
+        ).alias(f"_end_{name}")
+        for name in cuts
+    ]
+    ends = inside.groupBy("_g").agg(*ends)
+    # A cut at or above n leaves no threshold in any cell: everything is in.
+    full = cells.groupBy("_g").agg(F.max("_n").alias("_n"))
+    full = full.select("_g", *[(c(F.col("_n")) >= F.col("_n")).alias(f"_all_{m}") for m, c in cuts.items()])
+    # Counted before it is broadcast: with few groups the rows of df stay where they are.
+    ends = checked_broadcast(full.join(ends, "_g", "left"))
+    out = df.withColumn("_g", group).withColumn("_place", place).join(ends, "_g")
+    for name in cuts:
+        under = F.coalesce(F.col("_place") <= F.col(f"_end_{name}"), F.lit(False))
+        out = out.withColumn(name, F.col(f"_all_{name}") | under)
+    return out.select(*df.columns, *cuts)
+
+
+def _is_cut(name: str) -> Callable[[Column], Column]:
+    return lambda w: (w["name"] == name) & (w["rank"] == F.col("_rank"))
+
+
 def seeded_order(df: DataFrame, key: list[str], seed: int = 42) -> DataFrame:
     """Seeded shuffle: a total order, written out by a distributed range sort."""
     h = df.withColumn("_h", hash_of(seed, *key))

@@ -47,23 +47,28 @@ def centroid_similarity(long: DataFrame, key: str, label: str) -> DataFrame:
     (``self_cos``), to the whole own centroid (``own_cos``), and the mean cosine to the
     other groups' centroids (``cross_cos``).  Groups of one row have a null self_cos.
 
-    Rows meet the centroids of all groups, so the work grows with rows x groups; the
-    number of groups (speakers) is what the caller must keep moderate.
+    The mean cosine to many centroids is the dot product with the sum of their unit
+    vectors, so no row meets another group and the work does not grow with the groups.
     """
+    x, s, n = F.col("x"), F.col("_s"), F.col("_n")
     sums = long.groupBy(label, "dim").agg(
         F.sum("x").alias("_s"), F.count(F.lit(1)).cast("double").alias("_n")
     )
-    own = long.join(sums, [label, "dim"])
-    rest = F.when(F.col("_n") > 1, (F.col("_s") - F.col("x")) / (F.col("_n") - 1))
-    own = own.withColumn("_rest", rest).withColumn("_c", F.col("_s") / F.col("_n"))
-    mine = own.groupBy(key, label).agg(
-        cosine_of(F.col("x"), F.col("_rest")).alias("self_cos"),
-        cosine_of(F.col("x"), F.col("_c")).alias("own_cos"),
+    cents = sums.withColumn("_c", s / n)
+    norms = cents.groupBy(label).agg((F.sqrt(F.sum(F.col("_c") * F.col("_c"))) + EPS).alias("_norm"))
+    units = cents.join(norms, label).withColumn("_u", F.col("_c") / F.col("_norm")).drop("_norm")
+    every = units.groupBy("dim").agg(
+        F.sum("_u").alias("_all"), (F.count(F.lit(1)) - 1).cast("double").alias("_others")
     )
-    other = sums.select(F.col(label).alias("_other"), "dim", (F.col("_s") / F.col("_n")).alias("_c"))
-    cross = long.join(other, "dim").where(F.col("_other") != F.col(label))
-    each = cross.groupBy(key, label, "_other").agg(cosine_of(F.col("x"), F.col("_c")).alias("_cos"))
-    crossed = each.groupBy(key, label).agg(F.avg("_cos").alias("cross_cos"))
-    return mine.join(crossed, [key, label], "left").withColumn(
-        "delta", F.col("own_cos") - F.col("cross_cos")
+    dims = units.join(every, "dim").withColumn("_rest", F.when(n > 1, 1.0))
+    own = long.join(dims, [label, "dim"])
+    own = own.withColumn("_rest", F.col("_rest") * (s - x) / F.greatest(n - 1, F.lit(1.0)))
+    size = F.sqrt(F.sum(x * x)) + EPS
+    crossed = F.sum(x * (F.col("_all") - F.col("_u"))) / size
+    others = F.max("_others")
+    out = own.groupBy(key, label).agg(
+        cosine_of(x, F.col("_rest")).alias("self_cos"),
+        cosine_of(x, F.col("_c")).alias("own_cos"),
+        F.when(others > 0, crossed / F.when(others > 0, others)).alias("cross_cos"),
     )
+    return out.withColumn("delta", F.col("own_cos") - F.col("cross_cos"))

@@ -1,7 +1,9 @@
 """Leak-free splits and samples.
 
 Every choice is a rank in seeded hash order (see ``order``): it does not depend on
-partitioning, sizes are exact, and a class of any size is ranked in parallel.
+partitioning, sizes are exact, and a class of any size is ranked in parallel.  Where a
+choice is a cut of that order, ``within_rank`` finds it from the keys, and the rows (with
+their texts) are only filtered, never shuffled.
 """
 
 from __future__ import annotations
@@ -9,10 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uttermark.operators.order import ranked
-
-TEMP = ["_rn", "_n"]
-
+from uttermark.operators.order import ranked, within_rank
 
 def group_split(
     df: DataFrame, key: str, sizes: tuple[int, int, int], seed: int = 42
@@ -53,19 +52,21 @@ def low_resource_cut(df: DataFrame, config: DataFrame, key: list[str], seed: int
     out = F.lower("intent") == F.col("_excluded")
     d = d.where(~F.coalesce(out, F.lit(False)))
     whole = d.where(F.col("target").isNull())
-    cut = ranked(d.where(F.col("target").isNotNull()), ["lang", "split"], key, seed, "_rn")
-    cut = cut.where(F.col("_rn") <= F.col("target")).drop("_rn")
-    return whole.unionByName(cut).drop("target", "_excluded")
+    by = ["lang", "split", "target"]
+    cut = within_rank(d.where(F.col("target").isNotNull()), by, key, seed, {"_in": _target})
+    return whole.unionByName(cut.where("_in").drop("_in")).drop("target", "_excluded")
+
+
+def _target(n: Column) -> Column:
+    return F.least(n, F.col("_g.target").cast("bigint"))
 
 
 def stratified_split(
     df: DataFrame, by: list[str], key: list[str], ratio: float = 0.885, seed: int | str = 42
 ) -> DataFrame:
     """Add ``split``: the first ``floor(n * ratio)`` rows of each class are train."""
-    r = ranked(df, by, key, seed, *TEMP)
-    cut = F.floor(F.col("_n") * F.lit(ratio))
-    split = F.when(F.col("_rn") <= cut, "train").otherwise("test")
-    return r.withColumn("split", split).drop(*TEMP)
+    r = within_rank(df, by, key, seed, {"_in": lambda n: F.floor(n * F.lit(ratio))})
+    return r.withColumn("split", F.when(F.col("_in"), "train").otherwise("test")).drop("_in")
 
 
 def fraction_size(n: Column, f: float) -> Column:
@@ -80,8 +81,8 @@ def fraction_size(n: Column, f: float) -> Column:
 def stratified_fraction(
     df: DataFrame, by: list[str], key: list[str], f: float, seed: int | str = 42
 ) -> DataFrame:
-    r = ranked(df, by, key, seed, *TEMP)
-    return r.where(F.col("_rn") <= fraction_size(F.col("_n"), f)).drop(*TEMP)
+    r = within_rank(df, by, key, seed, {"_in": lambda n: fraction_size(n, f)})
+    return r.where("_in").drop("_in")
 
 
 def stratified_kfold(
@@ -96,11 +97,14 @@ def stratified_n(
     df: DataFrame, by: list[str], key: list[str], n: int, seed: int | str = 42, floor: int = 0
 ) -> DataFrame:
     """Down-sample to about n rows in proportion to the classes, each at least ``floor``."""
-    r = ranked(df, by, key, seed, *TEMP)
     total = df.agg(F.count(F.lit(1)).alias("_all"))  # one row
-    want = F.bround(F.col("_n") / F.col("_all") * n).cast("bigint")
-    r = r.crossJoin(total).where(F.col("_rn") <= F.greatest(want, F.lit(floor)))
-    return r.drop(*TEMP, "_all")
+
+    def size(c: Column) -> Column:
+        want = F.bround(c / F.col("_g._all") * n).cast("bigint")
+        return F.least(c, F.greatest(want, F.lit(floor)))
+
+    r = within_rank(df.crossJoin(total), [*by, "_all"], key, seed, {"_in": size})
+    return r.where("_in").drop("_in", "_all")
 
 
 def holdout(
@@ -112,9 +116,9 @@ def holdout(
 
 def dev_holdout(df: DataFrame, key: list[str], f: float = 0.1, seed: int | str = 42) -> DataFrame:
     """Add ``split``: ``max(1, floor(n * f))`` rows become dev, the rest train."""
-    r = ranked(df, [], key, seed, *TEMP)
-    n_dev = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(f)))
-    return r.withColumn("split", F.when(F.col("_rn") <= n_dev, "dev").otherwise("train")).drop(*TEMP)
+    n_dev = {"_in": lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(f)))}
+    r = within_rank(df, [], key, seed, n_dev)
+    return r.withColumn("split", F.when(F.col("_in"), "dev").otherwise("train")).drop("_in")
 
 
 def cell_name(ratio: float) -> str:
@@ -136,17 +140,20 @@ def ratio_sweep(
     corpus is not copied per cell; explode it as late as possible.  One ranking serves
     all ratios, so smaller cells are contained in larger ones.
     """
-    r = ranked(real, by, key, seed, *TEMP)
-    inside = [
-        F.when(F.col("_rn") <= fraction_size(F.col("_n"), f), F.lit(cell_name(f))) for f in ratios
-    ]
+    marks = {f"_in{i}": _share(f) for i, f in enumerate(ratios)}
+    r = within_rank(real, by, key, seed, marks)
+    inside = [F.when(F.col(m), F.lit(cell_name(f))) for m, f in zip(marks, ratios, strict=True)]
     cells = F.filter(F.array(*inside, F.lit("real_only")), lambda c: c.isNotNull())
-    tagged = r.withColumn("cells", cells).drop(*TEMP).withColumn("origin", F.lit("real"))
+    tagged = r.withColumn("cells", cells).drop(*marks).withColumn("origin", F.lit("real"))
     every = F.array(*[F.lit(cell_name(f)) for f in ratios])
     s = synth.withColumn("cells", every).withColumn("origin", F.lit("synthetic"))
     return tagged.unionByName(s)
 
 
+def _share(f: float):
+    return lambda n: fraction_size(n, f)
+
+
 def cell_sizes(sweep: DataFrame) -> DataFrame:
     """Rows per cell: total, real, synthetic.  Counts per membership list come first."""
     lists = sweep.groupBy("cells", "origin").agg(F.count(F.lit(1)).alias("n"))
@@ -161,7 +168,8 @@ def cell_sizes(sweep: DataFrame) -> DataFrame:
 
 def sample_n(df: DataFrame, key: list[str], n: int, seed: int | str = 42) -> DataFrame:
     """Uniform sample of n rows."""
-    return ranked(df, [], key, seed, "_rn").where(F.col("_rn") <= n).drop("_rn")
+    cut = {"_in": lambda total: F.least(total, F.lit(n))}
+    return within_rank(df, [], key, seed, cut).where("_in").drop("_in")
 
 
 def assert_no_leak(refs: DataFrame, test: DataFrame, key: str) -> DataFrame:

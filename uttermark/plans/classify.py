@@ -10,6 +10,7 @@ from uttermark.plans.evaluation import rounded
 from uttermark.plans.registry import query
 from uttermark.plans.sampling import rank_sql
 from uttermark.plans.text import DOC_WORDS
+from uttermark.session import materialise
 
 RATIOS = [0.0, 0.1, 0.5, 1.0]
 
@@ -30,9 +31,11 @@ def experiment(t):
     """
     ids = classes(t)
     part = splits.holdout(ids.where("doc_id % 3 = 0"), ["class"], ["doc_id"])
+    part = materialise(part)
     train = part.where("split = 'train'").drop("split")
     sweep = splits.ratio_sweep(train, ids.where("doc_id % 3 > 0"), RATIOS, ["class"], ["doc_id"])
-    return with_tokens(t, sweep.drop("origin")), with_tokens(t, part.where("split = 'test'").drop("split"))
+    sweep = materialise(sweep.drop("origin"))
+    return with_tokens(t, sweep), with_tokens(t, part.where("split = 'test'").drop("split"))
 
 
 def nb_sql(train):

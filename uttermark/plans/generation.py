@@ -29,7 +29,7 @@ def value_pools(t):
     return generate.value_pool(part.unionByName(nation).unionByName(region))
 
 
-POOLS_SQL = """pools AS (SELECT pool, branch, value, row_number() OVER (PARTITION BY pool ORDER BY branch, value) - 1 AS pos FROM (
+POOLS_SQL = """pools AS (SELECT pool, branch, value, row_number() OVER (PARTITION BY pool ORDER BY branch, md5(value), value) - 1 AS pos FROM (
   SELECT DISTINCT 'part' AS pool, CASE WHEN length(p_name) > 9 THEN 1 ELSE 0 END AS branch, p_name AS value FROM part
   UNION ALL SELECT DISTINCT 'nation', 0, lower(n_name) FROM nation UNION ALL SELECT DISTINCT 'region', 0, lower(r_name) FROM region)),
 ps AS (SELECT pool, count(*) AS n, count(*) FILTER (WHERE branch = 0) AS n0 FROM pools GROUP BY 1)"""

@@ -40,6 +40,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 100_000  # of narrow rows (keys and a few numbers): about 10 MB
+
+
+def checked_broadcast(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a narrow table once and mark it for broadcast if it is proven small.
+
+    Its rows are counted first; a larger table is returned for an ordinary shuffled join.
+    """
+    done = materialise(dim)
+    return F.broadcast(done) if done.count() <= limit else done
+
+
 def literal_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A small dimension table as literals, so that its size is known to the optimizer.
 
