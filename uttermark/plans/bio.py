@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from uttermark.operators import bio
 from uttermark.plans.registry import SQL_WORD, TAGGED_SQL, TURNS_SQL, query, spans_sql
+from uttermark.plans.text import contracted_sql
 
 
 @query(
@@ -182,14 +183,81 @@ def l3(t):
     return joined(d, "tokens", "bio")
 
 
-@query("l4_project_slots_folded")
+EMPTY = "''"
+FRENCH = "translate(replace(text, ' and ', ' l' || chr(39) || 'and '), 'eo', 'éô')"
+
+
+def fold_sql(tokens):
+    return f"list_transform({tokens}, lambda x: lower(strip_accents(x)))"
+
+
+def _folded_sql():
+    """Slots as [type, translated..., '|', source...], all folded."""
+    pairs = [
+        ("alpha", "va", "'Source One'"),
+        ("beta", "vb", "vb"),
+        ("delta", "vd", "'source two'"),
+        ("eps", "vz", "'source three'"),
+    ]
+    slots = "[" + ", ".join(
+        f"list_concat(['{n}'], {fold_sql(words_sql(f'coalesce(nullif({a}, {EMPTY}), {b})'))}, ['|'], {fold_sql(words_sql(b))})"
+        for n, a, b in pairs
+    ) + "]"
+
+    def place(v):
+        fused = (
+            f"list_filter(range(0, len(tokens)), lambda i: len({v}) = 1 AND contains(tokens[i + 1], chr(39)) "
+            f"AND list_contains(string_split(tokens[i + 1], chr(39)), ({v})[1]))[1]"
+        )
+        return f"coalesce({place_sql(find_sql('tokens', v), f'len({v})')}, {place_sql(fused, '1')})"
+
+    first, second = "s[2:list_position(s, '|') - 1]", "s[list_position(s, '|') + 1:]"
+    best = f"list_filter([{place(first)}, {place(second)}], lambda p: p IS NOT NULL)[1]"
+    free = "len(list_filter(acc[p[1] + 1:p[1] + p[2]], lambda x: x <> 'O')) = 0"
+    step = f"list_transform([{best}], lambda p: CASE WHEN {free} THEN p END)[1]"
+    return f"""WITH {SLOTS_SQL}, x AS (SELECT utt_id, {words_sql(FRENCH)} AS shown, {slots} AS slots FROM k),
+y AS (SELECT *, {fold_sql("shown")} AS tokens FROM x)
+SELECT utt_id, array_to_string(shown, ' ') AS tokens, coalesce(array_to_string({reduce_sql("slots", "tokens", step)}, ' '), '') AS bio FROM y"""
+
+
+@query("l4_project_slots_folded", _folded_sql())
 def l4(t):
     """The turns in French spelling: accents and elisions that folding has to undo."""
-    d = slotted(t).withColumn("text", F.translate(F.replace(F.col("text"), F.lit(" and "), F.lit(" l'and ")), "eo", "éô"))
+    elided = F.replace(F.col("text"), F.lit(" and "), F.lit(" l'and "))
+    d = slotted(t).withColumn("text", F.translate(elided, "eo", "éô"))
     return joined(bio.project_slots_folded(d, "text", "sources", "translations"), "tokens", "bio")
 
 
-@query("l5_reproject")
+def _reproject_sql():
+    def spaced(e):
+        x = f"CASE WHEN lang = 'en' THEN {contracted_sql(e)} ELSE lower({e}) END"
+        x = rf"regexp_replace({x}, '([\p{{L}}\p{{N}}_])\.', '\1', 'g')"
+        x = rf"regexp_replace({x}, '[\s\p{{Z}}]+', ' ', 'g')"
+        return f"list_filter(string_split({x}, ' '), lambda k: k <> '')"
+
+    def chars(e):
+        return rf"regexp_extract_all({e}, '[^\p{{Z}}\s]')"
+
+    def slots(tok):
+        return slot_list([("x", "va"), ("y", "vd"), ("z", "vz")], tok)
+
+    def bare(x):
+        return rf"list_transform({x}, lambda k: regexp_replace(k, chr(39) || '[\p{{L}}\p{{N}}_]*$', ''))"
+
+    def either(other_tokens, other_value):
+        plain = place_sql(find_sql("tokens", "s[2:]", "acc"), "len(s) - 1")
+        return f"coalesce({plain}, {place_sql(find_sql(other_tokens, other_value, 'acc'), 'len(s) - 1')})"
+
+    words = either("bare", bare("s[2:]"))
+    letters = either("low", "list_transform(s[2:], lambda k: lower(k))")
+    return f"""WITH {SLOTS_SQL}, x AS (SELECT utt_id, is_char, CASE WHEN is_char THEN {chars("text")} ELSE {spaced("text")} END AS tokens,
+  CASE WHEN is_char THEN {slots(chars)} ELSE {slots(spaced)} END AS slots FROM k),
+y AS (SELECT *, {bare("tokens")} AS bare, list_transform(tokens, lambda k: lower(k)) AS low FROM x)
+SELECT utt_id, array_to_string(tokens, ' ') AS tokens, coalesce(array_to_string(CASE WHEN is_char THEN {reduce_sql("slots", "tokens", letters)}
+  ELSE {reduce_sql("slots", "tokens", words)} END, ' '), '') AS bio FROM y"""
+
+
+@query("l5_reproject", _reproject_sql())
 def l5(t):
     d = bio.reproject(slotted(t), "text", "translations", "lang", F.col("is_char"))
     return joined(d, "tokens", "bio")

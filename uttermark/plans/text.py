@@ -86,9 +86,15 @@ def b5(t):
     )
 
 
-CONTRACTED = "lower(text)"
-for _a, _b in text.CONTRACTIONS:
-    CONTRACTED = f"replace({CONTRACTED}, '{_a.replace(chr(39), chr(39) * 2)}', '{_b}')"
+def contracted_sql(expr: str) -> str:
+    out = f"lower({expr})"
+    for short, long in text.CONTRACTIONS:
+        quoted = short.replace("'", "''")
+        out = f"replace({out}, '{quoted}', '{long}')"
+    return out
+
+
+CONTRACTED = contracted_sql("text")
 
 
 @query(
