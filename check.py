@@ -24,7 +24,7 @@ def make_session(cpus: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("uttermark-check")
         .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.driver.memory", "8g")
+        .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()

@@ -221,19 +221,26 @@ def best_match(
 @F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two token arrays (bit-parallel)."""
+    seen: dict = {}  # places of each token, for the texts of this batch
+
+    def places(text):
+        toks = tuple(text)
+        if toks not in seen:
+            where: dict = {}
+            for i, tok in enumerate(toks):
+                where[tok] = where.get(tok, 0) | (1 << i)
+            seen[toks] = where
+        return seen[toks]
 
     def one(x, y):
-        where: dict = {}
-        for i, tok in enumerate(x):
-            where[tok] = where.get(tok, 0) | (1 << i)
-        full = (1 << len(x)) - 1
-        v = full
+        where, n = places(x), len(x)
+        full = v = (1 << n) - 1
         for tok in y:
             m = where.get(tok)
             if m:
                 u = v & m
                 v = ((v + u) | (v - u)) & full
-        return len(x) - v.bit_count()
+        return n - v.bit_count()
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
 
