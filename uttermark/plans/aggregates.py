@@ -8,7 +8,7 @@ from uttermark.functions.text import word_tokens
 from uttermark.functions.util import unnest
 from uttermark.operators import audit, vocab
 from uttermark.operators.order import exact_percentiles, first_n, most_common
-from uttermark.plans.registry import SQL_WORD, TAGGED_SQL, TURNS_SQL, query, spans_sql
+from uttermark.plans.registry import TAGGED_SQL, TURNS_SQL, query, spans_sql
 from uttermark.plans.text import DOC_WORDS
 from uttermark.session import literal_table
 

@@ -8,7 +8,7 @@ from uttermark.functions import tags
 from uttermark.functions.text import space_tokens
 from uttermark.operators import filters, labels
 from uttermark.plans.registry import GOLD_SQL, TAGGED_SQL, TURNS_SQL, gold_tag, query
-from uttermark.plans.text import LANGUAGES, languages
+from uttermark.plans.text import languages
 from uttermark.session import literal_table
 
 
@@ -106,9 +106,6 @@ def c7(t):
     )
 
 
-NAMES_SQL = "CASE lang " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n, _ in LANGUAGES if c != "es") + " ELSE 'Elvish' END"
-
-
 @query(
     "c8_resolve_language",
     """SELECT CASE WHEN lang = 'es' THEN 'en' ELSE lang END AS language_code, count(*) AS n FROM documents GROUP BY 1""",

@@ -159,7 +159,7 @@ def carriers(t):
 
 @query(
     "k7_expand_coverage",
-    """WITH m AS (SELECT n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 3 = 0 GROUP BY 1),
+    """WITH m AS (SELECT n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
 cp AS (SELECT value, unnest(range(1, CAST(greatest(3, least(round_even(n / (SELECT max(n) FROM m) * 20, 0), 20)) AS BIGINT) + 1)) AS copy FROM m),
 ca AS (SELECT conv_id * 100000 + turn AS utt_id, role AS intent FROM conversations WHERE role <> 'system'),
 nb AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY md5('carrier-42:' || utt_id), utt_id) AS rn, count(*) OVER (PARTITION BY intent) AS size FROM ca),
@@ -169,7 +169,7 @@ SELECT ch.value, CAST(ch.copy AS INTEGER) AS copy, ch.intent, nb.utt_id FROM ch
 )
 def k7(t):
     n = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
-    missing = t.nation.where("n_nationkey % 3 = 0").join(n, "n_nationkey").select(F.col("n_name").alias("value"), "n")
+    missing = t.nation.join(n, "n_nationkey").select(F.col("n_name").alias("value"), "n")
     d = generate.expand_coverage(carriers(t), missing, ["utt_id"])
     return d.select("value", "copy", "intent", "utt_id")
 

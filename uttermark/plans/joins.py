@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from uttermark.functions import tags
-from uttermark.functions.text import canonicalize
 from uttermark.operators import contamination, labels, match, similarity
 from uttermark.operators.order import sequence_ids
 from uttermark.plans.registry import SQL_WORD, TAGGED_SQL, query, spans_sql

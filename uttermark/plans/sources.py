@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from uttermark.plans.aggregates import CORPUS_SQL, corpus
 from uttermark.plans.bio import CHUNKS_SQL, chunked
-from uttermark.plans.registry import TAGGED_SQL, TURNS_SQL, query
+from uttermark.plans.registry import TAGGED_SQL, query
 from uttermark.session import scratch_path
 from uttermark.sources import readers, writers
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from uttermark.functions import numeric, text
-from uttermark.functions.text import WORD
 from uttermark.operators import labels, similarity
 from uttermark.operators.order import exact_percentiles
 from uttermark.plans.registry import SQL_WORD, TURNS_SQL, query
