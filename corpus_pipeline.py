@@ -9,11 +9,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from uttermark.llm import bpe, mixing, pii
+from uttermark.llm import bpe, mcd, minhash, mixing, pii
 from uttermark.llm.common import documents, stored
 from uttermark.llm.queries import WORD_BPE
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the outlier rule reject go."""
+    return mcd.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return minhash.keep_first(docs)
+
+
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind in brackets."""
     found = pii.find(docs, pii.fit(docs), out="pii_spans")
@@ -31,7 +41,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "source", "ids", *bpe.digests(d))
 
 
-STAGES = [("redact", redact), ("mix", mix), ("encode", encode)]
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("redact", redact),
+    ("mix", mix),
+    ("encode", encode),
+]
 
 #: No SQL can express the fitted stages; tests/llm compares them with brute-force versions.
 ORACLE_SQL = None

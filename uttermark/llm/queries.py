@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import bpe, mixing, piece_counts, pii
+from uttermark.llm import bpe, mcd, minhash, mixing, piece_counts, pii
 from uttermark.llm.common import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -36,6 +36,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", *bpe.digests(d))
 
 
+@query("op2_quality_rules")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return mcd.judge(documents(spark, folder))
+
+
 @query("op6_token_counts")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     d = documents(spark, folder).select("doc_id", "text")
@@ -56,3 +61,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_mix", mixing.MIX_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(documents(spark, folder)).drop("source", "copies")
+
+
+@query("op10_near_duplicates", minhash.NEAR_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.groups(documents(spark, folder))
