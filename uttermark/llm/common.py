@@ -42,8 +42,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(folder, "documents.parquet"))
+    return table(spark, folder, "documents")
 
 
 def word_count(text: Column) -> Column:

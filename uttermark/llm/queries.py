@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import bpe, mcd, minhash, mixing, piece_counts, pii
-from uttermark.llm.common import documents
+from uttermark.llm import bpe, mcd, mil, minhash, mixing, piece_counts, pii
+from uttermark.llm.common import documents, table
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -41,6 +41,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return mcd.judge(documents(spark, folder))
 
 
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    d = documents(spark, folder)
+    return mil.score(d, mil.fit(d, table(spark, folder, "labels")))
+
+
 @query("op6_token_counts")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     d = documents(spark, folder).select("doc_id", "text")
