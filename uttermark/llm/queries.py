@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import bpe, mcd, mil, minhash, mixing, piece_counts, pii
+from uttermark.llm import bpe, mcd, mil, minhash, mixing, piece_counts, pii, substrings
 from uttermark.llm.common import documents, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -59,6 +59,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_repeated_bytes")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    d = substrings.removed(documents(spark, folder))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op8_pii")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(documents(spark, folder))
