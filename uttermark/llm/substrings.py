@@ -206,7 +206,7 @@ def anchored(docs: DataFrame) -> DataFrame:
     return identified(docs).mapInArrow(run, schema)
 
 
-def met(anchors: DataFrame) -> DataFrame:
+def met(anchors: DataFrame, together: int = STRETCHES) -> DataFrame:
     """Rows sorted by anchor become covers (kind 0) and stretches to be sorted (kind 1).
 
     One pass over sorted rows that holds one row at a time: the first of each stretch waits until
@@ -241,7 +241,7 @@ def met(anchors: DataFrame) -> DataFrame:
         """The stretch at hand is over; ``h`` is the anchor that comes next."""
         if held is None:
             return None, 0
-        chunk = seen // STRETCHES
+        chunk = seen // together
         row = (1, held[0], chunk, held[2], *held[3:])
         if seen == 0:
             waiting = row
@@ -316,7 +316,7 @@ def stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("rid", "sub", "z", "w").mapInArrow(run, schema)
 
 
-def sorted_runs(rows: DataFrame) -> DataFrame:
+def sorted_runs(rows: DataFrame, together: int = STRETCHES) -> DataFrame:
     """Sort the strings of each anchor's stretches: covers (kind 0), and, for anchors in several
     chunks, runs of one (kind 2) with their digest, and digests of longer runs (kind 3)."""
     schema = "kind int, digest binary, rid bigint, sub int, place bigint"
@@ -328,7 +328,7 @@ def sorted_runs(rows: DataFrame) -> DataFrame:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (row[0], row[1]) != key:
                     if group:
-                        groups.append((key[1] > 0 or len(group) >= STRETCHES, group))
+                        groups.append((key[1] > 0 or len(group) >= together, group))
                     if size > SORTED:
                         yield _sorted(groups)
                         groups, size = [], 0
@@ -336,7 +336,7 @@ def sorted_runs(rows: DataFrame) -> DataFrame:
                 group.append(row[2:])
                 size += 1 + ((row[5] >> 12) & 4095)
         if group:
-            groups.append((key[1] > 0 or len(group) >= STRETCHES, group))
+            groups.append((key[1] > 0 or len(group) >= together, group))
         yield _sorted(groups)
 
     def _sorted(groups):
@@ -402,10 +402,10 @@ def sorted_runs(rows: DataFrame) -> DataFrame:
     return ordered.select("h", "chunk", "n", "rid", "sub", "place", "data").mapInArrow(run, schema)
 
 
-def covers(docs: DataFrame) -> DataFrame:
+def covers(docs: DataFrame, together: int = STRETCHES) -> DataFrame:
     """``rid, sub, places``: per text the places (packed) whose strings occur elsewhere."""
-    rows = stored(met(anchored(docs)), "met")
-    runs = stored(sorted_runs(stretches(docs, rows.where("kind = 1"))), "runs")
+    rows = stored(met(anchored(docs), together), "met")
+    runs = stored(sorted_runs(stretches(docs, rows.where("kind = 1")), together), "runs")
     across = runs.where("kind >= 2")
     twice = across.groupBy("digest").agg(F.sum("kind").alias("k")).where("k > 2").select("digest")
     late = runs.where("kind = 2").join(twice, "digest")  # 2: once; 3: oftener than once
@@ -420,7 +420,7 @@ def reduce_union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, together: int = STRETCHES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` of every document; ``kept`` as bytes.
 
     Null texts count as empty; texts shorter than LENGTH stay whole; repeated rows and copies are
@@ -428,7 +428,7 @@ def removed(docs: DataFrame) -> DataFrame:
     no rows.  Only ``doc_id`` and ``text`` are looked at.
     """
     d = docs.select("doc_id", "text")
-    rows = squeezed(d, "doc_id").join(stored(covers(d), "covers"), ["rid", "sub"], "left")
+    rows = squeezed(d, "doc_id").join(stored(covers(d, together), "covers"), ["rid", "sub"], "left")
     schema = T.StructType(
         [
             d.schema["doc_id"],
