@@ -22,7 +22,7 @@ from uttermark.llm.common import stored
 SHARD = 8192  # nodes
 LINKS = 12  # per node and layer; twice as many on the ground
 BUILD_WIDTH = 64
-SEARCH_WIDTH = 96
+SEARCH_WIDTH = 200
 BLOCK = 256  # queries that travel together
 
 

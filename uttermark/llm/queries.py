@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import bpe, hnsw, mcd, mil, minhash, mixing, piece_counts, pii, substrings
+from uttermark.llm import bpe, chaining, hnsw, mcd, mil, minhash, mixing, piece_counts, pii, substrings
 from uttermark.llm.common import documents, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -46,6 +46,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return hnsw.nearest(table(spark, folder, "embeddings"))
 
 
+@query("op4_passages")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return chaining.repeated_passages(documents(spark, folder))
+
+
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     d = documents(spark, folder)

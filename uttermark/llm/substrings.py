@@ -143,7 +143,7 @@ _MET = "kind int, h bigint, chunk int, n int, rid bigint, sub int, place bigint"
 
 def identified(docs: DataFrame, text: str = "text") -> DataFrame:
     """``rid, sub, text``: texts named by 96 bits of hashes, null texts as empty ones."""
-    rid, sub, t = _ids(F.col(text))
+    rid, sub, t = text_ids(F.col(text))
     return docs.select(rid.alias("rid"), sub.alias("sub"), t.alias("text"))
 
 
@@ -265,7 +265,7 @@ def met(anchors: DataFrame, together: int = STRETCHES) -> DataFrame:
 
 def squeezed(docs: DataFrame, *keep: str) -> DataFrame:
     """``rid, sub``, the text compressed as ``z``, and further columns, for a cheaper shuffle."""
-    rid, sub, text = _ids(F.col("text"))
+    rid, sub, text = text_ids(F.col("text"))
     named = docs.select(*keep, rid.alias("rid"), sub.alias("sub"), text.alias("text"))
     schema = T.StructType([*named.schema.fields[:-1], T.StructField("z", T.BinaryType())])
 
@@ -278,7 +278,7 @@ def squeezed(docs: DataFrame, *keep: str) -> DataFrame:
     return named.mapInArrow(run, schema)
 
 
-def _ids(text):
+def text_ids(text):
     t = F.coalesce(text, F.lit(""))
     return [F.xxhash64(t), F.crc32(t.cast("binary")).bitwiseAND(0x7FFFFFFF).cast("int"), t]
 
