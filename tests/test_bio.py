@@ -53,7 +53,7 @@ def test_bio_check(spark):
     ]
     df = spark.createDataFrame(rows, "i int, k array<string>, t array<string>")
     got = [r.bio_reason for r in filters.check_bio(df, "k", "t").orderBy("i").collect()]
-    assert got == ["", "I-x without matching B-x", "I-y without matching B-y", "Token/tag count mismatch: 1 vs 2", ""]
+    assert got == ["", "opens-inside:I-x", "opens-inside:I-y", "lengths:1/2", ""]
 
 
 def greedy(tokens, slots, wait):

@@ -80,8 +80,8 @@ def test_lexicon_forbidden_beats_expected(spark):
     rules = literal_table(spark, "intent string, expected array<string>, forbidden array<string>", [("on", ["allume"], ["éteins"]), ("set", ["règle"], [])])
     df = spark.createDataFrame([("on", "Allume puis eteins"), ("on", "ouvre"), ("set", "REGLE ça"), ("x", "?")], "intent string, t string")
     got = {(r.intent, r.t): (r.verb_ok, r.verb_reason) for r in labels.validate_lexicon(df, "t", "intent", rules).collect()}
-    assert got[("on", "Allume puis eteins")] == (False, "forbidden:éteins") and got[("on", "ouvre")] == (False, "no-expected-verb")
-    assert got[("set", "REGLE ça")] == (True, "règle") and got[("x", "?")] == (True, "no-guidance")
+    assert got[("on", "Allume puis eteins")] == (False, "banned=éteins") and got[("on", "ouvre")] == (False, "none-listed")
+    assert got[("set", "REGLE ça")] == (True, "règle") and got[("x", "?")] == (True, "unruled")
 
 
 def test_csv_bad_rows(spark, tmp_path):

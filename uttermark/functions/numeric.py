@@ -11,15 +11,6 @@ def half_even(x: Column, scale: int = 0) -> Column:
     return F.bround(x, scale)
 
 
-def linear_percentile(x: Column, p: float) -> Column:
-    """Aggregate: percentile with linear interpolation on rank ``(n - 1) * p / 100``.
-
-    Spark's ``percentile`` keeps a count per distinct value in one buffer.  For a
-    column of unbounded distinct values use ``operators.order.exact_percentiles``.
-    """
-    return F.percentile(x, p / 100.0)
-
-
 def value_cell(x: Column, per_octave: int = 256) -> Column:
     """An integer that never decreases as ``x`` grows: sign, then log-scale cell.
 

@@ -52,16 +52,10 @@ def bio_error(tokens: Column, tags: Column) -> Column:
         )
         first = F.get(bad, F.lit(0))
         return F.when(first.isNull(), "").otherwise(
-            F.concat(first, F.lit(" without matching B-"), F.substring(first, 3, ANY))
+            F.concat(F.lit("opens-inside:"), first)
         )
 
-    mismatch = F.concat_ws(
-        " ",
-        F.lit("Token/tag count mismatch:"),
-        F.size(tokens).cast("string"),
-        F.lit("vs"),
-        F.size(tags).cast("string"),
-    )
+    mismatch = F.concat(F.lit("lengths:"), F.size(tokens), F.lit("/"), F.size(tags))
     return F.when(F.size(tokens) != F.size(tags), mismatch).otherwise(let(tags, body))
 
 

@@ -123,7 +123,7 @@ def strip_accents_any(text: pd.Series) -> pd.Series:
 
 
 def strip_suffix(tokens: Column) -> Column:
-    """Cut a final apostrophe suffix from each token ("beach'a" -> "beach")."""
+    """Each token up to its last apostrophe, if only letters and digits follow that."""
     return F.transform(tokens, lambda t: F.regexp_replace(t, r"'[\p{L}\p{N}_]*$", ""))
 
 

@@ -36,8 +36,10 @@ def in_range(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
 def drop_label(df: DataFrame, config: DataFrame, lang: str = "lang", label: str = "intent"):
     """Drop the label each language excludes; ``config(lang, excluded)``."""
     c = config.select(F.col("lang").alias(lang), F.lower("excluded").alias("_excluded"))
+    # A language may exclude several labels; its row is then one with all of them.
+    c = c.groupBy(lang).agg(F.collect_set("_excluded").alias("_excluded"))
     out = df.join(c, lang, "left")
-    same = F.lower(F.col(label)) == F.col("_excluded")
+    same = F.array_contains("_excluded", F.lower(F.col(label)))
     return out.where(~F.coalesce(same, F.lit(False))).drop("_excluded")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from uttermark.functions.numeric import value_cell
-from uttermark.session import checked_broadcast
+from uttermark.session import sized
 
 ORDER_CELLS = 3  # hex digits of the hash used as cell: 4096 cells per group
 
@@ -116,8 +116,8 @@ def within_rank(
     # A cut at or above n leaves no threshold in any cell: everything is in.
     full = cells.groupBy("_g").agg(F.max("_n").alias("_n"))
     full = full.select("_g", *[(c(F.col("_n")) >= F.col("_n")).alias(f"_all_{m}") for m, c in cuts.items()])
-    # Counted before it is broadcast: with few groups the rows of df stay where they are.
-    ends = checked_broadcast(full.join(ends, "_g", "left"))
+    # Of known size: with few groups Spark broadcasts it and the rows of df stay where they are.
+    ends = sized(full.join(ends, "_g", "left"), "cuts")
     out = df.withColumn("_g", group).withColumn("_place", place).join(ends, "_g")
     for name in cuts:
         under = F.coalesce(F.col("_place") <= F.col(f"_end_{name}"), F.lit(False))

@@ -9,43 +9,40 @@ from pyspark.sql import functions as F
 from uttermark.operators.order import running
 
 
-def _first_rows(df: DataFrame, group: str, order: list[str], cap: int) -> DataFrame:
-    """The first ``cap`` rows of each group.  Spark applies the limit before the shuffle
-    too, so a large group sends only ``cap`` rows per task."""
-    w = W.partitionBy(group).orderBy(*order)
-    return df.withColumn("_pos", F.row_number().over(w)).where(F.col("_pos") <= cap)
-
-
 def pick_closest(
-    df: DataFrame, group: str, x: str, order: list[str], target=6.0, cap=60, hi=12.0
+    df: DataFrame, group: str, x: str, order: list[str], target=6.0, hi=12.0
 ) -> DataFrame:
-    """Of the first ``cap`` rows per group, the one whose ``x <= hi`` is closest to the
-    target; the earliest on ties."""
-    rows = _first_rows(df, group, order, cap).where(F.col(x) <= hi)
-    w = W.partitionBy(group).orderBy(F.abs(F.col(x) - target), "_pos")
-    best = rows.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    return best.drop("_r", "_pos")
+    """Of all rows of a group with ``x <= hi`` the one closest to the target, the earliest on
+    ties: one aggregate that merges on the map side."""
+    rows = df.where(F.col(x) <= hi)
+    key = F.struct(F.abs(F.col(x) - target), *order)
+    best = rows.groupBy(group).agg(F.min_by(F.struct(*df.columns), key).alias("_b"))
+    return best.select("_b.*")
 
 
 def pick_diverse(
-    df: DataFrame, group: str, cls: str, x: str, order: list[str], k=8, lo=5.0, hi=12.0, cap=400
+    df: DataFrame, group: str, cls: str, x: str, order: list[str], k=8, lo=5.0, hi=12.0
 ) -> DataFrame:
     """Up to k rows per group: the longest of each class in class order, then the longest
-    of the rest.  ``ref_idx`` numbers the choice by class."""
-    rows = _first_rows(df, group, order, cap).where(F.col(x).between(lo, hi))
-    in_class = W.partitionBy(group, cls).orderBy(F.desc(x), "_pos")
-    rows = rows.withColumn("_rc", F.row_number().over(in_class))
+    of the rest.  ``ref_idx`` numbers the choice by class.
+
+    All rows are looked at.  No class can give more than k, and Spark applies that limit
+    before the shuffle, so a large group sends only k rows per class and task.
+    """
+    rows = df.where(F.col(x).between(lo, hi))
+    in_class = W.partitionBy(group, cls).orderBy(F.desc(x), *order)
+    rows = rows.withColumn("_rc", F.row_number().over(in_class)).where(F.col("_rc") <= k)
     first = F.col("_rc") == 1
     pick = W.partitionBy(group).orderBy(
         F.when(first, 0).otherwise(1),
         F.when(first, F.col(cls)),
         F.when(~first, -F.col(x)),
         cls,
-        "_pos",
+        *order,
     )
     rows = rows.withColumn("_r", F.row_number().over(pick)).where(F.col("_r") <= k)
     idx = W.partitionBy(group).orderBy(cls, "_r")
-    return rows.withColumn("ref_idx", F.row_number().over(idx) - 1).drop("_rc", "_r", "_pos")
+    return rows.withColumn("ref_idx", F.row_number().over(idx) - 1).drop("_rc", "_r")
 
 
 def pick_until(

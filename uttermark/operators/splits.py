@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from uttermark.operators.order import ranked, within_rank
 
 def group_split(
-    df: DataFrame, key: str, sizes: tuple[int, int, int], seed: int = 42
+    df: DataFrame, key: str, sizes: tuple[int, int, int], seed: int = 42, exact: bool = False
 ) -> DataFrame:
     """Add ``split`` by whole groups: every row of one key goes to the same split.
 
-    ``sizes`` are train, dev and test in groups.  With fewer groups dev and test shrink
-    in proportion (at least 1 each), with more the surplus groups are cut.
+    ``sizes`` are train, dev and test in groups, taken as ratios: dev and test get their
+    share of the groups there are (at least 1 each), train all others.  With ``exact``
+    and enough groups the sizes are met to the group, and the surplus groups are marked
+    ``unused``.
     """
     train, dev, test = sizes
     total = train + dev + test
@@ -27,18 +29,18 @@ def group_split(
     r = ranked(keys, [], [key], seed, "_rn", "_n")
     have = F.col("_n")
     share = {
-        name: F.when(have >= total, F.lit(size)).otherwise(
+        name: F.when((have >= total) & F.lit(exact), F.lit(size)).otherwise(
             F.greatest(F.lit(1), F.floor(have * F.lit(size) / F.lit(float(total))))
         )
         for name, size in (("dev", dev), ("test", test))
     }
     split = (
-        F.when(F.col("_rn") > total, None)
+        F.when(F.lit(exact) & (F.col("_rn") > total), "unused")
         .when(F.col("_rn") <= share["test"], "test")
         .when(F.col("_rn") <= share["test"] + share["dev"], "dev")
         .otherwise("train")
     )
-    parts = r.select(key, split.alias("split")).where(F.col("split").isNotNull())
+    parts = r.select(key, split.alias("split"))
     return df.join(parts, key)
 
 

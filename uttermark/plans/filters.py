@@ -52,8 +52,8 @@ v AS (SELECT *, lag(tag) OVER (PARTITION BY utt_id ORDER BY pos) AS prev FROM u)
 w AS (SELECT utt_id, arg_min(tag, pos) AS bad FROM v WHERE tag LIKE 'I-%' AND
   (CASE WHEN prev LIKE 'B-%' OR prev LIKE 'I-%' THEN substr(prev, 3) ELSE '' END) <> substr(tag, 3) GROUP BY 1),
 r AS (SELECT st.utt_id, CASE WHEN len(tokens) <> len(tags)
-    THEN 'Token/tag count mismatch: ' || len(tokens) || ' vs ' || len(tags)
-    WHEN bad IS NULL THEN '' ELSE bad || ' without matching B-' || substr(bad, 3) END AS bio_reason
+    THEN 'lengths:' || len(tokens) || '/' || len(tags)
+    WHEN bad IS NULL THEN '' ELSE 'opens-inside:' || bad END AS bio_reason
   FROM st LEFT JOIN w ON w.utt_id = st.utt_id)
 SELECT utt_id, bio_reason, bio_reason = '' AS bio_ok FROM r""",
 )

@@ -153,7 +153,7 @@ def k4(t):
 
 def carriers(t):
     return t.conversations.where("role <> 'system'").select(
-        (F.col("conv_id") * 100000 + F.col("turn")).alias("utt_id"), F.col("role").alias("intent"), "text"
+        F.concat_ws(":", "conv_id", "turn").alias("utt_id"), F.col("role").alias("intent"), "text"
     )
 
 
@@ -161,7 +161,7 @@ def carriers(t):
     "k7_expand_coverage",
     """WITH m AS (SELECT n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
 cp AS (SELECT value, unnest(range(1, CAST(greatest(3, least(round_even(n / (SELECT max(n) FROM m) * 20, 0), 20)) AS BIGINT) + 1)) AS copy FROM m),
-ca AS (SELECT conv_id * 100000 + turn AS utt_id, role AS intent FROM conversations WHERE role <> 'system'),
+ca AS (SELECT conv_id || ':' || turn AS utt_id, role AS intent FROM conversations WHERE role <> 'system'),
 nb AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY md5('carrier-42:' || utt_id), utt_id) AS rn, count(*) OVER (PARTITION BY intent) AS size FROM ca),
 ch AS (SELECT value, copy, ['assistant', 'user'][1 + CAST('0x' || substr(md5('42:' || value || ':' || copy || ':intent'), 1, 12) AS BIGINT) % 2] AS intent,
   CAST('0x' || substr(md5('42:' || value || ':' || copy || ':row'), 1, 12) AS BIGINT) AS h FROM cp)

@@ -37,7 +37,7 @@ class Tables:
     def turns(self) -> DataFrame:
         """One row per conversation turn, with tokens."""
         return self.wide("conversations", "*").select(
-            (F.col("conv_id") * 100000 + F.col("turn")).alias("utt_id"),
+            F.concat_ws(":", "conv_id", "turn").alias("utt_id"),
             "conv_id",
             "turn",
             "role",
@@ -81,7 +81,7 @@ def pred_tag(token):
 SQL_WORD = r"'[\p{L}\p{N}_]+(?:''[\p{L}\p{N}_]+)?'"
 
 TURNS_SQL = f"""turns AS (
-  SELECT conv_id * 100000 + turn AS utt_id, conv_id, turn, role, text,
+  SELECT conv_id || ':' || turn AS utt_id, conv_id, turn, role, text,
          regexp_extract_all(lower(text), {SQL_WORD}) AS tokens
   FROM conversations)"""
 

@@ -34,11 +34,16 @@ def g3_sort(t):
     return seeded_order(t.documents.select("doc_id", "lang"), ["doc_id"])
 
 
-def _group_split_sql(key, table, total, dev, test):
-    return f"""WITH k AS (SELECT DISTINCT {key} AS k FROM {table}), r AS ({rank_sql("k", "", "k", 42)}),
-s AS (SELECT k, CASE WHEN rn <= CASE WHEN n >= {total} THEN {test} ELSE greatest(1, n * {test} // {total}) END THEN 'test'
+def _group_split_sql(key, table, total, dev, test, exact=False):
+    if exact:
+        return f"""WITH k AS (SELECT DISTINCT {key} AS k FROM {table}), r AS ({rank_sql("k", "", "k", 42)}),
+s AS (SELECT k, CASE WHEN n >= {total} AND rn > {total} THEN 'unused' WHEN rn <= CASE WHEN n >= {total} THEN {test} ELSE greatest(1, n * {test} // {total}) END THEN 'test'
   WHEN rn <= CASE WHEN n >= {total} THEN {test} + {dev} ELSE greatest(1, n * {test} // {total}) + greatest(1, n * {dev} // {total}) END THEN 'dev'
-  ELSE 'train' END AS split FROM r WHERE rn <= {total})"""
+  ELSE 'train' END AS split FROM r)"""
+    return f"""WITH k AS (SELECT DISTINCT {key} AS k FROM {table}), r AS ({rank_sql("k", "", "k", 42)}),
+s AS (SELECT k, CASE WHEN rn <= greatest(1, n * {test} // {total}) THEN 'test'
+  WHEN rn <= greatest(1, n * {test} // {total}) + greatest(1, n * {dev} // {total}) THEN 'dev'
+  ELSE 'train' END AS split FROM r)"""
 
 
 @query(
@@ -47,19 +52,21 @@ s AS (SELECT k, CASE WHEN rn <= CASE WHEN n >= {total} THEN {test} ELSE greatest
     + " SELECT c.conv_id, c.turn, s.split FROM conversations c JOIN s ON s.k = c.conv_id",
 )
 def j1(t):
-    """Fewer conversations than the published sizes: dev and test shrink."""
+    """The published sizes (fixed values) as ratios of the conversations there are."""
     d = splits.group_split(t.conversations, "conv_id", (4488, 490, 893))
     return d.select("conv_id", "turn", "split")
 
 
 @query(
     "j1_group_split_cut",
-    _group_split_sql("l_orderkey", "lineitem", 5871, 490, 893)
+    _group_split_sql("l_orderkey", "lineitem", 5871, 490, 893, exact=True)
     + " SELECT split, count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_groups FROM lineitem l JOIN s ON s.k = l.l_orderkey GROUP BY 1",
 )
 def j1_cut(t):
-    """More orders than the published sizes: the surplus is cut, the sizes are exact."""
-    d = splits.group_split(t.lineitem.select("l_orderkey"), "l_orderkey", (4488, 490, 893))
+    """More orders than the published sizes: the sizes are exact, the surplus is counted."""
+    d = splits.group_split(
+        t.lineitem.select("l_orderkey"), "l_orderkey", (4488, 490, 893), exact=True
+    )
     per = d.groupBy("split", "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"))
 

@@ -26,7 +26,7 @@ CLIPS_SQL = """clips AS (SELECT l_suppkey AS speaker, l_linenumber AS intent, l_
 
 @query(
     "f2_pick_closest",
-    f"""WITH {CLIPS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY abs(dur - 6), pos) AS r FROM clips WHERE pos <= 60 AND dur <= 12)
+    f"""WITH {CLIPS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY abs(dur - 6), pos) AS r FROM clips WHERE dur <= 12)
 SELECT speaker, intent, dur, l_orderkey FROM r WHERE r = 1""",
 )
 def f2(t):
@@ -36,7 +36,7 @@ def f2(t):
 
 @query(
     "f3_pick_diverse",
-    f"""WITH {CLIPS_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY speaker, intent ORDER BY dur DESC, pos) AS rc FROM clips WHERE pos <= 400 AND dur BETWEEN 5 AND 12),
+    f"""WITH {CLIPS_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY speaker, intent ORDER BY dur DESC, pos) AS rc FROM clips WHERE dur BETWEEN 5 AND 12),
 p AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY CASE WHEN rc = 1 THEN 0 ELSE 1 END,
   CASE WHEN rc = 1 THEN intent END, CASE WHEN rc > 1 THEN -dur END, intent, pos) AS r FROM c)
 SELECT speaker, intent, dur, l_orderkey, row_number() OVER (PARTITION BY speaker ORDER BY intent, r) - 1 AS ref_idx FROM p WHERE r <= 8""",

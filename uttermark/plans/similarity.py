@@ -48,7 +48,7 @@ def h4(t):
 
 def utterances(t):
     return t.conversations.select(
-        (F.col("conv_id") * 100000 + F.col("turn")).alias("utt_id"), "text"
+        F.concat_ws(":", "conv_id", "turn").alias("utt_id"), "text"
     )
 
 
@@ -69,7 +69,7 @@ BLEU_TOKENS = r"""list_filter(regexp_split_to_array(
 
 @query(
     "d9_max_bleu4",
-    f"""WITH c AS (SELECT conv_id * 100000 + turn AS cid, {BLEU_TOKENS} AS k FROM conversations),
+    f"""WITH c AS (SELECT conv_id || ':' || turn AS cid, {BLEU_TOKENS} AS k FROM conversations),
 o AS (SELECT item_id AS oid, {BLEU_TOKENS} AS k FROM benchmark),
 ns AS (SELECT unnest([1, 2, 3, 4]) AS n),
 cg AS (SELECT cid, n, g, count(*) AS x FROM (SELECT cid, n, unnest(list_transform(range(1, len(k) - n + 2), lambda i: array_to_string(k[i:i+n-1], chr(1)))) AS g FROM c, ns) GROUP BY 1, 2, 3),

@@ -260,10 +260,10 @@ LEXICON = [
 LEXICON_SQL = f"""v AS (SELECT utt_id, role, lower(strip_accents(text)) AS tx FROM (WITH {TURNS_SQL} SELECT * FROM turns)),
 lex AS (SELECT utt_id, role,
   CASE role
-    WHEN 'user' THEN CASE WHEN contains(tx, 'edre') THEN 'forbidden:édre' WHEN contains(tx, 'wher') THEN 'forbidden:wher'
-      WHEN contains(tx, 'the') THEN 'the' WHEN contains(tx, 'hath') THEN 'hath' ELSE 'no-expected-verb' END
-    WHEN 'assistant' THEN CASE WHEN contains(tx, 'ing') THEN 'ing' WHEN contains(tx, 'ent') THEN 'ent' ELSE 'no-expected-verb' END
-    ELSE 'no-guidance' END AS verb_reason FROM v)"""
+    WHEN 'user' THEN CASE WHEN contains(tx, 'edre') THEN 'banned=édre' WHEN contains(tx, 'wher') THEN 'banned=wher'
+      WHEN contains(tx, 'the') THEN 'the' WHEN contains(tx, 'hath') THEN 'hath' ELSE 'none-listed' END
+    WHEN 'assistant' THEN CASE WHEN contains(tx, 'ing') THEN 'ing' WHEN contains(tx, 'ent') THEN 'ent' ELSE 'none-listed' END
+    ELSE 'unruled' END AS verb_reason FROM v)"""
 
 
 def lexicon(t):
@@ -278,7 +278,7 @@ def lexicon(t):
 @query(
     "b17_validate_lexicon",
     f"""WITH {LEXICON_SQL} SELECT utt_id, verb_reason,
-  NOT (verb_reason = 'no-expected-verb' OR verb_reason LIKE 'forbidden:%') AS verb_ok FROM lex""",
+  NOT (verb_reason = 'none-listed' OR verb_reason LIKE 'banned=%') AS verb_ok FROM lex""",
 )
 def b17(t):
     return lexicon(t).select("utt_id", "verb_reason", "verb_ok")
@@ -287,7 +287,7 @@ def b17(t):
 @query(
     "e29_lexicon_failures",
     f"""WITH {LEXICON_SQL} SELECT 'xx' AS lang, role, verb_reason, count(*) AS n FROM lex
-WHERE verb_reason = 'no-expected-verb' OR verb_reason LIKE 'forbidden:%' GROUP BY 2, 3""",
+WHERE verb_reason = 'none-listed' OR verb_reason LIKE 'banned=%' GROUP BY 2, 3""",
 )
 def e29(t):
     return labels.lexicon_failures(lexicon(t).withColumn("lang", F.lit("xx")), "lang", "role")

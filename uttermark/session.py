@@ -15,12 +15,15 @@ _FALLBACK: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is
-    made and used instead.
+    Only where the setting is absent and everything runs in one process a temporary
+    folder is made; on a cluster a missing setting is an error, as executors could not
+    read such a folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="uttermark-")
@@ -40,16 +43,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BROADCAST_ROWS = 100_000  # of narrow rows (keys and a few numbers): about 10 MB
+def sized(df: DataFrame, name: str) -> DataFrame:
+    """Compute a table once and read it back from the shared folder.
 
-
-def checked_broadcast(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a narrow table once and mark it for broadcast if it is proven small.
-
-    Its rows are counted first; a larger table is returned for an ordinary shuffled join.
+    Its size in bytes is then known from the files, and Spark decides by its own
+    threshold whether a join broadcasts it.
     """
-    done = materialise(dim)
-    return F.broadcast(done) if done.count() <= limit else done
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def literal_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
