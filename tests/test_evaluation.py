@@ -121,7 +121,7 @@ def test_pick_closest_and_diverse(spark):
 def test_similarity_leaves_one_out(spark):
     rows = [(0, "a", [1.0, 0.0]), (1, "a", [0.0, 1.0]), (2, "b", [1.0, 1.0])]
     df = spark.createDataFrame(rows, "i int, s string, v array<float>")
-    got = {r.i: r for r in similarity.centroid_similarity(similarity.long_form(df, ["i", "s"], "v"), "i", "s").collect()}
+    got = {r.i: r for r in similarity.centroid_similarity(df, "i", "s", "v").collect()}
     assert got[0].self_cos == pytest.approx(0.0) and got[0].cross_cos == pytest.approx(2**-0.5, abs=1e-6)
     assert got[2].self_cos is None
 

@@ -99,8 +99,7 @@ SELECT own.vec_id, own.label, round(self_cos, 6) AS self_cos, round(own_cos, 6)
 FROM own JOIN cr ON cr.vec_id = own.vec_id GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY own.vec_id, own.label, self_cos, own_cos"),
 )
 def e18(t):
-    long = similarity.long_form(t.embeddings, ["vec_id", "label"], "embedding")
-    d = similarity.centroid_similarity(long, "vec_id", "label")
+    d = similarity.centroid_similarity(t.embeddings, "vec_id", "label", "embedding")
     return rounded(d, "self_cos", "own_cos", "cross_cos", "delta")
 
 

@@ -291,11 +291,25 @@ SELECT a.label AS label_a, b.label AS label_b,
 FROM c a JOIN c b ON a.d = b.d AND a.label < b.label GROUP BY 1, 2""",
 )
 def d15(t):
-    c = similarity.centroids(similarity.long_form(t.embeddings, ["label"], "embedding"), ["label"])
+    c = similarity.centroids(t.embeddings, ["label"], "embedding")
     d = similarity.pairwise_centroid_cosine(c, "label")
     return d.withColumn("cosine", F.round("cosine", 6))
 
 
+@query(
+    "d15_mean_centroid_cosine",
+    """WITH x AS (SELECT label, unnest(embedding) AS a, generate_subscripts(embedding, 1) AS d FROM embeddings),
+c AS (SELECT label, d, avg(CAST(a AS DOUBLE)) AS x FROM x GROUP BY 1, 2),
+p AS (SELECT a.label, b.label AS other, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) + 1e-9) / (sqrt(sum(b.x * b.x)) + 1e-9) AS cosine
+  FROM c a JOIN c b ON a.d = b.d AND a.label <> b.label GROUP BY 1, 2)
+SELECT label, round(avg(cosine), 6) AS mean_cosine FROM p GROUP BY 1""",
+)
+def d15_mean(t):
+    c = similarity.centroids(t.embeddings, ["label"], "embedding")
+    d = similarity.mean_centroid_cosine(c, "label")
+    return d.withColumn("mean_cosine", F.round("mean_cosine", 6))
+
+
 @query(
     "a12_pending",
     """SELECT DISTINCT event_type, user_id FROM events e WHERE NOT EXISTS

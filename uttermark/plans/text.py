@@ -321,9 +321,7 @@ SELECT vec_id, round(sum(CAST(a AS DOUBLE) * b) / (sqrt(sum(CAST(a AS DOUBLE) *
 FROM x JOIN c USING (label, d) GROUP BY vec_id""",
 )
 def b20(t):
-    v = similarity.long_form(t.embeddings, ["vec_id", "label"], "embedding")
-    c = similarity.centroids(v, ["label"])
-    both = v.join(c.withColumnRenamed("x", "c"), ["label", "dim"])
-    return similarity.cosine(both, ["vec_id"], "x", "c").select(
-        "vec_id", F.round("cosine", 6).alias("cosine")
-    )
+    both = t.embeddings.join(similarity.centroids(t.embeddings, ["label"], "embedding"), "label")
+    vec = F.col("embedding").cast("array<double>")
+    cosine = similarity.cosine(vec, F.col("center"))
+    return both.select("vec_id", F.round(cosine, 6).alias("cosine"))
