@@ -221,11 +221,13 @@ def family_ablation(
     no_slot: float = 0.25,
     seed: int | str = 42,
     tries: int = 40,
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """New utterances of every register family at once, each family with the same budget.
 
     ``templates``: ``family, with_slot, intent, template``.  Unique per (family, intent,
-    text); ``no_slot`` of the budget goes to templates without the main slot.
+    text); ``no_slot`` of the budget goes to templates without the main slot.  Also returns
+    rows wanted, got and missing per family: ``tries`` attempts per row may not suffice where
+    few texts are possible.
     """
     group = ["family", "with_slot"]
     fams = templates.select("family").distinct()
@@ -235,7 +237,8 @@ def family_ablation(
         expand_templates(_choose_intent(templates.drop("n")), pools, wanted, group, seed)
     )
     made = made.withColumn("_p", (~F.col("with_slot")).cast("int"))
-    return fill_quota(made, quota, group, ["family", "intent", "command"], ["_p"]).drop("_p")
+    kept = fill_quota(made, quota, group, ["family", "intent", "command"], ["_p"]).drop("_p")
+    return kept, shortfall(kept, quota, group)
 
 
 def augment(
@@ -245,14 +248,16 @@ def augment(
     no_slot: float = 0.25,
     seed: int | str = 42,
     tries: int = 12,
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame]:
     """Targeted augmentation: ``counts(intent, target)`` new utterances per intent, part of
-    them without the slot, unique per (pattern, text) over all intents."""
+    them without the slot, unique per (pattern, text) over all intents.  Also returns rows
+    wanted, got and missing per group."""
     group = ["intent", "with_slot"]
     quota = counts.select("intent", "target", F.inline(split_quota(F.col("target"), no_slot)))
     wanted = quota.select(*group, (F.col("target") * tries).alias("n_attempts"))
     made = expand_templates(templates, pools, wanted, group, seed)
-    return fill_quota(made, quota, group, ["with_slot", "command"], ["intent"])
+    kept = fill_quota(made, quota, group, ["with_slot", "command"], ["intent"])
+    return kept, shortfall(kept, quota, group)
 
 
 def expand_coverage(

@@ -82,7 +82,7 @@ def n1(t):
 @query("n1_intent_sweep_logreg")
 def n1_logreg(t):
     train, test = experiment(t)
-    return rounded(classify.intent_sweep_logreg(train, test, ["0.00", "real_only"]), "accuracy")
+    return rounded(classify.intent_sweep_logreg(train, test, ["real_only", *[f"{r:.2f}" for r in RATIOS]]), "accuracy")
 
 
 @query(

@@ -121,7 +121,7 @@ def e13(t):
 @query(
     "e14_compare_sides",
     f"""WITH {PRED_SQL}, x AS (SELECT source, 'accuracy' AS metric, CASE WHEN lang = 'en' THEN 'real' ELSE 'synthetic' END AS side,
-  round(avg(CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END), 4) AS value FROM pred WHERE NOT (lang = 'en' AND source < 'src_12') GROUP BY 1, 2, 3),
+  round(avg(CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END), 4) AS value FROM pred GROUP BY 1, 2, 3),
 w AS (SELECT source, metric, max(value) FILTER (WHERE side = 'real') AS real, max(value) FILTER (WHERE side = 'synthetic') AS synthetic FROM x GROUP BY 1, 2)
 SELECT source, metric, real, synthetic, round((real - synthetic) * 100, 6) AS delta_pp,
   CASE WHEN real IS NULL OR synthetic IS NULL THEN 'n/a' ELSE printf('%+.2f', round((real - synthetic) * 100, 2)) END AS shown FROM w""",
@@ -129,8 +129,7 @@ SELECT source, metric, real, synthetic, round((real - synthetic) * 100, 6) AS de
 def e14(t):
     side = F.when(F.col("lang") == "en", "real").otherwise("synthetic")
     ok = F.coalesce((F.col("pred") == F.col("gold")).cast("double"), F.lit(0.0))
-    d = predictions(t).where("NOT (lang = 'en' AND source < 'src_12')")
-    m = d.groupBy("source", F.lit("accuracy").alias("metric"), side.alias("side")).agg(
+    m = predictions(t).groupBy("source", F.lit("accuracy").alias("metric"), side.alias("side")).agg(
         F.round(F.avg(ok), 4).alias("value")
     )
     return rounded(metrics.compare_sides(m, ["source", "metric"]), "delta_pp")

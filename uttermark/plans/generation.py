@@ -152,7 +152,7 @@ def k4(t):
 
 
 def carriers(t):
-    return t.conversations.where("role <> 'system'").select(
+    return t.conversations.select(
         F.concat_ws(":", "conv_id", "turn").alias("utt_id"), F.col("role").alias("intent"), "text"
     )
 
@@ -161,9 +161,10 @@ def carriers(t):
     "k7_expand_coverage",
     """WITH m AS (SELECT n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
 cp AS (SELECT value, unnest(range(1, CAST(greatest(3, least(round_even(n / (SELECT max(n) FROM m) * 20, 0), 20)) AS BIGINT) + 1)) AS copy FROM m),
-ca AS (SELECT conv_id || ':' || turn AS utt_id, role AS intent FROM conversations WHERE role <> 'system'),
+ca AS (SELECT conv_id || ':' || turn AS utt_id, role AS intent FROM conversations),
+ro AS (SELECT list(DISTINCT role ORDER BY role) AS r FROM conversations),
 nb AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY md5('carrier-42:' || utt_id), utt_id) AS rn, count(*) OVER (PARTITION BY intent) AS size FROM ca),
-ch AS (SELECT value, copy, ['assistant', 'user'][1 + CAST('0x' || substr(md5('42:' || value || ':' || copy || ':intent'), 1, 12) AS BIGINT) % 2] AS intent,
+ch AS (SELECT value, copy, (SELECT r FROM ro)[1 + CAST('0x' || substr(md5('42:' || value || ':' || copy || ':intent'), 1, 12) AS BIGINT) % (SELECT len(r) FROM ro)] AS intent,
   CAST('0x' || substr(md5('42:' || value || ':' || copy || ':row'), 1, 12) AS BIGINT) AS h FROM cp)
 SELECT ch.value, CAST(ch.copy AS INTEGER) AS copy, ch.intent, nb.utt_id FROM ch JOIN nb ON nb.intent = ch.intent AND nb.rn = ch.h % nb.size + 1""",
 )
@@ -192,25 +193,42 @@ def families(t):
 
 @query("k8_family_ablation")
 def k8(t):
-    d = generate.family_ablation(families(t), value_pools(t), 60)
+    d, _ = generate.family_ablation(families(t), value_pools(t), 60)
     return d.select("family", "with_slot", "intent", "command")
 
 
-@query("k8_family_counts", "SELECT f.family, s.with_slot, s.n, s.n AS n_unique FROM (VALUES ('indirect'), ('first_person')) f(family), (VALUES (true, 45), (false, 15)) s(with_slot, n), (SELECT count(*) AS k FROM part) WHERE k > 100")
+@query(
+    "k8_family_counts",
+    """WITH s AS (SELECT (SELECT count(DISTINCT p_name) FROM part) AS p, (SELECT count(DISTINCT lower(r_name)) FROM region) AS r,
+  (SELECT count(DISTINCT lower(n_name)) FROM nation) AS c),
+possible(family, with_slot, quota, n) AS (SELECT 'indirect', true, 45, p * r + r FROM s UNION ALL SELECT 'indirect', false, 15, p FROM s
+  UNION ALL SELECT 'first_person', true, 45, p * r + c FROM s UNION ALL SELECT 'first_person', false, 15, p FROM s)
+SELECT family, with_slot, CAST(least(quota, n) AS BIGINT) AS n, CAST(least(quota, n) AS BIGINT) AS n_unique FROM possible""",
+)
 def k8_counts(t):
     """Both families fill their budget of 60: 45 with the slot, 15 without, no repeats."""
-    d = generate.family_ablation(families(t), value_pools(t), 60)
+    d, _ = generate.family_ablation(families(t), value_pools(t), 60)
     per = d.groupBy("family", "with_slot", "command", "intent").agg(F.count(F.lit(1)).alias("c"))
     return per.groupBy("family", "with_slot").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_unique"))
 
 
-@query("k9_augment")
-def k9(t):
+def augmented(t):
     rows = [(i, w, s) for f, w, i, s in FAMILIES] + [("where", False, "where am i near {part}")]
     tpl = literal_table(t.spark, "intent string, with_slot boolean, template string", rows)
-    counts = dist(t).select("intent", F.least(F.col("weight"), F.lit(40)).alias("target"))
-    d = generate.augment(tpl, value_pools(t), counts)
-    return d.select("intent", "with_slot", "command")
+    counts = dist(t).select("intent", F.col("weight").alias("target"))
+    return generate.augment(tpl, value_pools(t), counts)
+
+
+@query("k9_augment")
+def k9(t):
+    made, _ = augmented(t)
+    return made.select("intent", "with_slot", "command")
+
+
+@query("k9_shortfall")
+def k9_missing(t):
+    """Rows wanted, got and missing: small value pools cannot fill every quota."""
+    return augmented(t)[1]
 
 
 @query(
