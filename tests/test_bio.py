@@ -42,7 +42,7 @@ def test_span_f1(spark):
     for _, g, p in rows:
         sg, sp = set(loop_spans(g)), set(loop_spans(p))
         tp, fp, fn = tp + len(sg & sp), fp + len(sp - sg), fn + len(sg - sp)
-    whole = metrics.span_f1(df, "g", "p").where("label IS NULL").first()
+    whole = metrics.span_f1(df, "g", "p").where("is_total").first()
     assert (whole.tp, whole.fp, whole.fn) == (tp, fp, fn)
     assert abs(whole.f1 - 2 * tp / (2 * tp + fp + fn)) < 1e-12 and whole.support == tp + fn
 

@@ -31,6 +31,9 @@ def test_prf_null_prediction_is_only_a_miss(spark):
     assert [tuple(r) for r in metrics.confusion(df, "g", "p").orderBy("gold").collect()] == [("a", "b", 1), ("b", "None", 1)]
     acc = {r.g: (r.tp, r.n) for r in metrics.accuracy(df.withColumn("ok", F.col("g").eqNullSafe(F.col("p"))), "g", "ok").collect()}
     assert acc == {"a": (1, 2), "b": (1, 2), None: (2, 4)}
+    nulls = spark.createDataFrame([("a", True), (None, True), (None, False)], "g string, ok boolean")
+    rows = {(r.g, r.is_total): (r.tp, r.n) for r in metrics.accuracy(nulls, "g", "ok").collect()}
+    assert rows == {("a", False): (1, 1), (None, False): (1, 2), (None, True): (2, 3)}
 
 
 def test_empty_denominators_give_zero(spark):

@@ -14,11 +14,13 @@ def norm_label(c: Column) -> Column:
 
 
 def accuracy(df: DataFrame, by: str, correct: str) -> DataFrame:
-    """``tp, n, accuracy`` per class and, with a null class, over all rows."""
+    """``tp, n, accuracy`` per class and over all rows; ``is_total`` marks the latter, as a
+    class may be null too."""
     ok = F.col(correct).cast("int")
     sums = df.groupBy(by).agg(F.sum(ok).alias("tp"), F.count(F.lit(1)).alias("n"))
     # The rollup runs over one row per class, not over the corpus.
-    out = sums.rollup(by).agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+    total = (F.grouping(by) == 1).alias("is_total")
+    out = sums.rollup(by).agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"), total)
     return out.withColumn("accuracy", ratio(F.col("tp"), F.col("n")))
 
 
@@ -37,7 +39,7 @@ def with_prf(df: DataFrame) -> DataFrame:
 
 
 def prf_by_class(df: DataFrame, gold: str, pred: str, cell: list[str] = ()) -> DataFrame:
-    """Per class and micro (null class): tp, fp, fn and scores.
+    """Per class and micro (``is_total``): tp, fp, fn and scores.
 
     A wrong row is a miss of its gold class and a false hit of the predicted class; a
     null prediction is only a miss.  ``cell`` columns keep experiments apart.
@@ -64,14 +66,15 @@ def prf_by_class(df: DataFrame, gold: str, pred: str, cell: list[str] = ()) -> D
 
 
 def _rolled(rows: DataFrame, cell: list[str], cls: str) -> DataFrame:
-    """Sums per class and over all classes (null), from one pass over the rows."""
+    """Sums per class and over all classes (``is_total``), from one pass over the rows."""
     per = rows.groupBy(*cell, cls).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     both = per.groupingSets([[*cell, cls], [*cell]], *cell, cls)
-    return with_prf(both.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+    total = (F.grouping(cls) == 1).alias("is_total")
+    return with_prf(both.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], total))
 
 
 def span_f1(df: DataFrame, gold: str, pred: str, cell: list[str] = ()) -> DataFrame:
-    """Span scores per slot type and overall (null type), with the support.
+    """Span scores per slot type and overall (``is_total``), with the support.
 
     A span counts when start, end and type agree.  Both tag lists are in one row, so
     the comparison is a set operation inside the row; only the counts are shuffled.

@@ -89,7 +89,7 @@ def n1_logreg(t):
     "n2_partition_baseline",
     f"""WITH {LABELLED_SQL}, {nb_sql("tr AS (SELECT 'all' AS cell, * EXCLUDE (text) FROM lab WHERE doc_id % 2 = 0), te AS (SELECT doc_id, class, k FROM lab WHERE doc_id % 2 = 1)")},
 ov AS (SELECT doc_id, CASE WHEN lower(trim(text)) IN (SELECT lower(trim(text)) FROM lab WHERE doc_id % 2 = 0) THEN 'overlap' ELSE 'novel' END AS part FROM lab WHERE doc_id % 2 = 1)
-SELECT part, CAST(sum(CASE WHEN pred = gold THEN 1 ELSE 0 END) AS BIGINT) AS tp, count(*) AS n, round(avg(CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+SELECT part, CAST(sum(CASE WHEN pred = gold THEN 1 ELSE 0 END) AS BIGINT) AS tp, count(*) AS n, round(avg(CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END), 6) AS accuracy, grouping(part) = 1 AS is_total
 FROM pd JOIN ov USING (doc_id) GROUP BY ROLLUP(part)""",
 )
 def n2(t):

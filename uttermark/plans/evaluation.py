@@ -36,7 +36,7 @@ def rounded(df, *cols, places=6):
     "e9_accuracy",
     f"""WITH {PRED_SQL}
 SELECT lang, CAST(sum(CASE WHEN pred = gold THEN 1 ELSE 0 END) AS BIGINT) AS tp, count(*) AS n,
-  round(avg(CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pred GROUP BY ROLLUP(lang)""",
+  round(avg(CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END), 6) AS accuracy, grouping(lang) = 1 AS is_total FROM pred GROUP BY ROLLUP(lang)""",
 )
 def e9(t):
     same = metrics.norm_label(F.col("gold")).eqNullSafe(metrics.norm_label(F.col("pred")))
@@ -63,8 +63,8 @@ PRF_SQL = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS p
 x AS (SELECT class, CAST(count(*) FILTER (WHERE gold = class AND pred = class) AS BIGINT) AS tp,
   count(*) FILTER (WHERE gold <> class AND pred = class) AS fp,
   count(*) FILTER (WHERE gold = class AND (pred IS NULL OR pred <> class)) AS fn FROM pred, c GROUP BY class),
-y AS (SELECT * FROM x UNION ALL SELECT NULL, CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT) FROM x)
-SELECT class, tp, fp, fn, {PRF_SQL} FROM y""",
+y AS (SELECT *, false AS is_total FROM x UNION ALL SELECT NULL, CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), true FROM x)
+SELECT class, is_total, tp, fp, fn, {PRF_SQL} FROM y""",
 )
 def e11(t):
     d = metrics.prf_by_class(predictions(t), "gold", "pred")
@@ -75,10 +75,10 @@ SPAN_SQL = f"""{TAGGED_SQL}, {spans_sql("gold", "gs")}, {spans_sql("pred", "ps")
 j AS (SELECT coalesce(g.label, p.label) AS label, g.s IS NOT NULL AS ing, p.s IS NOT NULL AS inp
   FROM gs g FULL JOIN ps p ON g.utt_id = p.utt_id AND g.s = p.s AND g.e = p.e AND g.label = p.label),
 x AS (SELECT label, count(*) FILTER (WHERE ing AND inp) AS tp, count(*) FILTER (WHERE inp AND NOT ing) AS fp,
-  count(*) FILTER (WHERE ing AND NOT inp) AS fn FROM j GROUP BY ROLLUP(label))"""
+  count(*) FILTER (WHERE ing AND NOT inp) AS fn, grouping(label) = 1 AS is_total FROM j GROUP BY ROLLUP(label))"""
 
 
-@query("e12_span_f1", f"WITH {SPAN_SQL} SELECT label, tp, fp, fn, tp + fn AS support, {PRF_SQL} FROM x")
+@query("e12_span_f1", f"WITH {SPAN_SQL} SELECT label, is_total, tp, fp, fn, tp + fn AS support, {PRF_SQL} FROM x")
 def e12(t):
     return rounded(metrics.span_f1(t.tagged, "gold", "pred"), "precision", "recall", "f1")
 
