@@ -3,12 +3,15 @@
 A document is the set of its five-word shingles.  In SuperMinHash every shingle has a random
 permutation of the signature's places; it offers its j-th rank to the place that its permutation
 names j-th.  Ranks rise, so once every place has an offer of an earlier rank, later ranks cannot
-matter and the work stops: about one rank for long documents.
+matter and the work stops: about one rank for long documents.  (The permutations are drawn from
+the affine ones of a prime number of places, which need no memory.)
 
 Signatures are cut into bands.  Documents that agree in a band are compared on their full sets.
-Copies of one set are one node; in each bucket the others are compared with the node that shares
-most buckets, components are formed, and only pairs of different components are compared after
-that, so large groups of copies never make all their pairs.
+Copies of one set are one node.  In each bucket the nodes are first compared with the one that
+shares most buckets, and components are formed; so large groups of copies never make all their
+pairs.  Nodes whose buckets still hold several components, such as documents that merely share a
+frequent line, get longer signatures with wider bands, which tell 75 % from a half far better, and
+the pairs of different components in these are compared.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from uttermark.llm.components import components
 
 SHINGLE = 5
 PERCENT = 75
-PLACES = 128  # at most 255
-BAND = 4  # places per band: a pair at 75 % is missed with probability 5e-6
-CHUNK = 1 << 17  # shingles whose permutations are held at once
+#: (places, places per band): a prime, of which the last places are left over.  A pair at 75 %
+#: meets in no band with a probability of 5e-6 and 9e-6.
+COARSE = (131, 4)
+FINE = (881, 8)
+CHUNK = 1 << 17  # shingles that offer together
 REMEMBERED = 500_000
-PIVOT_ROUNDS = 2
 
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
 _u64 = np.uint64
@@ -52,7 +56,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
-_golden = np.arange(1, 257, dtype=np.uint64) * _u64(0x9E3779B97F4A7C15)
+_golden = np.arange(1, 4097, dtype=np.uint64) * _u64(0x9E3779B97F4A7C15)
 _factors = mix(_golden[:SHINGLE]) | _u64(1)
 
 
@@ -73,12 +77,12 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], places: int) -> np.ndarray:
     """One row per set (none may be empty): the least (rank, draw) offered to each place.
 
-    A value has the rank in its top byte and the draw below it.
+    A value has the rank in its top twelve bits and the draw below them.
     """
-    out = np.full((len(sets), PLACES), np.iinfo(np.uint64).max, dtype=np.uint64)
+    out = np.full((len(sets), places), np.iinfo(np.uint64).max, dtype=np.uint64)
     start = 0
     while start < len(sets):
         end, size = start, 0
@@ -86,38 +90,43 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             size += len(sets[end])
             end += 1
         group = sets[start:end]
-        owner = np.repeat(np.arange(start, end), [len(s) for s in group])
+        owner = np.repeat(np.arange(len(group)), [len(s) for s in group])
         items = np.concatenate(group)
         for at in range(0, len(items), CHUNK):  # a very long document takes several turns
-            _offer(out, owner[at : at + CHUNK], items[at : at + CHUNK])
+            _offer(out[start:end], owner[at : at + CHUNK], items[at : at + CHUNK])
         start = end
     return out
 
 
 def _offer(out: np.ndarray, owner: np.ndarray, items: np.ndarray) -> None:
+    places = out.shape[1]
     flat = out.reshape(-1)
-    places = np.tile(np.arange(PLACES, dtype=np.uint8), (len(items), 1))
-    for rank in range(PLACES):
-        rows = np.arange(len(items))
-        random = mix(items + _golden[rank])
-        swap = rank + ((random >> _u64(32)) % _u64(PLACES - rank)).astype(np.int64)
-        place = places[rows, swap]
-        places[rows, swap] = places[:, rank]
-        value = (_u64(rank) << _u64(56)) | (mix(random) >> _u64(8))
-        np.minimum.at(flat, owner * PLACES + place, value)
-        done = out.max(axis=1) < (_u64(rank + 1) << _u64(56))
-        open_ = ~done[owner]
-        if not open_.any():
+    step = (1 + mix(items ^ _u64(0x5851F42D4C957F2D)) % _u64(places - 1)).astype(np.int64)
+    place = (mix(items ^ _u64(0x14057B7EF767814F)) % _u64(places)).astype(np.int64)
+    look = 0
+    for rank in range(places):
+        draw = mix(items + _golden[rank])
+        np.minimum.at(flat, owner * places + place, (_u64(rank) << _u64(52)) | (draw >> _u64(12)))
+        place += step
+        place[place >= places] -= places
+        if rank < look:
+            continue
+        look = rank + 1 + rank // 4
+        ids = np.unique(owner)
+        missing = ids[out[ids].max(axis=1) >= (_u64(rank + 1) << _u64(52))]
+        if not len(missing):
             return
-        if not open_.all():
-            owner, items, places = owner[open_], items[open_], places[open_]
+        if len(missing) < len(ids):
+            keep = np.isin(owner, missing)
+            owner, items, step, place = owner[keep], items[keep], step[keep], place[keep]
 
 
-def band_hashes(signature: np.ndarray) -> np.ndarray:
-    """One hash per band, different bands never meeting."""
-    bands = signature.reshape(len(signature), -1, BAND)
-    h = np.broadcast_to(_golden[: bands.shape[1]], bands.shape[:2])
-    for k in range(BAND):
+def band_hashes(signature: np.ndarray, width: int) -> np.ndarray:
+    """One hash per band of so many places, different bands never meeting."""
+    count = signature.shape[1] // width
+    bands = signature[:, : count * width].reshape(len(signature), count, width)
+    h = np.broadcast_to(_golden[:count], bands.shape[:2])
+    for k in range(width):
         h = mix(h ^ bands[:, :, k])
     return h
 
@@ -127,8 +136,9 @@ def _batches(col: pa.Array, step: int = 2000) -> Iterator[list]:
         yield col.slice(at, step).to_pylist()
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, size: tuple[int, int] = COARSE) -> DataFrame:
     """``doc_id, n_shingles, node, bands``; node is a fingerprint of the set, null if it is empty."""
+    places, width = size
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
@@ -144,7 +154,8 @@ def signed(docs: DataFrame) -> DataFrame:
             for texts in _batches(batch.column(1)):
                 sets = [shingle_set(t) for t in texts]
                 full = [s for s in sets if len(s)]
-                bands = iter(band_hashes(signatures(full)).view(np.int64).tolist() if full else [])
+                made = signatures(full, places) if full else np.zeros((0, places), dtype=np.uint64)
+                bands = iter(band_hashes(made, width).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
@@ -215,35 +226,34 @@ def node_components(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFr
     members = stored(members.drop("size").join(shared, "node"), "members")
     nodes = nodes.drop("bands")
 
-    links = None
-    label = members.select("node", F.col("node").alias("root")).distinct()
-    for step in range(PIVOT_ROUNDS + 1):
-        # What is left to compare: members of a bucket that are in different components.
-        open_ = members.join(label, "node")
-        mixed = open_.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
-        open_ = stored(open_.join(mixed.select("bucket"), "bucket"), "open")
-        if open_.isEmpty():
-            break
-        if step < PIVOT_ROUNDS:
-            top = open_.groupBy("bucket").agg(
-                F.max_by(F.struct(F.col("node").alias("v"), F.col("root").alias("v_root")), F.struct("shared", "node")).alias("p")
-            )
-            top = top.select("bucket", "p.*")
-            pairs = open_.join(top, "bucket").where("root != v_root").select(F.col("node").alias("u"), "v").distinct()
-            members = open_.join(top, "bucket").where("node != v").select("node", "bucket", "shared")
-            members = stored(members, "members")
-        else:
-            other = open_.select("bucket", F.col("node").alias("v"), F.col("root").alias("v_root"))
-            pairs = open_.join(other, "bucket").where("root < v_root").select(F.col("node").alias("u"), "v").distinct()
-        found = confirmed(docs, nodes, pairs)
-        links = stored(found if links is None else links.unionByName(found), "confirmed")
-        roots = stored(components(links), "components")
-        label = members.select("node").distinct().join(roots, "node", "left").select(
-            "node", F.coalesce("root", "node").alias("root")
-        )
-    if links is None:
-        roots = label.limit(0)
-    return nodes, roots
+    # Everyone with the member of the bucket that meets most others.
+    top = members.groupBy("bucket").agg(F.max_by("node", F.struct("shared", "node")).alias("v"))
+    pairs = members.join(top, "bucket").where("node != v").select(F.col("node").alias("u"), "v").distinct()
+    links = stored(confirmed(docs, nodes, pairs), "confirmed")
+    label = _labels(members, links)
+
+    # Buckets that hold several components: their nodes meet again in finer bands.
+    mixed = members.join(label, "node").groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    open_ = members.join(mixed.where("a != b").select("bucket"), "bucket").select("node").distinct()
+    open_ = stored(nodes.join(open_, "node"), "open")
+    texts = docs.select("doc_id", "text").join(open_.select("doc_id").distinct(), "doc_id")
+    again = signed(texts, FINE).join(open_.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    places = again.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    crowded = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    places = stored(places.join(crowded.select("bucket"), "bucket"), "fine").join(label, "node")
+    other = places.select("bucket", *[F.col(c).alias(f"v_{c}") for c in ("node", "root", "n_shingles")])
+    fits = 100 * F.least("n_shingles", "v_n_shingles") >= PERCENT * F.greatest("n_shingles", "v_n_shingles")
+    pairs = places.join(other, "bucket").where((F.col("root") < F.col("v_root")) & fits)
+    pairs = pairs.select(F.col("node").alias("u"), F.col("v_node").alias("v")).distinct()
+    links = links.unionByName(confirmed(docs, nodes, pairs))
+    return nodes, stored(components(stored(links, "confirmed")), "components")
+
+
+def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` of all members, those without a link standing for themselves."""
+    roots = components(links)
+    found = members.select("node").distinct().join(roots, "node", "left")
+    return stored(found.select("node", F.coalesce("root", "node").alias("root")), "labels")
 
 
 def groups(docs: DataFrame) -> DataFrame:
