@@ -90,9 +90,9 @@ def expand_contractions(text: Column, lang: Column) -> Column:
 
 
 def _accent_map() -> tuple[str, str]:
-    """Letters of the Latin blocks whose decomposition is one base letter plus marks."""
+    """Latin, Greek and Cyrillic letters whose decomposition is one base letter plus marks."""
     src, dst = [], []
-    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for cp in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
         bare = [c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c)]
         if len(bare) == 1 and bare[0] != chr(cp):
             src.append(chr(cp))
@@ -104,7 +104,7 @@ _ACCENTED, _BARE = _accent_map()
 
 
 def strip_accents(text: Column) -> Column:
-    """Lower-case without accents for Latin script, all inside the JVM."""
+    """Lower-case without accents for Latin, Greek and Cyrillic script, all inside the JVM."""
     bare = F.translate(F.regexp_replace(text, r"\p{Mn}", ""), _ACCENTED, _BARE)
     return F.lower(bare)
 

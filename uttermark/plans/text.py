@@ -115,6 +115,20 @@ def b7(t):
     return t.documents.select("doc_id", F.md5(text.strip_accents(F.col("text"))).alias("digest"))
 
 
+# Letters of the texts put into other scripts, with and without accents.
+LATIN, OTHERS = "aeioucdglrst", "άέίόύйЇёγλЌц"
+
+
+@query(
+    "b7_strip_accents_scripts",
+    f"SELECT doc_id, md5(lower(strip_accents(translate(lower(text), '{LATIN}', '{OTHERS}')))) AS digest FROM documents",
+)
+def b7_scripts(t):
+    """The same over Greek and Cyrillic letters."""
+    other = F.translate(F.lower("text"), LATIN, OTHERS)
+    return t.documents.select("doc_id", F.md5(text.strip_accents(other)).alias("digest"))
+
+
 @query(
     "b8_strip_suffix",
     rf"""WITH {TURNS_SQL}
