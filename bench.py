@@ -7,6 +7,7 @@ import time
 
 from check import make_session
 from uttermark.plans import QUERIES
+from uttermark.session import clear_scratch
 
 HEADLINE = [
     "contamination_report",
@@ -56,6 +57,7 @@ def main(names):
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
         print(name, times[name], file=sys.stderr, flush=True)
+    clear_scratch(spark)
     print(
         json.dumps(
             {

@@ -12,6 +12,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 from uttermark.plans import ORACLES, QUERIES
+from uttermark.session import clear_scratch
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -92,6 +93,7 @@ def main():
             sa, sb = set(la), set(lb)
             print("   spark only", sorted(sa - sb)[:3])
             print("   sql only  ", sorted(sb - sa)[:3])
+    clear_scratch(spark)
     print("bad:", bad)
 
 

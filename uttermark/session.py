@@ -30,9 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "uttermark", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no earlier run has used."""
-    return os.path.join(shared_dir(spark), "uttermark", f"{name}-{uuid.uuid4().hex}")
+    """A path in this application's part of the shared folder that nothing has used yet."""
+    return os.path.join(_run_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has put below ``scratch_path``; for the end of a run."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
