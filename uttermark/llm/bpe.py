@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 #: Words whose tokens are remembered by one worker; the memory is emptied when full.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -96,7 +96,7 @@ class WordBpe:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the text of both tokens gives back just these two."""
-        if len(self.compatible) > 2_000_000:
+        if len(self.compatible) > REMEMBERED:
             self.compatible.clear()
         found = self.compatible[left, right] = self._fits(left, right)
         return found
