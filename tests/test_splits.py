@@ -25,8 +25,11 @@ def sizes(df, *cols):
 def test_group_split_keeps_groups_whole(rows):
     d = splits.group_split(rows, "g", (10, 5, 5))
     per = d.select("g", "split").distinct()
-    assert per.count() == per.select("g").distinct().count() == 20  # 3 of 23 groups are cut
-    assert sizes(per, "split") == {("train",): 10, ("dev",): 5, ("test",): 5}
+    assert per.count() == per.select("g").distinct().count() == 23 and d.count() == 200
+    assert sizes(per, "split") == {("train",): 13, ("dev",): 5, ("test",): 5}
+    exact = splits.group_split(rows, "g", (10, 5, 5), exact=True).select("g", "split").distinct()
+    assert sizes(exact, "split") == {("train",): 10, ("dev",): 5, ("test",): 5, ("unused",): 3}
+    # The published sizes.
     small = splits.group_split(rows, "g", (4488, 490, 893)).select("g", "split").distinct()
     assert sizes(small, "split") == {("train",): 19, ("dev",): 1, ("test",): 3}
 
