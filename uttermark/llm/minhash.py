@@ -10,8 +10,9 @@ Signatures are cut into bands.  Documents that agree in a band are compared on t
 Copies of one set are one node.  In each bucket the nodes are first compared with the one that
 shares most buckets, and components are formed; so large groups of copies never make all their
 pairs.  Nodes whose buckets still hold several components, such as documents that merely share a
-frequent line, get longer signatures with wider bands, which tell 75 % from a half far better, and
-the pairs of different components in these are compared.
+frequent line, get longer signatures with wider bands, which tell 75 % from a half far better.
+There neighbours in a bucket are compared, components are formed again, and then all pairs of
+different components that share a bucket, if their signatures agree well enough.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
 from uttermark.llm.common import stored
 from uttermark.llm.components import components
@@ -35,6 +37,9 @@ PERCENT = 75
 #: meets in no band with a probability of 5e-6 and 9e-6.
 COARSE = (131, 4)
 FINE = (881, 8)
+#: What pairs are compared by before their full sets are: four bits of so many places of a fine
+#: signature; and how many places may differ, four standard deviations more than do at 75 %.
+NIBBLES, NIBBLES_DIFFER = 880, 243
 CHUNK = 1 << 17  # shingles that offer together
 REMEMBERED = 500_000
 
@@ -137,14 +142,17 @@ def _batches(col: pa.Array, step: int = 2000) -> Iterator[list]:
 
 
 def signed(docs: DataFrame, size: tuple[int, int] = COARSE) -> DataFrame:
-    """``doc_id, n_shingles, node, bands``; node is a fingerprint of the set, null if it is empty."""
+    """``doc_id, n_shingles, node, bands, nibbles``; node is a fingerprint of the set, null if it is
+    empty; nibbles are the short form of a fine signature, empty of a coarse one."""
     places, width = size
+    short = places > NIBBLES
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
             T.StructField("n_shingles", T.LongType()),
             T.StructField("node", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
+            T.StructField("nibbles", T.ArrayType(T.LongType())),
         ]
     )
 
@@ -156,12 +164,16 @@ def signed(docs: DataFrame, size: tuple[int, int] = COARSE) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 made = signatures(full, places) if full else np.zeros((0, places), dtype=np.uint64)
                 bands = iter(band_hashes(made, width).view(np.int64))
+                few = made[:, : NIBBLES if short else 0]
+                nibbles = ((few[:, ::2] & _u64(15)) << _u64(4) | (few[:, 1::2] & _u64(15))).astype(np.uint8)
+                more = iter(np.ascontiguousarray(nibbles).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
                         pa.array([len(s) for s in sets], type=pa.int64()),
                         pa.array([fingerprint(s) for s in sets], type=pa.binary()),
                         pa.array([next(bands) if len(s) else [] for s in sets], type=pa.list_(pa.int64())),
+                        pa.array([next(more) if short and len(s) else [] for s in sets], type=pa.list_(pa.int64())),
                     ],
                     names=schema.names,
                 )
@@ -238,15 +250,49 @@ def node_components(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFr
     open_ = stored(nodes.join(open_, "node"), "open")
     texts = docs.select("doc_id", "text").join(open_.select("doc_id").distinct(), "doc_id")
     again = signed(texts, FINE).join(open_.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    places = again.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    again = stored(again, "fine-signatures")
+    places = again.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     crowded = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    places = stored(places.join(crowded.select("bucket"), "bucket"), "fine").join(label, "node")
-    other = places.select("bucket", *[F.col(c).alias(f"v_{c}") for c in ("node", "root", "n_shingles")])
-    fits = 100 * F.least("n_shingles", "v_n_shingles") >= PERCENT * F.greatest("n_shingles", "v_n_shingles")
-    pairs = places.join(other, "bucket").where((F.col("root") < F.col("v_root")) & fits)
-    pairs = pairs.select(F.col("node").alias("u"), F.col("v_node").alias("v")).distinct()
-    links = links.unionByName(confirmed(docs, nodes, pairs))
-    return nodes, stored(components(stored(links, "confirmed")), "components")
+    fine = stored(places.join(crowded.select("bucket"), "bucket"), "fine")
+    short = again.select("node", "nibbles")
+
+    # Neighbours in a bucket first, over some bands, then over all: what is linked by now mostly
+    # falls into one component before the pairs that are left are made.
+    for bands in (F.col("band") % 7 == 0, F.lit(True)):
+        rows = fine.where(bands).join(_labels(fine, links), "node")
+        beside = W.Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+        last = rows.withColumns({f"v_{c}": F.lag(c).over(beside) for c in ("node", "root", "n_shingles")})
+        pairs = last.where((F.col("root") != F.col("v_root")) & _sizes_fit()).select("node", "v_node").distinct()
+        pairs = pairs.join(short, "node").join(short.select(*[F.col(c).alias(f"v_{c}") for c in short.columns]), "v_node")
+        pairs = pairs.where(_nibbles_agree()).select(F.col("node").alias("u"), F.col("v_node").alias("v"))
+        links = stored(links.unionByName(confirmed(docs, nodes, pairs)), "confirmed")
+
+    rows = fine.join(_labels(fine, links), "node")
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
+    rows = rows.join(mixed.select("bucket"), "bucket").join(short, "node")
+    rows = stored(rows, "mixed")
+    other = rows.select("bucket", *[F.col(c).alias(f"v_{c}") for c in ("node", "root", "n_shingles", "nibbles")])
+    pairs = rows.join(other, "bucket").where((F.col("root") < F.col("v_root")) & _sizes_fit() & _nibbles_agree())
+    found = confirmed(docs, nodes, pairs.select(F.col("node").alias("u"), F.col("v_node").alias("v")).distinct())
+    return nodes, stored(components(stored(links.unionByName(found), "confirmed")), "components")
+
+
+def _sizes_fit():
+    return 100 * F.least("n_shingles", "v_n_shingles") >= PERCENT * F.greatest("n_shingles", "v_n_shingles")
+
+
+def _apart(name: str, i: int):
+    return F.get(name, F.lit(i)).bitwiseXOR(F.get(f"v_{name}", F.lit(i)))
+
+
+def _nibbles_agree():
+    differ = []
+    for i in range(NIBBLES // 16):
+        x = _apart("nibbles", i)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))  # the lowest bit of four: whether any is set
+        differ.append(F.bit_count(x.bitwiseAND(0x1111111111111111)))
+    return sum(differ[1:], differ[0]) <= NIBBLES_DIFFER
 
 
 def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
