@@ -216,3 +216,13 @@ def test_passages_of_awkward_rows(spark):
     d = awkward(spark)
     assert chaining.repeated_passages(d).count() == 0
     assert chaining.repeated_passages(empty(spark)).count() == 0
+
+
+def test_passages_are_whole_in_one_partner(spark):
+    r = random.Random(8)
+    lines = [words(r, 22, 10**6) for _ in range(3)]
+    texts = [words(r, 60, 10**6) + sum(lines, []) + words(r, 60, 10**6)]
+    texts += [words(r, 40, 10**6) + line + words(r, 40, 10**6) for line in lines]
+    assert chaining.repeated_passages(docs(spark, [" ".join(t) for t in texts])).count() == 0
+    swapped = [lines[0] + lines[1] + lines[2], lines[2] + words(r, 99, 10**6) + lines[1] + words(r, 99, 10**6) + lines[0]]
+    assert chaining.repeated_passages(docs(spark, [" ".join(t) for t in swapped])).count() == 0
