@@ -226,3 +226,26 @@ def test_passages_are_whole_in_one_partner(spark):
     assert chaining.repeated_passages(docs(spark, [" ".join(t) for t in texts])).count() == 0
     swapped = [lines[0] + lines[1] + lines[2], lines[2] + words(r, 99, 10**6) + lines[1] + words(r, 99, 10**6) + lines[0]]
     assert chaining.repeated_passages(docs(spark, [" ".join(t) for t in swapped])).count() == 0
+
+
+def replaced(r, ws, p):
+    return [f"e{r.randrange(10**9)}" if r.random() < p else w for w in ws]
+
+
+def test_share_of_fuzzy_passages_without_a_common_seed():
+    r = random.Random(9)
+    lost = 0
+    for _ in range(2000):
+        a = words(r, 70, 10**6)
+        b = replaced(r, a, 0.1)
+        a, b = (words(r, 30, 10**6) + x + words(r, 30, 10**6) for x in (a, b))
+        of = [set(chaining.seeds(chaining.word_hashes(" ".join(x).encode()))[0].tolist()) for x in (a, b)]
+        lost += not of[0] & of[1]
+    assert lost / 2000 < 0.02
+
+
+def test_lone_seed_of_another_partner_is_chained(spark):
+    a = [(1, 0, 2, 0, x, x) for x in (0, 20, 40, 60, 80)] + [(1, 0, 3, 0, 50, 7)]
+    rows = [(1, 0, [{"prid": p, "psub": q, "x": x, "y": y} for _, _, p, q, x, y in a])]
+    d = spark.createDataFrame(rows, "rid long, sub int, a array<struct<prid: long, psub: int, x: int, y: int>>")
+    assert {x["prid"] for x in chaining.chained(d).collect()} == {2, 3}
