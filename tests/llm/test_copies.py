@@ -249,3 +249,50 @@ def test_lone_seed_of_another_partner_is_chained(spark):
     rows = [(1, 0, [{"prid": p, "psub": q, "x": x, "y": y} for _, _, p, q, x, y in a])]
     d = spark.createDataFrame(rows, "rid long, sub int, a array<struct<prid: long, psub: int, x: int, y: int>>")
     assert {x["prid"] for x in chaining.chained(d).collect()} == {2, 3}
+
+
+def test_passages_behind_frequent_phrases(spark):
+    r = random.Random(11)
+    fresh = lambda n: words(r, n, 10**7)
+    phrases = [fresh(8) for _ in range(6)]
+
+    def passage():
+        gaps = [fresh(3) for _ in range(6)]
+        first = sum((p + g for p, g in zip(phrases, gaps)), [])
+        second = sum((p + [f"e{g[0]}", g[1], g[2]] for p, g in zip(phrases, gaps)), [])
+        return first, second
+
+    texts = []
+    for _ in range(10):
+        for x in passage():
+            texts.append(fresh(30) + x + fresh(30))
+    for _ in range(60):  # the same phrases in other places, also before the passage in the texts above
+        texts.append(sum((fresh(12) + p for p in r.sample(phrases, 3)), []) + fresh(20))
+    texts[0] = phrases[0] + fresh(40) + phrases[3] + texts[0]
+    rows = {x["doc_id"]: x for x in chaining.repeated_passages(docs(spark, [" ".join(t) for t in texts])).collect()}
+    assert set(rows) == set(range(20))
+    assert all(rows[i]["first_doc_id"] == i ^ 1 and rows[i]["n_words"] >= 60 for i in rows)
+
+
+def test_surroundings_are_compared_alike_in_small_and_large_groups():
+    r = random.Random(12)
+    seed = list(range(5))
+    kin = [([r.randrange(256) for _ in range(48)], [r.randrange(256) for _ in range(48)]) for _ in range(7)]
+    ctx = []
+    for k in range(35):  # five versions of seven surroundings
+        a, b = ([w if r.random() > 0.08 else r.randrange(256) for w in x] for x in kin[k % 7])
+        ctx.append(np.array([48, *a, *seed, *b], dtype=np.uint8).tobytes())
+    found = chaining.alike(ctx, list(range(35)), [0] * 35)
+    assert {i for i, _ in found} == set(range(35)) and all(i % 7 == j % 7 and i != j for i, j in found)
+    few = chaining.alike(ctx[:14], list(range(14)), [0] * 14)
+    assert sorted(few) == sorted((i, j) for i in range(14) for j in range(14) if i != j and i % 7 == j % 7)
+    across = chaining.alike(ctx, list(range(35)), [int(k >= 21) for k in range(35)])
+    assert across and all((i >= 21) != (j >= 21) for i, j in across)
+
+
+def test_hash_of_surroundings_is_that_of_the_words_alone():
+    r = random.Random(13)
+    shared = words(r, 120, 10**6)
+    a, b = (chaining.word_hashes(" ".join(words(r, n, 10**6) + shared).encode()) for n in (7, 900))
+    x, y = (chaining.surrounded(w, np.array([p + 50, p + 10, p + 70])) for w, p in ((a, 7), (b, 900)))
+    assert x[0] == y[0] and x[1] != y[1] and x[2] == y[2] and x[0] != x[2]
