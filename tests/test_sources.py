@@ -89,3 +89,26 @@ def test_csv_bad_rows(spark, tmp_path):
     d = readers.read_csv_records(spark, str(tmp_path / "a.csv"), "id bigint, command string", ["command"]).cache()
     assert sorted((r.id or 0, r.bad) for r in d.select("id", "bad").collect())[-1] == (4, True)
     assert d.where("NOT bad").count() == 1 and d.where(F.col("bad")).count() == 3
+
+
+def test_inventory_of_files_with_further_chunks(spark, tmp_path):
+    chunk = lambda name, data: name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+    fmt = lambda tag=1, more=b"": chunk(b"fmt ", struct.pack("<HHIIHH", tag, 2, 8000, 32000, 4, 16) + more)
+    data = chunk(b"data", b"\0" * 64)
+    files = {
+        "list": chunk(b"LIST", b"INFOx") + fmt() + data,
+        "after": fmt() + chunk(b"LIST", b"y" * 301) + data,
+        "long": fmt(0xFFFE, struct.pack("<HHI", 22, 16, 3) + b"\1" + b"\0" * 15) + data,
+        "fact": fmt(3, b"\0\0") + chunk(b"fact", struct.pack("<I", 16)) + data,
+        "block": fmt(2, b"\0\0") + chunk(b"fact", struct.pack("<I", 99)) + data,
+        "none": fmt() + chunk(b"LIST", b"z" * 40),
+        "early": data + fmt(),
+    }
+    for name, body in files.items():
+        (tmp_path / f"{name}.wav").write_bytes(b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body)
+    got = {x["file"][:-4]: x for x in readers.file_inventory(spark, str(tmp_path)).collect()}
+    assert {n for n, x in got.items() if not x["valid"]} == {"none", "early"}
+    for name in ("list", "after", "long", "fact", "block"):
+        x = got[name]
+        assert (x["channels"], x["sample_width"], x["sample_rate"]) == (2, 2, 8000)
+        assert x["n_frames"] == (99 if name == "block" else 16) and x["duration"] == x["n_frames"] / 8000

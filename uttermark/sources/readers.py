@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,10 +171,41 @@ def _uint(content: Column, at: int, size: int) -> Column:
     return F.conv(F.concat(*parts), 16, 10).cast("bigint")
 
 
+_HEAD = T.StructType([T.StructField(n, T.LongType()) for n in ("channels", "rate", "frame_bytes", "bits", "bytes")])
+
+
+@F.udf(_HEAD)
+def _walk(content):
+    """The numbers of a RIFF file with further chunks: from chunk to chunk up to the data."""
+    if content is None:
+        return None
+    fmt = facts = None
+    at = 12
+    while at + 8 <= len(content):
+        name, size = struct.unpack_from("<4sI", content, at)
+        at += 8
+        if name == b"fmt " and size >= 16 and at + 16 <= len(content):
+            fmt = struct.unpack_from("<HHIIHH", content, at)
+        elif name == b"fact" and size >= 4 and at + 4 <= len(content):
+            (facts,) = struct.unpack_from("<I", content, at)
+        elif name == b"data":
+            if fmt is None:
+                return None
+            tag, channels, rate, _, frame_bytes, bits = fmt
+            if tag not in (1, 3, 6, 7, 0xFFFE):  # compressed in blocks: the frames are those of the fact chunk
+                if facts is None:
+                    return None
+                size = facts * frame_bytes
+            return channels, rate, frame_bytes, bits, size
+        at += size + size % 2
+    return None
+
+
 def file_inventory(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
     """``file, size, valid, channels, sample_width, sample_rate, n_frames, duration``.
 
-    The numbers come from a canonical 44-byte RIFF header; any other file is not valid.
+    The numbers come from the RIFF header: at once where it is the canonical one of 44 bytes, else
+    by a walk over the chunks before the data.  Any other file is not valid.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -185,9 +218,8 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*.wav") -> Da
     def is_text(at: int, word: str) -> Column:
         return F.substring(c, at + 1, len(word)) == F.encode(F.lit(word), "US-ASCII")
 
-    canonical = (F.length(c) >= 44) & is_text(0, "RIFF") & is_text(8, "WAVE")
-    canonical = canonical & is_text(12, "fmt ") & is_text(36, "data")
-    ok = F.coalesce(canonical, F.lit(False))
+    riff = F.coalesce((F.length(c) >= 44) & is_text(0, "RIFF") & is_text(8, "WAVE"), F.lit(False))
+    ok = riff & is_text(12, "fmt ") & is_text(36, "data") & (_uint(c, 16, 4) == 16)
     head = F.when(
         ok,
         F.struct(
@@ -195,6 +227,7 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*.wav") -> Da
             _uint(c, 32, 2).alias("frame_bytes"), _uint(c, 34, 2).alias("bits"), _uint(c, 40, 4).alias("bytes"),
         ),
     )
+    head = F.coalesce(head, _walk(F.when(riff & ~ok, c)))
     d = raw.select(
         F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), head.alias("h")
     )
