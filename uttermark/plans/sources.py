@@ -68,7 +68,7 @@ def _nested_docs(t):
     )
     utts = F.array(F.struct(data.alias("data")))
     return chunked(t).select(
-        F.col("utt_id").cast("string").alias("language"),
+        F.col("utt_id").alias("language"),
         F.create_map(F.col("role"), F.struct(utts.alias("utterances"))).alias("intents"),
     )
 
@@ -85,7 +85,7 @@ def a3(t):
 
     def texts(how, name):
         d = readers.read_nested_nlu(t.spark, out, how, multi_line=False)
-        return d.select(F.col("language").cast("bigint").alias("utt_id"), "intent", F.col("text").alias(name))
+        return d.select(F.col("language").alias("utt_id"), "intent", F.col("text").alias(name))
 
     d = texts("concat", "concat_text")
     d = d.join(texts("space", "space_text").drop("intent"), "utt_id")

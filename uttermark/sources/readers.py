@@ -64,7 +64,7 @@ def read_bio(spark: SparkSession, path: str, blank: str = "drop") -> DataFrame:
     )
 
 
-ICSL = "u_id bigint, utterance string, slot_labels string, intent string"
+ICSL = "u_id string, utterance string, slot_labels string, intent string"
 
 
 def read_icsl_tsv(spark: SparkSession, path: str) -> DataFrame:
