@@ -37,9 +37,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     from the files, so that the optimizer only broadcasts what is proven small.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "uttermark-llm", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(_run_folder(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_folder(spark), "uttermark-llm", spark.sparkContext.applicationId)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table of ``stored`` that no plan in use reads any more."""
+    _remove(table.sparkSession, table._stored_at)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Remove all that this application has stored; for the end of a run, when results are saved."""
+    _remove(spark, _run_folder(spark))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import bpe, chaining, hnsw, mcd, mil, minhash, mixing, piece_counts, pii, substrings
+from uttermark.llm import bpe, chaining, hnsw, mcd, mil, minhash, mixing, piece_counts, pii, substrings, vector_codes
 from uttermark.llm.common import documents, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -88,3 +88,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_near_duplicates", minhash.NEAR_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.groups(documents(spark, folder))
+
+
+@query("op11_vector_codes", vector_codes.CODES_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.report(table(spark, folder, "embeddings"))
