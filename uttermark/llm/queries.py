@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import bpe, chaining, hnsw, interactions, mcd, mil, minhash, mixing, piece_counts, pii, substrings, vector_codes
+from uttermark.llm import bpe, chaining, hnsw, interactions, mcd, mil, minhash, mixing, piece_counts, pii, secret_scan, substrings, vector_codes
 from uttermark.llm.common import documents, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -98,3 +98,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_filter_interactions", interactions.AUDIT_SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return interactions.audit(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query("op13_secret_scan")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.report(documents(spark, folder))
