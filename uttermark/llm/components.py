@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from uttermark.llm.common import stored
+from uttermark.llm.common import discard, stored
 
 
 def _forest(pairs):
@@ -41,34 +41,50 @@ def local_forests(links: DataFrame) -> DataFrame:
     return links.mapInPandas(run, f"u {kind}, v {kind}")
 
 
-def _fingerprint(edges: DataFrame):
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _told(edges: DataFrame, name: str):
+    """The edges, stored, and their number and sum of hashes, found while they were written."""
+    seen = Observation()
+    mark = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))
+    out = stored(edges.observe(seen, F.count("*").alias("n"), mark.alias("h")), name)
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node that is in a link; the root is the smallest node.
 
-    Large-star and small-star steps in turn: every node tells its neighbours the smallest node it
-    knows.  A node's neighbours are never gathered, only their minimum; the number of rounds is
-    about the logarithm of the longest path.
+    Large-star and small-star steps in turn, both in one plan a round: every node tells its
+    neighbours the smallest node it knows.  A node's neighbours are never gathered, only their
+    minimum; the number of rounds is about the logarithm of the longest path.
     """
-    edges = stored(local_forests(links.select("u", "v").where("u != v")).distinct(), "links")
-    before = _fingerprint(edges)
-    while before[0]:
+    edges, now = _told(local_forests(links.select("u", "v").where("u != v")).distinct(), "links")
+    before = None
+    while now[0] and now != before:
+        last, before = edges, now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # u > v on every edge from here.
-        down = stored(large.where("u != v").distinct(), "large-star")
+        down = large.where("u != v").distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         near = down.join(least, "u")
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), "small-star")
-        now = _fingerprint(edges)
-        if now == before:
-            break
-        before = now
+        edges, now = _told(small.distinct(), "stars")
+        discard(last)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after further links between their nodes.
+
+    Only links between different roots count, and they are few once most nodes are settled: their
+    components are found on the roots, and the roots of all nodes are looked up there.
+    """
+    end = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}"))
+    new = links.join(end("u"), "u").join(end("v"), "v").where("r_u != r_v")
+    new = stored(new.select(F.col("r_u").alias("u"), F.col("r_v").alias("v")).distinct(), "new-links")
+    if new.isEmpty():
+        return labels
+    to = components(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return stored(labels.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")

@@ -11,8 +11,9 @@ Copies of one set are one node.  In each bucket the nodes are first compared wit
 shares most buckets, and components are formed; so large groups of copies never make all their
 pairs.  Nodes whose buckets still hold several components, such as documents that merely share a
 frequent line, get longer signatures with wider bands, which tell 75 % from a half far better.
-There neighbours in a bucket are compared, components are formed again, and then all pairs of
-different components that share a bucket, if their signatures agree well enough.
+There neighbours in a bucket are compared, and components are joined; and then all nodes of different
+components that share a bucket: blocks of the bucket meet in tasks of their own, and only pairs
+whose signatures agree well enough leave them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from uttermark.llm.common import stored
-from uttermark.llm.components import components
+from uttermark.llm.components import merged
 
 SHINGLE = 5
 PERCENT = 75
@@ -38,8 +39,10 @@ PERCENT = 75
 COARSE = (131, 4)
 FINE = (881, 8)
 #: What pairs are compared by before their full sets are: four bits of so many places of a fine
-#: signature; and how many places may differ, four standard deviations more than do at 75 %.
-NIBBLES, NIBBLES_DIFFER = 880, 243
+#: signature; and how many places may differ, four standard deviations more than do at 75 % where
+#: places are independent (they vary less in short texts).
+NIBBLES, NIBBLES_DIFFER = 880, 257
+BLOCK = 512  # nodes of a bucket that meet the same others
 CHUNK = 1 << 17  # shingles that offer together
 REMEMBERED = 500_000
 
@@ -213,6 +216,8 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = pairs.join(size("u"), "u").join(size("v"), "v")
     fits = 100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v")
     pairs = stored(pairs.where(fits).select("u", "v", "n_u", "n_v"), "pairs")
+    if pairs.isEmpty():
+        return pairs.select("u", "v")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     sets = stored(full_sets(docs, nodes.join(wanted, "node")), "sets")
     # The pivot, v, may be in many pairs: its set joins last, where skewed partitions are split.
@@ -242,10 +247,11 @@ def node_components(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFr
     top = members.groupBy("bucket").agg(F.max_by("node", F.struct("shared", "node")).alias("v"))
     pairs = members.join(top, "bucket").where("node != v").select(F.col("node").alias("u"), "v").distinct()
     links = stored(confirmed(docs, nodes, pairs), "confirmed")
-    label = _labels(members, links)
+    alone = members.select("node").distinct().withColumn("root", F.col("node"))
+    labels = merged(stored(alone, "labels"), links)
 
     # Buckets that hold several components: their nodes meet again in finer bands.
-    mixed = members.join(label, "node").groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"))
+    mixed = members.join(labels, "node").groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"))
     open_ = members.join(mixed.where("a != b").select("bucket"), "bucket").select("node").distinct()
     open_ = stored(nodes.join(open_, "node"), "open")
     texts = docs.select("doc_id", "text").join(open_.select("doc_id").distinct(), "doc_id")
@@ -253,28 +259,88 @@ def node_components(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFr
     again = stored(again, "fine-signatures")
     places = again.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     crowded = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    fine = stored(places.join(crowded.select("bucket"), "bucket"), "fine")
+    fine = stored(places.join(crowded, "bucket"), "fine")
     short = again.select("node", "nibbles")
 
     # Neighbours in a bucket first, over some bands, then over all: what is linked by now mostly
-    # falls into one component before the pairs that are left are made.
+    # falls into one component before all others are compared.  Large buckets are dealt out in
+    # pieces, other ones in each band, so that they meet across pieces as well.
     for bands in (F.col("band") % 7 == 0, F.lit(True)):
-        rows = fine.where(bands).join(_labels(fine, links), "node")
-        beside = W.Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
+        rows = fine.where(bands).join(labels, "node")
+        beside = W.Window.partitionBy("bucket", _piece()).orderBy(F.xxhash64("node"), "node")
         last = rows.withColumns({f"v_{c}": F.lag(c).over(beside) for c in ("node", "root", "n_shingles")})
         pairs = last.where((F.col("root") != F.col("v_root")) & _sizes_fit()).select("node", "v_node").distinct()
         pairs = pairs.join(short, "node").join(short.select(*[F.col(c).alias(f"v_{c}") for c in short.columns]), "v_node")
         pairs = pairs.where(_nibbles_agree()).select(F.col("node").alias("u"), F.col("v_node").alias("v"))
-        links = stored(links.unionByName(confirmed(docs, nodes, pairs)), "confirmed")
+        labels = merged(labels, stored(confirmed(docs, nodes, pairs), "confirmed"))
 
-    rows = fine.join(_labels(fine, links), "node")
+    rows = fine.join(labels, "node")
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
     rows = rows.join(mixed.select("bucket"), "bucket").join(short, "node")
-    rows = stored(rows, "mixed")
-    other = rows.select("bucket", *[F.col(c).alias(f"v_{c}") for c in ("node", "root", "n_shingles", "nibbles")])
-    pairs = rows.join(other, "bucket").where((F.col("root") < F.col("v_root")) & _sizes_fit() & _nibbles_agree())
-    found = confirmed(docs, nodes, pairs.select(F.col("node").alias("u"), F.col("v_node").alias("v")).distinct())
-    return nodes, stored(components(stored(links.unionByName(found), "confirmed")), "components")
+    found = confirmed(docs, nodes, alike(rows).distinct())
+    return nodes, merged(labels, stored(found, "confirmed"))
+
+
+def _piece():
+    return F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / BLOCK))
+
+
+def alike(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of ``bucket, size, node, root, n_shingles, nibbles`` that share a bucket, are of
+    different roots, and whose sizes and signatures allow 75 %.
+
+    A bucket is cut into blocks, and every two of them meet; so a row is sent once for each block of
+    its bucket, and no pair is formed that does not pass.
+    """
+    pieces = F.ceil(F.col("size") / BLOCK)
+    d = rows.withColumn("own", _piece()).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    d = d.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "root", "n_shingles", "nibbles")
+    d = d.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+
+    def run(batches):
+        left = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([left, t]).combine_chunks() if left is not None else t
+            key = np.stack([t.column(i).to_numpy() for i in range(3)])
+            ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            starts = [0, *ends.tolist()]
+            out = [p for at, end in zip(starts, starts[1:], strict=False) for p in _block_pairs(t.slice(at, end - at))]
+            left = t.slice(starts[-1])
+            yield _pairs_batch(out)
+        if left is not None:
+            yield _pairs_batch(_block_pairs(left))
+
+    return d.mapInArrow(run, "u binary, v binary")
+
+
+def _pairs_batch(pairs: list) -> pa.RecordBatch:
+    ends = [pa.array([p[i] for p in pairs], type=pa.binary()) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays(ends, names=["u", "v"])
+
+
+_unequal = np.array([(x > 15) + (x & 15 > 0) for x in range(256)], dtype=np.uint8)  # nibbles of a byte that are set
+
+
+def _block_pairs(t: pa.Table) -> list[tuple[bytes, bytes]]:
+    """The pairs of one task of ``alike``: of one block, or across two."""
+    own, n = t.column("own").to_numpy(), t.column("n_shingles").to_numpy()
+    root = np.unique(np.array(t.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+    if root.max() == 0:
+        return []
+    nodes = t.column("node").to_pylist()
+    short = t.column("nibbles").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1).view(np.uint8)
+    across = t.column("a")[0] != t.column("b")[0]
+    index, out = np.arange(len(nodes)), []
+    for i in range(len(nodes)):
+        fits = (index > i) & (root != root[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
+        if across:
+            fits &= own != own[i]
+        near = np.flatnonzero(fits)
+        if len(near):
+            near = near[_unequal[short[near] ^ short[i]].sum(axis=1, dtype=np.int64) <= NIBBLES_DIFFER]
+            out += [(nodes[i], nodes[j]) for j in near.tolist()]
+    return out
 
 
 def _sizes_fit():
@@ -295,13 +361,6 @@ def _nibbles_agree():
     return sum(differ[1:], differ[0]) <= NIBBLES_DIFFER
 
 
-def _labels(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, root`` of all members, those without a link standing for themselves."""
-    roots = components(links)
-    found = members.select("node").distinct().join(roots, "node", "left")
-    return stored(found.select("node", F.coalesce("root", "node").alias("root")), "labels")
-
-
 def groups(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document.
 
