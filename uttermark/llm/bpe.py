@@ -26,6 +26,7 @@ from tokenizers import Tokenizer
 
 #: Words whose tokens are remembered by one worker; the memory is emptied when full.
 REMEMBERED = 250_000
+TOGETHER = 256  # texts that a worker holds in all their forms at a time
 
 
 def byte_letters() -> list[str]:
@@ -245,9 +246,11 @@ def _mapped(df: DataFrame, fields: list[T.StructField], source: str, fn) -> Data
 
     def run(batches):
         for batch in batches:
-            made = fn(batch.column(at).to_pylist())
-            arrays = [pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
+            for start in range(0, len(batch), TOGETHER):
+                rows = batch.slice(start, TOGETHER)
+                made = fn(rows.column(at).to_pylist())
+                arrays = [pa.array(v, type=k) for v, k in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *arrays], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
