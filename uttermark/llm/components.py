@@ -87,4 +87,6 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     if new.isEmpty():
         return labels
     to = components(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return stored(labels.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+    out = stored(labels.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+    discard(labels)
+    return out

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from uttermark.llm.common import stored
+from uttermark.llm.common import discard, stored
 from uttermark.llm.components import merged
 
 SHINGLE = 5
@@ -39,9 +39,11 @@ PERCENT = 75
 COARSE = (131, 4)
 FINE = (881, 8)
 #: What pairs are compared by before their full sets are: four bits of so many places of a fine
-#: signature; and how many places may differ, four standard deviations more than do at 75 % where
-#: places are independent (they vary less in short texts).
-NIBBLES, NIBBLES_DIFFER = 880, 257
+#: signature; and how many places may differ, four standard deviations more than do at 75 %.  The
+#: fewer shingles both have together, the less that varies: half the variance in short texts.
+NIBBLES = 880
+MAY_DIFFER = ((1050, 244), (1750, 245), (3500, 248), (7000, 252))  # up to so many shingles
+MAY_DIFFER_ELSE = 257
 BLOCK = 512  # nodes of a bucket that meet the same others
 CHUNK = 1 << 17  # shingles that offer together
 REMEMBERED = 500_000
@@ -144,18 +146,15 @@ def _batches(col: pa.Array, step: int = 2000) -> Iterator[list]:
         yield col.slice(at, step).to_pylist()
 
 
-def signed(docs: DataFrame, size: tuple[int, int] = COARSE) -> DataFrame:
-    """``doc_id, n_shingles, node, bands, nibbles``; node is a fingerprint of the set, null if it is
-    empty; nibbles are the short form of a fine signature, empty of a coarse one."""
-    places, width = size
-    short = places > NIBBLES
+def signed(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, node, bands``; node is a fingerprint of the set, null if it is empty."""
+    places, width = COARSE
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
             T.StructField("n_shingles", T.LongType()),
             T.StructField("node", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
-            T.StructField("nibbles", T.ArrayType(T.LongType())),
         ]
     )
 
@@ -167,16 +166,12 @@ def signed(docs: DataFrame, size: tuple[int, int] = COARSE) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 made = signatures(full, places) if full else np.zeros((0, places), dtype=np.uint64)
                 bands = iter(band_hashes(made, width).view(np.int64))
-                few = made[:, : NIBBLES if short else 0]
-                nibbles = ((few[:, ::2] & _u64(15)) << _u64(4) | (few[:, 1::2] & _u64(15))).astype(np.uint8)
-                more = iter(np.ascontiguousarray(nibbles).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
                         pa.array([len(s) for s in sets], type=pa.int64()),
                         pa.array([fingerprint(s) for s in sets], type=pa.binary()),
                         pa.array([next(bands) if len(s) else [] for s in sets], type=pa.list_(pa.int64())),
-                        pa.array([next(more) if short and len(s) else [] for s in sets], type=pa.list_(pa.int64())),
                     ],
                     names=schema.names,
                 )
@@ -210,22 +205,45 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return hits.mapInArrow(run, schema).dropDuplicates(["node"])
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
+def fine_signatures(sets: DataFrame) -> DataFrame:
+    """``node, n_shingles, bands, nibbles`` of stored sets ``node, items``, of the fine size."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                rows = batch.slice(at, 500)
+                ends = rows.column(1).offsets.to_numpy()
+                items = rows.column(1).values.to_numpy().view(np.uint64)
+                sets = [items[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                made = signatures(sets, FINE[0])
+                few = made[:, :NIBBLES] & _u64(15)
+                short = (few[:, ::2] << _u64(4) | few[:, 1::2]).astype(np.uint8).view(np.int64)
+                cols = [rows.column(0), pa.array([len(x) for x in sets], type=pa.int64())]
+                cols += [pa.array(list(x), type=pa.list_(pa.int64())) for x in (band_hashes(made, FINE[1]).view(np.int64), short)]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "n_shingles", "bands", "nibbles"])
+
+    return sets.mapInArrow(run, "node binary, n_shingles bigint, bands array<bigint>, nibbles array<bigint>")
+
+
+def fitting(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``u, v, n_u, n_v`` of the pairs whose sizes allow 75 %, stored."""
     size = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"))
     pairs = pairs.join(size("u"), "u").join(size("v"), "v")
     fits = 100 * F.least("n_u", "n_v") >= PERCENT * F.greatest("n_u", "n_v")
-    pairs = stored(pairs.where(fits).select("u", "v", "n_u", "n_v"), "pairs")
-    if pairs.isEmpty():
-        return pairs.select("u", "v")
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = stored(full_sets(docs, nodes.join(wanted, "node")), "sets")
+    return stored(pairs.where(fits).select("u", "v", "n_u", "n_v"), "pairs")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of ``fitting`` whose full sets are similar enough, stored."""
     # The pivot, v, may be in many pairs: its set joins last, where skewed partitions are split.
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
     both = both.join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     both = both.select("u", "v", "n_u", "n_v", shared.alias("k"))
-    return both.where(100 * F.col("k") >= PERCENT * (F.col("n_u") + F.col("n_v") - F.col("k"))).select("u", "v")
+    alike = 100 * F.col("k") >= PERCENT * (F.col("n_u") + F.col("n_v") - F.col("k"))
+    out = stored(both.where(alike).select("u", "v"), "confirmed")
+    discard(pairs)
+    return out
 
 
 def node_components(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -238,25 +256,30 @@ def node_components(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFr
     )
     places = nodes.select("node", F.explode("bands").alias("bucket"))
     crowded = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(places.join(crowded, "bucket"), "members")
-    shared = members.groupBy("node").agg(F.sum("size").alias("shared"))
-    members = stored(members.drop("size").join(shared, "node"), "members")
+    sizes = stored(places.join(crowded, "bucket"), "sizes")
+    shared = sizes.groupBy("node").agg(F.sum("size").alias("shared"))
+    members = stored(sizes.drop("size").join(shared, "node"), "members")
+    discard(sizes)
     nodes = nodes.drop("bands")
 
     # Everyone with the member of the bucket that meets most others.
     top = members.groupBy("bucket").agg(F.max_by("node", F.struct("shared", "node")).alias("v"))
     pairs = members.join(top, "bucket").where("node != v").select(F.col("node").alias("u"), "v").distinct()
-    links = stored(confirmed(docs, nodes, pairs), "confirmed")
+    pairs = fitting(nodes, pairs)
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = stored(full_sets(docs, nodes.join(wanted, "node")), "sets")
+    links = confirmed(pairs, sets)
+    discard(sets)
     alone = members.select("node").distinct().withColumn("root", F.col("node"))
     labels = merged(stored(alone, "labels"), links)
 
     # Buckets that hold several components: their nodes meet again in finer bands.
     mixed = members.join(labels, "node").groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"))
     open_ = members.join(mixed.where("a != b").select("bucket"), "bucket").select("node").distinct()
-    open_ = stored(nodes.join(open_, "node"), "open")
-    texts = docs.select("doc_id", "text").join(open_.select("doc_id").distinct(), "doc_id")
-    again = signed(texts, FINE).join(open_.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    again = stored(again, "fine-signatures")
+    # Their texts are read once; what follows takes the sets.
+    sets = stored(full_sets(docs, nodes.join(open_, "node")), "open-sets")
+    discard(members)
+    again = stored(fine_signatures(sets), "fine-signatures")
     places = again.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     crowded = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     fine = stored(places.join(crowded, "bucket"), "fine")
@@ -269,16 +292,24 @@ def node_components(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFr
         rows = fine.where(bands).join(labels, "node")
         beside = W.Window.partitionBy("bucket", _piece()).orderBy(F.xxhash64("node"), "node")
         last = rows.withColumns({f"v_{c}": F.lag(c).over(beside) for c in ("node", "root", "n_shingles")})
-        pairs = last.where((F.col("root") != F.col("v_root")) & _sizes_fit()).select("node", "v_node").distinct()
+        pairs = last.where((F.col("root") != F.col("v_root")) & _sizes_fit())
+        pairs = pairs.select("node", "v_node", "n_shingles", "v_n_shingles").distinct()
         pairs = pairs.join(short, "node").join(short.select(*[F.col(c).alias(f"v_{c}") for c in short.columns]), "v_node")
         pairs = pairs.where(_nibbles_agree()).select(F.col("node").alias("u"), F.col("v_node").alias("v"))
-        labels = merged(labels, stored(confirmed(docs, nodes, pairs), "confirmed"))
+        labels = _with_links(labels, again, pairs, sets)
 
     rows = fine.join(labels, "node")
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
     rows = rows.join(mixed.select("bucket"), "bucket").join(short, "node")
-    found = confirmed(docs, nodes, alike(rows).distinct())
-    return nodes, merged(labels, stored(found, "confirmed"))
+    labels = _with_links(labels, again, alike(rows).distinct(), sets)
+    for used in (sets, again, fine):
+        discard(used)
+    return nodes, labels
+
+
+def _with_links(labels: DataFrame, nodes: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    pairs = fitting(nodes, pairs)
+    return labels if pairs.isEmpty() else merged(labels, confirmed(pairs, sets))
 
 
 def _piece():
@@ -319,6 +350,8 @@ def _pairs_batch(pairs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(ends, names=["u", "v"])
 
 
+_totals = np.array([total for total, _ in MAY_DIFFER])
+_limits = np.array([most for _, most in MAY_DIFFER] + [MAY_DIFFER_ELSE])
 _unequal = np.array([(x > 15) + (x & 15 > 0) for x in range(256)], dtype=np.uint8)  # nibbles of a byte that are set
 
 
@@ -338,7 +371,8 @@ def _block_pairs(t: pa.Table) -> list[tuple[bytes, bytes]]:
             fits &= own != own[i]
         near = np.flatnonzero(fits)
         if len(near):
-            near = near[_unequal[short[near] ^ short[i]].sum(axis=1, dtype=np.int64) <= NIBBLES_DIFFER]
+            most = _limits[np.searchsorted(_totals, n[near] + n[i])]
+            near = near[_unequal[short[near] ^ short[i]].sum(axis=1, dtype=np.int64) <= most]
             out += [(nodes[i], nodes[j]) for j in near.tolist()]
     return out
 
@@ -358,7 +392,10 @@ def _nibbles_agree():
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))  # the lowest bit of four: whether any is set
         differ.append(F.bit_count(x.bitwiseAND(0x1111111111111111)))
-    return sum(differ[1:], differ[0]) <= NIBBLES_DIFFER
+    most = F.lit(MAY_DIFFER_ELSE)
+    for total, limit in reversed(MAY_DIFFER):
+        most = F.when(F.col("n_shingles") + F.col("v_n_shingles") <= total, limit).otherwise(most)
+    return sum(differ[1:], differ[0]) <= most
 
 
 def groups(docs: DataFrame) -> DataFrame:
