@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from uttermark.operators import contamination
+from uttermark.operators import best_match, contamination
 
 
 def lcs(a, b):
@@ -83,3 +83,38 @@ def test_exact_match_and_jaccard(spark):
     assert (j[1].cand_unique, j[1].orig_unique, j[1].shared, j[1].jaccard) == (3, 4, 2, 0.4)
     assert (j[2].shared, j[2].jaccard) == (1, 0.5)
     assert (j[3].cand_unique, j[3].jaccard) == (0, 0.0)
+
+
+def test_few_pairs_are_scored_and_none_that_matters_is_missed():
+    rng = random.Random(3)
+    zipf = [f"w{i}" for i in range(2000)]
+    weights = [1 / (i + 2) for i in range(2000)]
+    make = lambda n: rng.choices(zipf, weights, k=n)
+    originals = [make(rng.randint(8, 60)) for _ in range(400)]
+    cands = [make(rng.randint(5, 600)) for _ in range(60)]
+    for i in range(0, 60, 4):
+        cands[i][3:3] = originals[rng.randrange(400)]
+    # Of shared words in random order only few are a common subsequence, so more pairs stay open.
+    for measure, plain, share in ((best_match.RougeL, rouge, 0.3), (best_match.Bleu4, bleu, 0.1)):
+        shard = best_match.Originals(originals, measure.orders)
+        scored = 0
+        for c in cands:
+            best, n = best_match.best_in(shard, measure, c, 0.0)
+            assert best == pytest.approx(max(plain(" ".join(c), " ".join(o)) for o in originals))
+            assert best_match.best_in(shard, measure, c, best)[0] == best
+            scored += n
+        assert scored < share * len(cands) * len(originals), (measure, scored)
+
+
+def test_best_match_over_many_shards_and_chunks(spark, monkeypatch):
+    rng = random.Random(5)
+    make = lambda n: " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+    cands = [make(rng.randint(1, 80)) for _ in range(50)] + ["", None, "--"] + ["w1 w2 w3"] * 20
+    origs = [make(rng.randint(1, 30)) for _ in range(40)] + ["", None]
+    monkeypatch.setattr(best_match, "SHARD", 100)
+    monkeypatch.setattr(best_match, "CHUNK", 50)
+    c = spark.createDataFrame(list(enumerate(cands)), "i int, text string")
+    o = spark.createDataFrame([(t,) for t in origs], "text string")
+    got = {r.i: r.best for r in contamination.max_rouge_l(c, o, "text", "i").collect()}
+    assert got == {i: pytest.approx(max(rouge(t or "", x or "") for x in origs)) for i, t in enumerate(cands)}
+    assert {r.best for r in contamination.max_bleu4(c, o.limit(0), "text", "i").collect()} == {0.0}

@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable
-from dataclasses import dataclass
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from uttermark.functions.text import bleu13a_tokens, ngrams, normalize, rouge_tokens, word_tokens
-from uttermark.functions.util import let, ratio, unnest
-from uttermark.session import materialise
+from uttermark.functions.util import ratio, unnest
+from uttermark.operators.best_match import Bleu4, RougeL, best_match
 
 
 def exact_match_rate(cands: DataFrame, originals: DataFrame, text: str) -> DataFrame:
@@ -86,271 +79,11 @@ def ngram_sets(a: DataFrame, b: DataFrame, text: str, n: int) -> DataFrame:
     return both.groupBy("g1", "g2").agg(F.bit_or("side").alias("sides"))
 
 
-# ---- best match of each candidate over all originals --------------------------------
-#
-# A pair can only score if it shares a token (or n-gram).  The index below joins on
-# single occurrences ("the" the 2nd is another element than "the" the 1st), ordered from
-# rare to common.  A first round scores a few seed pairs per candidate; the best of them
-# is a floor.  In the second round a pair is only emitted from a shared element at
-# position i of the candidate and j of the original if even the overlap still possible
-# from there, min(left_c, left_o), could beat the floor.  The first shared element of a
-# pair bounds its whole overlap, so no pair that could win is lost: the result is exact,
-# with no cap on the number of originals looked at.
-
-
-@dataclass(frozen=True)
-class Stage:
-    """One pass over an n-gram index.
-
-    ``bound(u, m, n)`` is an upper bound of the score of texts of m and n tokens that
-    share at most u elements, for every pair that no earlier stage has looked at; it
-    must not fall as u grows.
-    """
-
-    order: int
-    bound: Callable[[Column, Column, Column], Column]
-
-
-def _texts(df: DataFrame, tokens: Column, prefix: str) -> DataFrame:
-    """``{prefix}id, {prefix}toks`` of every row; the id is a digest of the tokens, so
-    that copies of one text become one text."""
-    t = df.withColumn(f"{prefix}toks", tokens)
-    return t.withColumn(
-        f"{prefix}id", F.unhex(F.md5(F.array_join(f"{prefix}toks", "\u0001")))
-    )
-
-
-def _distinct(texts: DataFrame, prefix: str) -> DataFrame:
-    return texts.groupBy(f"{prefix}id").agg(F.first(f"{prefix}toks").alias(f"{prefix}toks"))
-
-
-def _elements(texts: DataFrame, prefix: str, n: int) -> DataFrame:
-    """One row per n-gram occurrence: id, gram, occurrence number k, text length."""
-    toks = F.col(f"{prefix}toks")
-    grams = toks if n == 1 else ngrams(toks, n)
-    t = unnest(texts, [f"{prefix}id", F.size(toks).alias(f"{prefix}len")], grams, "gram")
-    counts = t.groupBy(f"{prefix}id", f"{prefix}len", "gram").agg(F.count(F.lit(1)).alias("c"))
-    k = F.explode(F.sequence(F.lit(1), F.col("c"))).alias("k")
-    return counts.select(f"{prefix}id", f"{prefix}len", "gram", k)
-
-
-def _positions(elements: DataFrame, rarity: DataFrame, prefix: str) -> DataFrame:
-    """Keep elements that some original has; add how many of the text's are left from
-    each on, rare ones first.  A window per text, bounded by that text's length."""
-    e = elements.join(rarity, ["gram", "k"])
-    order = W.partitionBy(f"{prefix}id").orderBy(F.desc("df"), F.desc("gram"), F.desc("k"))
-    return e.withColumn(f"{prefix}left", F.row_number().over(order))
-
-
-def _run_stage(
-    ctexts: DataFrame,
-    otexts: DataFrame,
-    stage: Stage,
-    score: Callable[[Column, Column], Column],
-    floor: DataFrame | None,
-    seeds: int,
-    slack: float,
-) -> DataFrame:
-    """Raise ``floor(cid, s)`` by every pair of this stage that can beat it."""
-    bound = stage.bound
-    oel = _elements(otexts, "o", stage.order)
-    # Per element: how many originals have it, and the shortest of them as its seed.
-    rarity = oel.groupBy("gram", "k").agg(
-        F.count(F.lit(1)).alias("df"),
-        F.min_by("oid", F.struct("olen", "oid")).alias("seed"),
-    )
-    opos = _positions(oel, rarity.select("gram", "k", "df"), "o").drop("df")
-    ctodo = ctexts
-    if floor is not None:
-        # Only candidates whose floor the best conceivable pair of this stage would beat.
-        top = bound(F.size("ctoks"), F.size("ctoks"), F.size("ctoks"))
-        ctodo = (
-            ctexts.join(floor, "cid", "left")
-            .where(top > F.coalesce("s", F.lit(0.0)) + slack)
-            .select("cid", "ctoks")
-        )
-    cpos = _positions(_elements(ctodo, "c", stage.order), rarity, "c")
-    whole = F.max("cleft").over(W.partitionBy("cid"))
-    cpos = materialise(
-        cpos.select("cid", "clen", "cleft", "gram", "k", "seed", whole.alias("ctop"))
-    )
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(ctexts, "cid").join(otexts, "oid")
-        return p.select("cid", score(F.col("ctoks"), F.col("otoks")).alias("s"))
-
-    seed_pairs = cpos.where(F.col("cleft") > F.col("ctop") - seeds)
-    seed_pairs = seed_pairs.select("cid", F.col("seed").alias("oid")).distinct()
-    start = scored(seed_pairs)
-    if floor is not None:
-        start = start.unionByName(floor)
-    start = materialise(start.groupBy("cid").agg(F.max("s").alias("s")))
-
-    limit = F.col("s") + slack
-    c = cpos.drop("seed", "ctop").join(start, "cid")
-    c = c.where(bound(F.col("cleft"), F.col("clen"), F.greatest("cleft", "clen")) > limit)
-    live = bound(F.least("cleft", "oleft"), F.col("clen"), F.col("olen")) > limit
-    pairs = c.join(opos, ["gram", "k"]).where(live).select("cid", "oid")
-    # An explicit number of partitions, so that the scoring, which is heavy per byte, is
-    # not merged into a few tasks; the distinct below needs no further shuffle.
-    wide = int(ctexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(wide, "cid", "oid").distinct()
-    rest = scored(pairs).unionByName(start)
-    return rest.groupBy("cid").agg(F.max("s").alias("s"))
-
-
-def best_match(
-    cands: DataFrame,
-    originals: DataFrame,
-    key: str,
-    text: str,
-    tokens: Callable[[Column], Column],
-    stages: list[Stage],
-    score: Callable[[Column, Column], Column],
-    seeds: int = 4,
-    slack: float = 1e-9,
-) -> DataFrame:
-    """``(key, best)``: the highest score of each candidate over all originals."""
-    call = _texts(cands.select(key, text), tokens(F.col(text)), "c")
-    ctexts = materialise(_distinct(call, "c"))
-    otexts = materialise(_distinct(_texts(originals.select(text), tokens(F.col(text)), "o"), "o"))
-    floor = None
-    for i, stage in enumerate(stages):
-        floor = _run_stage(ctexts, otexts, stage, score, floor, seeds, slack)
-        if i + 1 < len(stages):
-            floor = materialise(floor)
-    out = call.select(key, "cid").join(floor, "cid", "left")
-    return out.select(key, F.coalesce("s", F.lit(0.0)).alias("best"))
-
-
-@F.pandas_udf(T.IntegerType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of two token arrays (bit-parallel)."""
-    seen: dict = {}  # places of each token, for the texts of this batch
-
-    def places(text):
-        toks = tuple(text)
-        if toks not in seen:
-            where: dict = {}
-            for i, tok in enumerate(toks):
-                where[tok] = where.get(tok, 0) | (1 << i)
-            seen[toks] = where
-        return seen[toks]
-
-    def one(x, y):
-        where, n = places(x), len(x)
-        full = v = (1 << n) - 1
-        for tok in y:
-            m = where.get(tok)
-            if m:
-                u = v & m
-                v = ((v + u) | (v - u)) & full
-        return n - v.bit_count()
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def clipped_counts(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Clipped n-gram matches of two token arrays for n = 1..4."""
-
-    seen: dict = {}  # counts of the texts of this batch, each text once
-
-    def grams(text):
-        toks = tuple(text)
-        if toks not in seen:
-            seen[toks] = [Counter(zip(*[toks[i:] for i in range(n)])) for n in range(1, 5)]
-        return seen[toks]
-
-    def one(x, y):
-        return [sum(min(c, o[g]) for g, c in s.items() if g in o) for s, o in zip(grams(x), grams(y))]
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
-
-
-def rouge_f1(shared: Column, m: Column, n: Column) -> Column:
-    return ratio(F.lit(2.0) * shared, m + n)
-
-
 def max_rouge_l(cands: DataFrame, originals: DataFrame, text: str, key: str) -> DataFrame:
-    """Best ROUGE-L F1 of each candidate over all originals.
-
-    The longest common subsequence is at most the number of shared tokens.
-    """
-    return best_match(
-        cands,
-        originals,
-        key,
-        text,
-        rouge_tokens,
-        [Stage(1, rouge_f1)],
-        lambda a, b: rouge_f1(lcs_length(a, b), F.size(a), F.size(b)),
-    )
-
-
-def brevity(m: Column, n: Column) -> Column:
-    """Brevity penalty of a candidate of m against a reference of n tokens."""
-    md, nd = m.cast("double"), n.cast("double")
-    return F.when(m == 0, 0.0).when(m < n, F.exp(F.lit(1.0) - nd / md)).otherwise(1.0)
-
-
-def _bleu_score(precisions: list[Column], m: Column, n: Column) -> Column:
-    """Brevity penalty times the geometric mean over the orders a text of m tokens has."""
-    logs = F.lit(0.0)
-    for i, p in enumerate(precisions):
-        logs = logs + F.when(m > i, F.log(p)).otherwise(0.0)
-    orders = F.greatest(F.least(m, F.lit(4)), F.lit(1)).cast("double")
-    return F.lit(100.0) * brevity(m, n) * F.exp(logs / orders)
-
-
-def _total(m: Column, i: int) -> Column:
-    return F.greatest(m - i, F.lit(1)).cast("double")
-
-
-def bleu_bound_bigram(u: Column, m: Column, n: Column) -> Column:
-    """Bound for pairs sharing at most u bigrams: matches of a higher order are no more
-    than those of order 2, and an order without matches counts less than one match."""
-    u = F.greatest(u, F.lit(1)).cast("double")
-    first = F.least(m, n).cast("double") / _total(m, 0)
-    higher = [F.least(u, _total(m, i)) / _total(m, i) for i in (1, 2, 3)]
-    return _bleu_score([first, *higher], m, n)
-
-
-def bleu_bound_unigram(u: Column, m: Column, n: Column) -> Column:
-    """Bound (in fact the score) of pairs sharing u unigrams but no bigram."""
-    first = F.least(F.greatest(u, F.lit(1)).cast("double"), _total(m, 0)) / _total(m, 0)
-    higher = [F.lit(0.5**i) / _total(m, i) for i in (1, 2, 3)]
-    return _bleu_score([first, *higher], m, n)
-
-
-def bleu4(matches: Column, m: Column, n: Column) -> Column:
-    """Sentence BLEU-4, 0..100: effective order, exponential smoothing."""
-
-    def from_counts(c: Column) -> Column:
-        parts, zeros = [], F.lit(0)
-        for i in range(4):
-            hit = F.get(c, F.lit(i))
-            zeros = zeros + F.when((hit == 0) & (m > i), 1).otherwise(0)
-            smoothed = F.lit(1.0) / (F.pow(F.lit(2.0), zeros) * _total(m, i))
-            parts.append(F.when(hit > 0, hit / _total(m, i)).otherwise(smoothed))
-        return F.when(F.get(c, F.lit(0)) == 0, 0.0).otherwise(_bleu_score(parts, m, n))
-
-    return let(matches, from_counts)
+    """Best ROUGE-L F1 of each candidate over all originals."""
+    return best_match(cands, originals, key, text, rouge_tokens, RougeL)
 
 
 def max_bleu4(cands: DataFrame, originals: DataFrame, text: str, key: str) -> DataFrame:
-    """Best sentence BLEU-4 of each candidate against any single original.
-
-    Pairs that share a bigram are looked at first; pairs without one score so little
-    that they only matter for the few candidates left with a lower floor.
-    """
-    return best_match(
-        cands,
-        originals,
-        key,
-        text,
-        bleu13a_tokens,
-        [Stage(2, bleu_bound_bigram), Stage(1, bleu_bound_unigram)],
-        lambda a, b: bleu4(clipped_counts(a, b), F.size(a), F.size(b)),
-        slack=1e-7,
-    )
+    """Best sentence BLEU-4 of each candidate against any single original."""
+    return best_match(cands, originals, key, text, bleu13a_tokens, Bleu4)
