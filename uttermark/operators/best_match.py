@@ -189,20 +189,23 @@ def best_in(shard: Originals, measure, tokens: list[str], floor: float) -> tuple
     return floor, scored
 
 
-def _texts(df: DataFrame, tokens: Column, prefix: str) -> DataFrame:
-    """``{prefix}id, {prefix}toks``; the id is a digest of the tokens, so that copies are one text."""
-    t = df.withColumn(f"{prefix}toks", tokens)
-    return t.withColumn(f"{prefix}id", F.unhex(F.md5(F.array_join(f"{prefix}toks", "\u0001"))))
+def _id(text: str) -> Column:
+    """A digest of the text, so that copies are one text."""
+    return F.unhex(F.md5(F.col(text)))
 
 
-def _distinct(texts: DataFrame, prefix: str) -> DataFrame:
-    d = texts.where(F.size(f"{prefix}toks") > 0).groupBy(f"{prefix}id")
-    return materialise(d.agg(F.first(f"{prefix}toks").alias(f"{prefix}toks")))
+def _distinct(df: DataFrame, text: str, tokens: Callable[[Column], Column], prefix: str) -> DataFrame:
+    """``{prefix}id, {prefix}toks, {prefix}size`` of the different texts that have tokens; the tokens,
+    which hold no space, joined by one."""
+    once = df.where(F.col(text).isNotNull()).groupBy(_id(text).alias(f"{prefix}id")).agg(F.first(text).alias("_text"))
+    d = once.select(f"{prefix}id", tokens(F.col("_text")).alias("_toks"))
+    d = d.select(f"{prefix}id", F.array_join("_toks", " ").alias(f"{prefix}toks"), F.size("_toks").alias(f"{prefix}size"))
+    return materialise(d).where(F.col(f"{prefix}size") > 0)
 
 
 def _pieces(texts: DataFrame, prefix: str, most: int) -> int:
     """How many pieces of about so many tokens the texts make."""
-    total = texts.agg(F.sum(F.size(f"{prefix}toks"))).first()[0] or 0
+    total = texts.agg(F.sum(f"{prefix}size")).first()[0] or 0
     return math.ceil(total / most)
 
 
@@ -223,9 +226,8 @@ def best_match(
     Every row of ``cands`` gives a row.  Null and empty texts, and texts that share nothing with any
     original, score 0; so do all if there are no originals.
     """
-    call = _texts(cands.select(key, text), tokens(F.col(text)), "c")
-    ctexts = _distinct(call, "c")
-    otexts = _distinct(_texts(originals.select(text), tokens(F.col(text)), "o"), "o")
+    ctexts = _distinct(cands, text, tokens, "c")
+    otexts = _distinct(originals, text, tokens, "o")
     wide = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(wide, _pieces(ctexts, "c", CHUNK))
     shards = otexts.groupBy(_dealt("oid", _pieces(otexts, "o", SHARD)).alias("shard"))
@@ -233,8 +235,8 @@ def best_match(
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))  # every shard visits every chunk
     rows = ctexts.select(
         _dealt("cid", chunks).alias("chunk"), F.lit(-1).cast("long").alias("shard"), "cid", "ctoks",
-        F.lit(None).cast("array<array<string>>").alias("originals"),
-    ).unionByName(shards.select(chunk.alias("chunk"), "shard", F.lit(None).cast("binary").alias("cid"), F.lit(None).cast("array<string>").alias("ctoks"), "originals"))
+        F.lit(None).cast("array<string>").alias("originals"),
+    ).unionByName(shards.select(chunk.alias("chunk"), "shard", F.lit(None).cast("binary").alias("cid"), F.lit(None).cast("string").alias("ctoks"), "originals"))
     rows = rows.repartition(chunks, "chunk").sortWithinPartitions("chunk", "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,14 +250,14 @@ def best_match(
                 if batch.column(1)[i].as_py() < 0:
                     held[batch.column(2)[i].as_py()] = [batch.column(3)[i].as_py(), 0.0]
                 elif held:
-                    shard = Originals(batch.column(4)[i].as_py(), measure.orders)
+                    shard = Originals([o.split(" ") for o in batch.column(4)[i].as_py()], measure.orders)
                     for x in held.values():
-                        x[1] = best_in(shard, measure, x[0], x[1])[0]
+                        x[1] = best_in(shard, measure, x[0].split(" "), x[1])[0]
         if held:
             yield _told(held)
 
     best = rows.mapInArrow(run, "cid binary, best double")
-    out = call.select(key, "cid").join(best, "cid", "left")
+    out = cands.select(key, _id(text).alias("cid")).join(best, "cid", "left")
     return out.select(key, F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
