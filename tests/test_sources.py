@@ -1,6 +1,7 @@
 """Readers on files written by hand."""
 
 import json
+import random
 import struct
 
 from pyspark.sql import functions as F
@@ -112,3 +113,28 @@ def test_inventory_of_files_with_further_chunks(spark, tmp_path):
         x = got[name]
         assert (x["channels"], x["sample_width"], x["sample_rate"]) == (2, 2, 8000)
         assert x["n_frames"] == (99 if name == "block" else 16) and x["duration"] == x["n_frames"] / 8000
+
+
+def test_json_arrays_are_split_among_tasks(spark, tmp_path):
+    rng = random.Random(4)
+    bits = ['a', ',', '"', "\\", "[", "]", "{", "}", "\n", "é", ",,", '\\"', " "]
+    text = lambda: "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+    want = [{"i": i, "s": text(), "l": [text() for _ in range(rng.randint(0, 3))], "m": {text(): text()}} for i in range(300)]
+    (tmp_path / "a.json").write_text("  \n" + json.dumps(want[:120], indent=1) + "\n")
+    (tmp_path / "b.json").write_text(json.dumps(want[120:299], ensure_ascii=False))
+    (tmp_path / "c.json").write_text(json.dumps(want[299]))
+    (tmp_path / "d.json").write_text("[ \n ]")
+    (tmp_path / "e.json").write_text("")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "1000")  # many blocks a file
+        schema = "i bigint, s string, l array<string>, m map<string,string>"
+        got = readers.read_json_records(spark, str(tmp_path), schema).collect()
+        elements = readers.json_elements(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.asDict() for r in got), key=lambda r: r["i"]) == want
+    numbers = sorted((r["file"][-6:], r["element_no"]) for r in elements)
+    assert numbers == [("a.json", i) for i in range(120)] + [("b.json", i) for i in range(179)] + [("c.json", 0)]

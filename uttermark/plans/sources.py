@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from uttermark.plans.aggregates import CORPUS_SQL, corpus
@@ -92,12 +93,28 @@ def a3(t):
     return d.join(texts("tokens", "token_text").drop("intent"), "utt_id")
 
 
+RECORDS = "event_id bigint, event_type string, value double, props string"
+
+
 @query("a4_read_json_records", "SELECT event_id, event_type, value, props FROM events")
 def a4(t):
     out = scratch_path(t.spark, "records")
     writers.write_report(t.events.select("event_id", "event_type", "value", "props"), out, "json")
-    schema = "event_id bigint, event_type string, value double, props string"
-    return readers.read_json_records(t.spark, out, schema, multi_line=False)
+    return readers.read_json_records(t.spark, out, RECORDS, multi_line=False)
+
+
+@query("a4_read_json_array", "SELECT event_id, event_type, value, props FROM events")
+def a4_array(t):
+    """One array for each type of event, its records separated by commas in one file."""
+    out = scratch_path(t.spark, "arrays")
+    record = F.to_json(F.struct("event_id", "event_type", "value", "props"))
+    first = F.row_number().over(W.partitionBy("event_type").orderBy("event_id"))
+    last = F.row_number().over(W.partitionBy("event_type").orderBy(F.desc("event_id")))
+    line = F.concat(F.when(first == 1, "[\n").otherwise(" ,"), record, F.when(last == 1, "\n]").otherwise(""))
+    rows = t.events.select("event_type", "event_id", line.alias("value"))
+    rows = rows.repartition("event_type").sortWithinPartitions("event_type", "event_id")
+    rows.select("event_type", "value").write.partitionBy("event_type").text(out)
+    return readers.read_json_records(t.spark, out, RECORDS)
 
 
 @query("a5_read_parquet_cols", "SELECT p_type, count(*) AS n, round(sum(p_retailprice), 2) AS price FROM part GROUP BY 1")

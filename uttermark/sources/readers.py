@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from uttermark.functions.tags import align_tags, split_tags
 from uttermark.functions.text import space_tokens
 from uttermark.operators.order import running
+from uttermark.session import sized
 
 LINES = 100_000  # lines that one task orders at a time
 
@@ -111,11 +112,60 @@ def read_entities(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return e.select("entity", "pos", "d.value", "d.synonyms")
 
 
+def json_elements(spark: SparkSession, path: str) -> DataFrame:
+    """``file, element_no, value``: the elements of JSON arrays as text, each file read by many tasks.
+
+    A file is cut at its commas, in blocks.  What a piece does to the state of a reader is known
+    without the text before it: how many quotes it has, and which brackets it opens or closes if it
+    starts inside a string or outside.  Sums over the pieces before, taken per block and then
+    across blocks, give each piece its state, so commas between elements are told from all others;
+    only the pieces of one element are put together.  A file that is one object is one element;
+    empty files and arrays have none.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).option("lineSep", ",").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"),
+        "value",
+    )
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # no pair of backslash and letter spans a comma
+    raw = sized(raw.select("*", F.split(bare, '"', -1).alias("_parts")), "json-pieces")
+    kinds = raw.groupBy("file").agg((F.min_by(F.ltrim(F.regexp_replace("value", r"^[\s\uFEFF]+", "")), "_place").startswith("[")).alias("_array"))
+    place, cell = [F.col("_place")], F.col("_block")
+
+    quotes = (F.size("_parts") - 1).cast("bigint")
+    d = running(raw.withColumn("_quotes", quotes), ["file"], place, cell, F.col("_quotes"), cum="_q")
+    inside = (F.col("_q") - F.col("_quotes")) % 2  # 1: the piece starts inside a string
+    bare = F.array_join(F.filter("_parts", lambda _, i: (i + F.col("_inside")) % 2 == 0), "")
+    d = d.withColumn("_inside", inside)
+    change = F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"[\]}]"))
+    d = d.withColumn("_change", change.cast("bigint")).drop("_parts")
+    d = running(d, ["file"], place, cell, F.col("_change"), cum="_depth")
+
+    between = F.when(F.col("_array") & (F.col("_depth") == 1) & (F.col("_q") % 2 == 0), 1).otherwise(0)
+    d = d.join(kinds, "file").withColumn("_between", between.cast("bigint"))
+    d = running(d, ["file"], place, cell, F.col("_between"), cum="_n")
+    d = d.groupBy("file", (F.col("_n") - F.col("_between")).alias("element_no"), "_array").agg(
+        F.array_sort(F.collect_list(F.struct("_place", "value"))).alias("p"), F.min("_depth").alias("_least")
+    )
+    text = F.array_join("p.value", ",")
+    text = F.when(F.col("_array") & (F.col("element_no") == 0), F.regexp_replace(text, r"^[\s\uFEFF]*\[", "")).otherwise(text)
+    text = F.when(F.col("_array") & (F.col("_least") == 0), F.regexp_replace(text, r"\]\s*$", "")).otherwise(text)
+    return d.select("file", "element_no", F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")).alias("value")).where("value <> ''")
+
+
 def read_json_records(
     spark: SparkSession, path: str, schema: str | T.StructType, multi_line: bool = True
 ) -> DataFrame:
-    """Records of a JSON array (or, without ``multi_line``, one per line)."""
-    return spark.read.json(path, schema=schema, multiLine=multi_line, mode="FAILFAST")
+    """Records of JSON arrays (or, without ``multi_line``, one per line).
+
+    An array may be of any size and on any number of lines: see ``json_elements``.
+    """
+    if not multi_line:
+        return spark.read.json(path, schema=schema, mode="FAILFAST")
+    kind = schema if isinstance(schema, str) else schema.simpleString()
+    parsed = F.from_json("value", kind, {"mode": "FAILFAST"}).alias("r")
+    return json_elements(spark, path).select(parsed).select("r.*")
 
 
 def read_parquet_cols(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
