@@ -31,6 +31,10 @@ def test_base_counts():
     assert mcd.text_counts(None)[0] == [0] * 5
 
 
+def floored(c):
+    return c + np.diag(np.maximum(mcd.LEAST**2 - np.diag(c), 0) + 0.01 * mcd.LEAST**2)
+
+
 def brute_mcd(x, rounds=60):
     """Concentration from many random starts on one group, without cells."""
     h, best = int(np.ceil(mcd.KEEP * len(x))), None
@@ -39,7 +43,7 @@ def brute_mcd(x, rounds=60):
         pick = r.choice(len(x), mcd.P + 1, replace=False)
         for _ in range(rounds):
             m = x[pick].mean(0)
-            c = np.cov(x[pick].T, bias=True) * mcd.consistency(mcd.KEEP) + np.diag(mcd.LEAST**2)
+            c = floored(np.cov(x[pick].T, bias=True) * mcd.consistency(mcd.KEEP))
             d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
             new = np.argsort(d, kind="stable")[:h]
             if set(new) == set(pick):
@@ -51,7 +55,7 @@ def brute_mcd(x, rounds=60):
     _, m, c = best
     d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
     near = x[d <= mcd.solve(lambda v: mcd.chi2_cdf(v, mcd.P), mcd.WEIGHT_AT, 0, 500)]
-    c = np.cov(near.T, bias=True) * mcd.consistency(mcd.WEIGHT_AT) + np.diag(mcd.LEAST**2)
+    c = floored(np.cov(near.T, bias=True) * mcd.consistency(mcd.WEIGHT_AT))
     m = near.mean(0)
     return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
 

@@ -29,7 +29,7 @@ MIN_WORDS = 50
 KEEP = 0.75  # of a group's rows in a concentration step
 ROUNDS = 6
 MIN_ROWS = 50  # a smaller group is pooled
-TAIL = 1e-9  # share of regular rows beyond the cut, were they normal
+TAIL = 1e-5  # share of regular rows beyond the cut, were they normal
 WEIGHT_AT = 0.975  # rows within this quantile make up the final estimate
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -220,7 +220,8 @@ def estimate(rows: pd.DataFrame, factor: float) -> pd.DataFrame:
 
 
 def settled(center: np.ndarray, cov: np.ndarray):
-    cov = cov + np.diag(LEAST**2)
+    # Variances reach their floor; a little more keeps the matrix regular.
+    cov = cov + np.diag(np.maximum(LEAST**2 - np.diag(cov), 0.0) + 0.01 * LEAST**2)
     return center.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
 
 
