@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from uttermark.functions import text
 
 SAMPLES = [
-    "", "one", "Don't stop", "uçuş detroit'den kalkar", "l'entrée de l'hôtel", "दिल्ली से उड़ान", "从北京 到上海",
-    "two\nlines  here", "pay <numeric> at {{Axis Bank}} (credit/debit)", "a_b c-d 3.5% U.S. ok.", "ﬁne Ångström 𝒳",
+    "", "one", "Don't stop", "otobüs izmir'den geliyor", "l'entrée de l'hôtel", "दिल्ली से उड़ान", "从北京 到上海",
+    "two\nlines  here", "book <number> seats with {{River Rail}} (window/aisle)", "a_b c-d 3.5% U.S. ok.", "ﬁne Ångström 𝒳",
 ]
 
 
@@ -39,9 +39,9 @@ def test_ngrams(frame):
 
 
 def test_contractions_fire_in_order_and_only_for_english(spark):
-    df = spark.createDataFrame([("Don't  go. I'll", "en"), ("detroit'den", "tr")], "t string, lang string")
+    df = spark.createDataFrame([("Don't  go. I'll", "en"), ("izmir'den", "tr")], "t string, lang string")
     got = [r[0] for r in df.select(text.expand_contractions(F.col("t"), F.col("lang"))).collect()]
-    assert got == ["don not go i will", "detroit'den"]
+    assert got == ["don not go i will", "izmir'den"]
 
 
 def test_accents(frame):
@@ -54,9 +54,9 @@ def test_accents(frame):
 
 
 def test_small_forms(frame):
-    assert run(frame, text.strip_placeholders(F.col("t")))[8] == "pay  at  credit/debit"
+    assert run(frame, text.strip_placeholders(F.col("t")))[8] == "book  seats with  window/aisle"
     assert run(frame, text.canonicalize(F.col("t")))[7] == "two lines here"
-    assert run(frame, text.strip_suffix(text.word_tokens(F.col("t"))))[3] == ["uçuş", "detroit", "kalkar"]
+    assert run(frame, text.strip_suffix(text.word_tokens(F.col("t"))))[3] == ["otobüs", "izmir", "geliyor"]
     assert run(frame, text.basename(F.concat(F.lit("a\\b/"), F.col("t"))))[1] == "one"
     assert run(frame, text.opener(F.col("t")))[:2] == ["", "one"]
 
