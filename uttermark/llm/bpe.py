@@ -278,7 +278,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 def encode_decode(
     df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
 ) -> DataFrame:
-    """``encode`` and ``decode`` in one pass over the rows."""
+    """``encode`` and ``decode`` in one pass over the rows.
+
+    Null and empty texts have no tokens and decode to the empty text.  Every row gives a row, repeated
+    ones too; an empty table gives none.  Texts are encoded whole, however long.  Other columns, null
+    or not, pass through; an output name that is taken already raises ``ValueError``.
+    """
     _free(df, ids, decoded)
 
     def both(col):

@@ -110,7 +110,9 @@ def counter(path: str) -> PieceCounter:
 def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """Append ``out``: the number of tokens of the whole text; 0 for null and empty texts.
 
-    Other columns pass through; an output name that is taken raises ``ValueError``.
+    Every row gives a row, repeated ones too; an empty table gives none.  Texts are counted whole,
+    however long.  Other columns, null or not, pass through; an output name that is taken raises
+    ``ValueError``.
     """
     if out.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the table has a column {out} already; name another for the output")

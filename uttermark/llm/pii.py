@@ -398,7 +398,12 @@ def redact(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document with counts per base kind and the written spans."""
+    """One row per row of ``docs`` with counts per base kind and the written spans.
+
+    Null and empty texts have no spans, and their digest is that of the empty string.  Rows without
+    an id and repeated rows are rows like others; an empty table gives none.  Texts are read whole.
+    Only ``doc_id`` and ``text`` are looked at.
+    """
     found = find(docs.select("doc_id", "text"), fit(docs))
     base = F.filter("spans", lambda s: s["base"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long")
