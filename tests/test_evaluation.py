@@ -106,7 +106,7 @@ def test_pick_until_stop_rules(spark):
 
     rows = group("reach", [3.0, 3.0, 1.0]) + group("over", [5.0, 5.0]) + group("short", [1.0, 2.0]) + group("long", [12.0, 1.0])
     df = spark.createDataFrame(rows, "g string, pos int, d double")
-    got = selection.pick_until(df, "g", "d", [F.col("pos")], F.expr("pos div 2"))
+    got = selection.pick_until(df, "g", "d", [F.col("pos")])
     kept = sorted((r.g, r.pos) for r in got.collect())
     assert kept == [("long", 0), ("over", 0), ("reach", 0), ("reach", 1)]
 

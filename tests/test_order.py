@@ -49,6 +49,46 @@ def test_exact_percentiles(spark):
     assert idx["one"] == 4.0
 
 
+def test_percentiles_of_a_narrow_hot_range(spark):
+    """One group of 60,000 rows, 90 % of them in a range of one millionth, and repeated ends."""
+    x = F.when(F.col("id") % 10 > 0, 1e9 + (F.col("id") * 7919 % 60007) / 100.0).otherwise(F.col("id") % 7 - 3.0)
+    df = spark.range(60_000).select(F.when(F.col("id") % 600 > 0, "hot").alias("g"), x.alias("x"))
+    ps = {"low": 0, "p1": 1, "p10": 10, "p50": 50, "p999": 99.9, "top": 100}
+    got = {r.g: r for r in order.exact_percentiles(df, ["g"], "x", ps).collect()}
+    idx = {r.g: r for r in order.exact_percentiles(df, ["g"], "x", ps, "index").collect()}
+    for g, part in df.toPandas().groupby(df.toPandas().g.fillna("")):
+        xs = sorted(part.x)
+        for name, p in ps.items():
+            rank = (len(xs) - 1) * p / 100
+            a, b = xs[int(rank)], xs[min(int(rank) + 1, len(xs) - 1)]
+            assert abs(got[g or None][name] - (a + (b - a) * (rank - int(rank)))) < 1e-6, (g, name)
+            assert idx[g or None][name] == xs[min(int(len(xs) * p / 100), len(xs) - 1)], (g, name)
+
+
+def test_percentiles_sort_little(spark):
+    """Of a large group only the values around the wanted ranks are counted one by one."""
+    df = spark.range(400_000).select((F.col("id") * 7919 % 400_009).alias("x"))
+    plan = order.exact_percentiles(df, [], "x", {"p50": 50})
+    want = sorted(i * 7919 % 400_009 for i in range(400_000))
+    assert plan.collect()[0].p50 == (want[199_999] + want[200_000]) / 2
+    kept = order.around_ranks(df.select(F.struct(F.lit(0)).alias("_g"), F.col("x").cast("double").alias("_x")), [0.5])
+    assert kept.where("_p.x IS NOT NULL").count() < 500 and kept.agg(F.sum("_c")).first()[0] == 400_000
+    assert order.exact_percentiles(df.where("x < 0"), ["x"], "x", {"p50": 50}).count() == 0
+
+
+def test_numbered_with_one_common_prefix(spark):
+    label = F.concat(F.lit("the-same-long-prefix-"), F.format_string("%05d", F.col("id") * 7919 % 20011))
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, "hot").alias("g"), label.alias("label"))
+    want = df.withColumn("want", F.row_number().over(W.partitionBy("g").orderBy(F.desc("label"))))
+    got = order.numbered(df, ["g"], [F.desc("label")])
+    both = got.join(want.select("label", "want"), "label")
+    assert both.count() == 20_000 and both.where("rn <> want").count() == 0
+    # A fixed number of ranges, as so few bytes would be put together again.
+    ranges = df.repartitionByRange(8, "g", F.desc("label")).groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in ranges.collect()) < 2 * 20_000 / 8
+    assert order.numbered(df.limit(0), [], [F.col("label")]).count() == 0
+
+
 def test_first_seen_and_most_common(spark):
     df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 2, "z")], "k string, pos int, v string")
     assert sorted(map(tuple, order.first_seen(df, ["k"], ["pos"]).collect())) == [("a", 1, "y"), ("b", 2, "z")]

@@ -9,17 +9,3 @@ from pyspark.sql import functions as F
 def half_even(x: Column, scale: int = 0) -> Column:
     """Round half to even."""
     return F.bround(x, scale)
-
-
-def value_cell(x: Column, per_octave: int = 256) -> Column:
-    """An integer that never decreases as ``x`` grows: sign, then log-scale cell.
-
-    Splits a group of any size into cells of one relative width, so that an order
-    inside the group can be computed cell by cell.
-    """
-    mag = F.floor(F.log2(F.abs(x)) * per_octave) + 1100 * per_octave
-    return (
-        F.when(x == 0, F.lit(0).cast("bigint"))
-        .when(x > 0, mag.cast("bigint"))
-        .otherwise(-mag.cast("bigint"))
-    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from uttermark.functions.tags import begin_tags, spans, span_text, tag_type
 from uttermark.functions.text import opener
 from uttermark.functions.util import ratio, unnest
-from uttermark.operators.order import exact_percentiles, running
+from uttermark.operators.order import exact_percentiles, numbered
 
 
 def counts_and_shares(df: DataFrame, by: list[str]) -> DataFrame:
@@ -23,19 +23,32 @@ def counts_and_shares(df: DataFrame, by: list[str]) -> DataFrame:
 def language_table(df: DataFrame, splits: list[str]) -> DataFrame:
     """Per language: rows of each split, distinct intents, distinct slot types.
 
-    ``df`` has ``lang, split, intent, tags``.  Distinct counts go through a first
-    grouping on the value, so a language with a third of the rows is no problem.
+    ``df`` has ``lang, split, intent, tags``.  One pass: a row gives its split, its intent and
+    its slot types, equal ones are counted together before the shuffle, and only then rolled
+    up by language.  Null intents do not count; a null language is a group of its own.
     """
-    sizes = df.groupBy("lang").pivot("split", splits).agg(F.count(F.lit(1)))
-    sizes = sizes.na.fill(0, splits).select("lang", *[F.col(s).alias(f"n_{s}") for s in splits])
-    intents = df.select("lang", F.lower("intent").alias("i")).distinct().groupBy("lang").agg(
-        F.count("i").alias("n_intents")
+
+    def item(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+    items = F.concat(
+        F.array(item("split", F.col("split")), item("intent", F.lower("intent"))),
+        F.coalesce(F.transform("tags", lambda t: item("type", tag_type(t))), F.array()),
     )
-    types = unnest(df, ["lang"], F.transform("tags", tag_type), "ty").distinct().groupBy("lang").agg(
-        F.count("ty").alias("n_slot_types")
+    seen = unnest(df, ["lang"], items, "_i").groupBy("lang", "_i").agg(F.count(F.lit(1)).alias("_n"))
+    kind, value = F.col("_i.kind"), F.col("_i.value")
+
+    def distinct(k: str) -> Column:
+        return F.count_if((kind == k) & value.isNotNull())
+
+    return seen.groupBy("lang").agg(
+        *[
+            F.sum(F.when((kind == "split") & (value == s), F.col("_n")).otherwise(0)).alias(f"n_{s}")
+            for s in splits
+        ],
+        distinct("intent").alias("n_intents"),
+        distinct("type").alias("n_slot_types"),
     )
-    out = sizes.join(intents, "lang", "left").join(types, "lang", "left")
-    return out.na.fill(0, ["n_intents", "n_slot_types"])
 
 
 def length_stats(df: DataFrame, by: list[str], n_tokens: Column) -> DataFrame:
@@ -66,22 +79,30 @@ def label_vocab(df: DataFrame, intent: str, tags: str) -> DataFrame:
     """``kind, label, idx``: intents, and tags with an I- for each B- and PAD last.
 
     Observed labels are numbered in sorted order, the added I- tags after them.
+    One pass: each B- tag also proposes its I- tag, and of equal labels the observed one counts.
     """
-    intents = df.select(F.lit("intent").alias("kind"), F.col(intent).alias("label"), F.lit(0).alias("step"))
-    seen = unnest(df, [], F.col(tags), "label").distinct()
-    tag_rows = seen.select(F.lit("tag").alias("kind"), "label", F.lit(0).alias("step"))
-    inside = seen.where(F.col("label").startswith("B-")).select(
-        F.concat(F.lit("I-"), F.substring("label", 3, 2147483647)).alias("label")
-    )
-    added = inside.join(seen, "label", "left_anti").select(
-        F.lit("tag").alias("kind"), "label", F.lit(1).alias("step")
-    )
+
+    def item(kind: str, label: Column, step: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), label.alias("label"), F.lit(step).alias("step"))
+
+    begins = F.filter(F.col(tags), lambda t: t.startswith("B-"))
+    items = F.concat(
+        F.array(item("intent", F.col(intent), 0)),
+        F.coalesce(F.transform(tags, lambda t: item("tag", t, 0)), F.array()),
+        F.coalesce(
+            F.transform(
+                begins,
+                lambda t: item("tag", F.concat(F.lit("I-"), F.substring(t, 3, 2147483647)), 1),
+            ),
+            F.array(),
+        ),
+    )
+    rows = unnest(df, [], items, "_i").groupBy("_i.kind", "_i.label").agg(F.min("_i.step").alias("step"))
+    rows = rows.where((F.col("kind") == "intent") | F.col("label").isNotNull())
     pad = df.sparkSession.range(1).select(
         F.lit("tag").alias("kind"), F.lit("PAD").alias("label"), F.lit(2).alias("step")
     )
-    rows = intents.distinct().unionByName(tag_rows).unionByName(added).unionByName(pad)
-    cell = F.concat(F.col("step").cast("string"), F.substring("label", 1, 4))
-    out = running(rows, ["kind"], [F.col("step"), F.col("label")], cell)
+    out = numbered(rows.unionByName(pad), ["kind"], [F.col("step"), F.col("label")])
     return out.select("kind", "label", (F.col("rn") - 1).alias("idx"))
 
 

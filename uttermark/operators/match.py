@@ -130,17 +130,21 @@ def keyword_confusion(
 
 
 def coverage_by_group(df: DataFrame, key: str, group: str, base: str) -> DataFrame:
-    """Per group other than ``base``: keys shared with it, missing from it, and extra."""
-    keys = df.select(group, key).distinct()
-    ref = keys.where(F.col(group) == base).select(key).withColumn("_in", F.lit(True))
-    n_base = ref.agg(F.count(F.lit(1)).alias("_n"))
-    others = keys.where(F.col(group) != base).join(ref, key, "left")
-    per = others.groupBy(group).agg(
+    """Per group other than ``base``: keys shared with it, missing from it, and extra.
+
+    One pass: a key marks its groups by whether ``base`` is among them.  After the distinct
+    step a key has one row per group.  Null keys are never shared; a null group is left out.
+    """
+    keys = df.where(F.col(group).isNotNull()).select(group, key).distinct()
+    in_base = F.max(F.col(group) == base).over(W.partitionBy(key)) & F.col(key).isNotNull()
+    per = keys.withColumn("_in", in_base).groupBy(group).agg(
         F.count(F.lit(1)).alias("n_keys"),
         F.count_if(F.col("_in")).alias("n_shared"),
-        F.count_if(F.col("_in").isNull()).alias("n_extra"),
+        F.count_if(~F.col("_in")).alias("n_extra"),
     )
-    out = per.crossJoin(n_base)  # n_base is one row
+    # One row per group, so one window over all of them is small.
+    n_base = F.max(F.when(F.col(group) == base, F.col("n_keys"))).over(W.partitionBy())
+    out = per.withColumn("_n", F.coalesce(n_base, F.lit(0))).where(F.col(group) != base)
     return out.select(
         group,
         "n_keys",

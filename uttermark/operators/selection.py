@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from uttermark.operators.order import running
-
 
 def pick_closest(
     df: DataFrame, group: str, x: str, order: list[str], target=6.0, hi=12.0
@@ -50,7 +50,6 @@ def pick_until(
     group: str,
     x: str,
     order: list[Column],
-    cell: Column,
     target=6.0,
     lo=5.0,
     hi=9.0,
@@ -60,21 +59,27 @@ def pick_until(
 
     A row that would pass ``hi`` ends the choice once ``lo`` is held; groups that stay
     below ``lo`` are dropped.  Lengths only grow, so running sums decide it.  Sums are
-    decimal, so they do not depend on how the rows are split.
+    decimal, so they do not depend on how the rows are split.  Rows without a length or
+    with a negative one are left out.
+
+    Every row adds at least the gap, so no more than ``target / gap`` rows can matter.  Spark
+    applies that limit before the shuffle: a large group sends so many rows a task.
     """
     d = F.col(x).cast("decimal(18,6)")
     step = d + F.lit(gap).cast("decimal(18,6)")
-    cum = running(df.withColumn("_d", d).withColumn("_step", step), [group], order, cell,
-                  F.col("_step"), cum="_cum")
+    first = W.partitionBy(group).orderBy(*order)
+    rows = df.withColumn("_d", d).where("_d >= 0").withColumn("_r", F.row_number().over(first))
+    rows = rows.where(F.col("_r") <= math.ceil(target / gap)).withColumn("_step", step)
+    upto = first.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_cum", F.sum("_step").over(upto))
     held = F.col("_cum") - F.col("_step")
-    # Rows past the target are out; what is left is at most target / gap rows per group.
-    rows = cum.where(held < target)
+    rows = rows.where(held < target)
     ends = (held + F.col("_d") > hi) & (held >= lo)
     whole = W.partitionBy(group)
     rows = rows.withColumn("_stop", F.min(F.when(ends, F.col("_cum"))).over(whole))
     rows = rows.where(F.col("_stop").isNull() | (F.col("_cum") < F.col("_stop")))
     rows = rows.withColumn("total_s", F.max("_cum").over(whole))
-    return rows.where(F.col("total_s") >= lo).drop("_d", "_step", "_cum", "_stop")
+    return rows.where(F.col("total_s") >= lo).drop("_d", "_r", "_step", "_cum", "_stop")
 
 
 def round_robin(df: DataFrame, idx: str, n: int, k: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uttermark.functions.util import unnest
-from uttermark.operators.order import running
+from uttermark.operators.order import numbered
 
 # Ids 0..3 of a word vocabulary.
 RESERVED = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
@@ -15,7 +15,7 @@ RESERVED = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
 def index_labels(df: DataFrame) -> DataFrame:
     """``(label, idx)``: distinct labels numbered from 0 in sorted order."""
     d = df.select("label").distinct()
-    out = running(d, [], [F.col("label")], F.substring("label", 1, 4))
+    out = numbered(d, [], [F.col("label")])
     return out.select("label", (F.col("rn") - 1).alias("idx"))
 
 
@@ -23,13 +23,12 @@ def build_vocab(df: DataFrame, tokens: str, min_freq: int = 1) -> DataFrame:
     """``(word, idx, n)``: words by falling frequency, ties by word, after the four
     reserved entries (whose n is null).
 
-    The order is global: cells of (count, first letters) keep it out of a single task,
-    although most words of a large corpus share the count 1.
+    The order is global, over ranges of (count, word), as most words of a large corpus share
+    the count 1.
     """
     words = unnest(df, [], F.col(tokens), "word").groupBy(F.lower("word").alias("word"))
     counts = words.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_freq)
-    cell = F.struct((-F.col("n")).alias("c"), F.substring("word", 1, 4).alias("w"))
-    out = running(counts, [], [F.desc("n"), F.col("word")], cell)
+    out = numbered(counts, [], [F.desc("n"), F.col("word")])
     ranked = out.select("word", (F.col("rn") + len(RESERVED) - 1).alias("idx"), "n")
     fixed = df.sparkSession.range(1).select(
         F.posexplode(F.array(*[F.lit(w) for w in RESERVED])).alias("idx", "word")

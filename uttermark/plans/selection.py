@@ -56,9 +56,7 @@ SELECT speaker, l_orderkey, CAST(d AS DOUBLE) AS dur, CAST(max(cum) OVER (PARTIT
 WHERE speaker IN (SELECT speaker FROM k GROUP BY 1 HAVING max(cum) >= 5)""",
 )
 def f4(t):
-    d = selection.pick_until(
-        clips(t), "speaker", "dur", [F.col(c) for c in ORDER], F.expr("l_orderkey div 1000")
-    )
+    d = selection.pick_until(clips(t), "speaker", "dur", [F.col(c) for c in ORDER])
     return d.select("speaker", "l_orderkey", "dur", F.col("total_s").cast("double").alias("total_s"))
 
 
