@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from uttermark.functions.util import ratio
 from uttermark.operators.order import exact_percentiles
+from uttermark.session import sized
 
 
 def group_error(df: DataFrame, group: str, correct: str) -> DataFrame:
@@ -98,23 +99,37 @@ def time_features(samples: DataFrame, win_ms: int = 100) -> DataFrame:
     than two windows uses its overall RMS for both.
     """
     win = F.floor(F.col("sr") * (win_ms / 1000.0))
-    clip = samples.groupBy("clip_id").agg(
-        F.count(F.lit(1)).alias("n_samples"),
-        F.max("sr").alias("sr"),
-        F.sqrt(F.avg(F.col("amp") * F.col("amp")) + 1e-12).alias("rms"),
-        F.max(F.abs("amp")).alias("peak"),
+    part = samples.withColumn("_win", win).groupBy(
+        "clip_id", F.expr("CASE WHEN _win > 0 THEN pos div _win END").alias("_w")
     )
-    w = samples.withColumn("_win", win).where("_win > 0")
-    w = w.groupBy("clip_id", F.expr("pos div _win").alias("_w")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max("_win").alias("_win"),
-        F.sqrt(F.avg(F.col("amp") * F.col("amp")) + 1e-12).alias("_rms"),
+    # One row per window, stored: everything else follows from it, the samples are read once.
+    parts = sized(
+        part.agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.max("_win").alias("_win"),
+            F.max("sr").alias("sr"),
+            F.count("amp").alias("_amps"),
+            F.sum(F.col("amp") * F.col("amp")).alias("_power"),
+            F.max(F.abs("amp")).alias("peak"),
+        ),
+        "windows",
+    )
+    full = F.col("_w").isNotNull() & (F.col("_n") == F.col("_win"))
+
+    def rms(power, n):
+        return F.sqrt(power / n + 1e-12)
+
+    clip = parts.groupBy("clip_id").agg(
+        F.sum("_n").alias("n_samples"),
+        F.max("sr").alias("sr"),
+        rms(F.sum("_power"), F.sum("_amps")).alias("rms"),
+        F.max("peak").alias("peak"),
+        F.count_if(full).alias("_windows"),
     )
-    w = w.where("_n = _win")
-    full = w.groupBy("clip_id").agg(F.count(F.lit(1)).alias("_windows"))
+    w = parts.where(full).select("clip_id", rms(F.col("_power"), F.col("_amps")).alias("_rms"))
     levels = exact_percentiles(w, ["clip_id"], "_rms", {"_p10": 10, "_p90": 90})
-    out = clip.join(full, "clip_id", "left").join(levels, "clip_id", "left")
-    enough = F.coalesce(F.col("_windows"), F.lit(0)) >= 2
+    out = clip.join(levels, "clip_id", "left")
+    enough = F.col("_windows") >= 2
     noise = F.when(enough, F.col("_p10")).otherwise(F.col("rms"))
     speech = F.when(enough, F.col("_p90")).otherwise(F.col("rms"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from uttermark.functions.util import let
 from uttermark.operators.order import ORDER_CELLS, first_seen, ranked, running
+from uttermark.session import sized
 
 CHUNK = 10_000  # attempts built by one task at a time
 
@@ -42,19 +43,20 @@ def value_pool(values: DataFrame) -> DataFrame:
     """``pool, branch, pos, value``: pools numbered for drawing.
 
     ``values``: ``pool, branch, value``; branch 0 and 1 are the two kinds a pool may mix
-    (words and digits).  Synonyms are values like any other.
+    (words and digits).  Synonyms are values like any other.  The source is read once: the
+    distinct values and the numbered pools are stored, as generation joins them several times.
     """
     v = values.select("pool", "branch", "value").distinct().withColumn("_h", F.md5("value"))
     cell = F.concat(F.col("branch").cast("string"), F.substring("_h", 1, ORDER_CELLS))
-    out = running(v, ["pool"], [F.col("branch"), F.col("_h"), F.col("value")], cell)
-    return out.select("pool", "branch", (F.col("rn") - 1).alias("pos"), "value")
+    out = running(sized(v, "values"), ["pool"], [F.col("branch"), F.col("_h"), F.col("value")], cell)
+    return sized(out.select("pool", "branch", (F.col("rn") - 1).alias("pos"), "value"), "pools")
 
 
 def prepare(templates: DataFrame, pools: DataFrame, group: list[str], distinct: list[str]) -> DataFrame:
     """Templates cut into texts and slots, numbered in their group, with pool sizes.
 
     A placeholder ``{pool.name}`` draws from ``pool``; its slot type is the whole name.
-    All of this is work on the templates, not on the attempts.
+    All of this is work on the templates, not on the attempts, and stored once.
     """
     cut = templates.select(
         *group,
@@ -62,8 +64,9 @@ def prepare(templates: DataFrame, pools: DataFrame, group: list[str], distinct:
         F.split("template", r"\{[^}]+\}").alias("texts"),
         F.regexp_extract_all("template", F.lit(r"\{([^}]+)\}"), F.lit(1)).alias("types"),
     )
-    w = W.partitionBy(*group).orderBy("template")
-    cut = cut.withColumn("t_no", F.row_number().over(w) - 1)
+    w = W.partitionBy(*group)
+    cut = cut.withColumn("t_no", F.row_number().over(w.orderBy("template")) - 1)
+    cut = cut.withColumn("n_templates", F.count(F.lit(1)).over(w))
     sizes = pools.groupBy("pool").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("branch") == 0).alias("n0")
     )
@@ -73,9 +76,7 @@ def prepare(templates: DataFrame, pools: DataFrame, group: list[str], distinct:
         "s_no", "slot_type", "pool", "n", "n0", F.col("pool").isin(distinct).alias("distinct")
     )
     per = slots.groupBy(*group, "t_no").agg(F.array_sort(F.collect_list(slot)).alias("slots"))
-    out = cut.join(per, [*group, "t_no"], "left")
-    count = cut.groupBy(*group).agg(F.count(F.lit(1)).alias("n_templates"))
-    return out.join(count, group)
+    return sized(cut.join(per, [*group, "t_no"], "left"), "templates")
 
 
 def attempt_rows(wanted: DataFrame, group: list[str]) -> DataFrame:
@@ -183,7 +184,8 @@ def fill_quota(
     if "valid" in attempts.columns:
         attempts = attempts.where("valid").drop("valid")
     order = [*priority, *group, "attempt"]
-    uniq = first_seen(attempts, key, list(dict.fromkeys(order)))
+    # Stored, as its cells are counted before its rows are numbered.
+    uniq = sized(first_seen(attempts, key, list(dict.fromkeys(order))), "unique")
     r = running(uniq, group, [F.col("attempt")], F.expr(f"attempt div {CHUNK}"))
     return r.join(quota.select(*group, "quota"), group).where("rn <= quota").drop("rn", "quota")
 

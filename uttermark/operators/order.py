@@ -221,7 +221,8 @@ def exact_percentiles(
     """
     group = F.struct(*[F.col(c) for c in by], F.lit(0).alias("_")).alias("_g")
     src = df.where(F.col(x).isNotNull()).select(group, F.col(x).cast("double").alias("_x"))
-    counts = around_ranks(src, [p / 100.0 for p in ps.values()])
+    # Stored, as its stretches are counted before its values are ranked.
+    counts = sized(around_ranks(src, [p / 100.0 for p in ps.values()]), "around")
     cum = running(counts, ["_g"], [F.col("_p")], F.col("_p.s"), F.col("_c"), "_cum")
     value = F.col("_p.x")
     picks, outs = [], []

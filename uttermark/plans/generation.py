@@ -8,7 +8,7 @@ from uttermark.functions import tags as B
 from uttermark.functions.text import word_tokens
 from uttermark.operators import generate
 from uttermark.plans.registry import query
-from uttermark.session import literal_table
+from uttermark.session import literal_table, sized
 
 TEMPLATES = [
     ("ship", "send {part} to {region}"),
@@ -69,7 +69,7 @@ TOTAL = 600
 
 
 def source_attempts(t):
-    q = generate.quotas(dist(t), "intent", "weight", TOTAL)
+    q = sized(generate.quotas(dist(t), "intent", "weight", TOTAL), "quotas")
     wanted = q.select("intent", (F.col("quota") * 10).alias("n_attempts"))
     made = generate.expand_templates(
         templates(t), value_pools(t), wanted, ["intent"], 42, distinct=("nation",)
