@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from check import TABLES, digest
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = ["a1_read_bio", "a2_read_icsl_tsv", "a3_read_nested_nlu", "b6_expand_contractions", "c3_check_bio", "d3_diff_inventory", "d8_max_rouge_l", "d9_max_bleu4", "contamination_report", "e12_span_f1", "e33_time_features", "f4_pick_until", "j9_ratio_sweep", "k3_kept_commands", "l3_project_slots", "n2_partition_baseline"]
+SAMPLE = ["a1_read_bio", "a2_read_icsl_tsv", "a3_read_nested_nlu", "b6_expand_contractions", "c3_check_bio", "d3_diff_inventory", "d8_max_rouge_l", "d9_max_bleu4", "contamination_report", "e12_span_f1", "e33_time_features", "f4_pick_until", "j9_ratio_sweep", "k3_kept_commands", "k8_family_ablation", "k9_augment", "l3_project_slots", "n2_partition_baseline"]
 NAMES = list(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else SAMPLE
 
 

@@ -120,6 +120,40 @@ def test_quota_and_shortfall(spark, made):
     assert got == {"go": (4, 0), "no": (1, 4)}
 
 
+def test_permutation_of_any_size(spark):
+    for n in (1, 2, 7, 1000):
+        at = generate.permuted(F.col("id"), F.lit(n).cast("bigint"), 3, "k")
+        got = [r.x for r in spark.range(n).withColumn("k", F.lit("a")).select("id", at.alias("x")).orderBy("id").collect()]
+        assert sorted(got) == list(range(n)) and (n < 1000 or got != sorted(got))
+
+
+def test_equal_shares_fill_in_turns(spark):
+    """The shares are those of dealing one at a time, small units first."""
+    for sizes, quota in (([5, 1, 9], 8), ([2, 2], 9), ([0, 4], 3), ([3], 0), ([10, 10, 10], 11)):
+        df = spark.createDataFrame([("g", i, n, quota) for i, n in enumerate(sizes)], "g string, u int, n bigint, q bigint")
+        got = {r.u: r.share for r in generate.equal_shares(df, ["g"], ["u"], "n", "q", "share").collect()}
+        turn = sorted(range(len(sizes)), key=lambda i: (min(sizes[i], quota), i))
+        deal = sorted((j, turn.index(i), i) for i in turn for j in range(sizes[i]))[:quota]
+        assert got == {i: sum(d[2] == i for d in deal) for i in turn}, (sizes, quota)
+
+
+def test_distinct_texts_draw_on_over_equal_readings(spark):
+    """Two pools share values, so half the combinations of the first group read like others."""
+    vals = [("a", 0, str(i)) for i in range(20)] + [("b", 0, str(i)) for i in range(10, 20)] + [("b", 1, "x")]
+    pools = generate.value_pool(literal_table(spark, "pool string, branch int, value string", vals))
+    tpl = literal_table(spark, "g string, template string", [("one", "go {a}"), ("one", "go {b}"), ("two", "go {a}"), ("two", "run {a} {b}")])
+    quota = literal_table(spark, "g string, quota bigint", [("one", 30), ("two", 40)])
+    kept, short = generate.distinct_texts(tpl, pools, quota, ["g"], ["command"], ["g"])
+    rows = kept.collect()
+    assert len({r.command for r in rows}) == len(rows)
+    assert {r.command for r in rows if r.g == "one"} == {f"go {v}" for v in [*range(20), "x"]}
+    assert {r.g: (r.n_got, r.missing) for r in short.collect()} == {"one": (21, 9), "two": (40, 0)}
+    again = generate.distinct_texts(tpl, pools, quota, ["g"], ["command"], ["g"])[0]
+    assert sorted(r.command for r in again.collect()) == sorted(r.command for r in rows)
+    none, short = generate.distinct_texts(tpl, pools, quota.limit(0), ["g"], ["command"], ["g"])
+    assert none.count() == 0 and short.count() == 0
+
+
 def test_coverage_copies_are_clamped(spark):
     carriers = spark.createDataFrame([(i, "ab"[i % 2], f"t{i}") for i in range(10)], "utt_id int, intent string, text string")
     missing = spark.createDataFrame([("attic", 100), ("barn", 50), ("den", 1)], "value string, n bigint")

@@ -3,7 +3,8 @@
 Every random choice is a hash of (seed, group, attempt, slot), so the result does not
 depend on partitioning and can be recomputed after a loss.  The rejection loop becomes
 rows: all attempts are generated, copies fall to their first attempt, and the first rows
-up to the quota are kept.
+up to the quota are kept.  Where texts only have to differ, combinations are numbered and
+drawn by a keyed permutation, without attempts.
 """
 
 from __future__ import annotations
@@ -151,11 +152,18 @@ def expand_templates(
     a = a.withColumn("t_no", F.pmod(draw(seed, *group, "attempt", F.lit("t")), F.col("n_templates")).cast("int"))
     a = a.drop("n_templates").join(ready.select(*group, "t_no", "texts", "slots"), [*group, "t_no"])
     a = a.withColumn("picks", _picks(seed, group, mix)).drop("slots")
-    rows = a.select(*group, "attempt", "t_no", F.explode_outer("picks").alias("p"))
-    rows = rows.select(*group, "attempt", "t_no", "p.*")
+    return _filled(a, ready, pools, group, ["attempt"])
+
+
+def _filled(
+    drawn: DataFrame, ready: DataFrame, pools: DataFrame, group: list[str], ident: list[str]
+) -> DataFrame:
+    """Positions drawn (``picks``) to text: adds ``command, slots, chunks`` per row of ``ident``."""
+    row = [*group, "t_no", *ident]
+    rows = drawn.select(*row, F.explode_outer("picks").alias("p")).select(*row, "p.*")
     rows = rows.join(pools.select("pool", "pos", "value"), ["pool", "pos"], "left")
     value = F.when(F.col("value").isNotNull(), F.struct("s_no", "slot_type", "value"))
-    filled = rows.groupBy(*group, "attempt", "t_no").agg(
+    filled = rows.groupBy(*row).agg(
         F.array_sort(F.collect_list(value)).alias("vals")  # at most one per placeholder
     )
     filled = filled.join(ready.select(*group, "t_no", "texts"), [*group, "t_no"])
@@ -170,7 +178,7 @@ def expand_templates(
         lambda c: c["text"] != "",
     )
     slots = F.transform("vals", lambda v: F.struct(v["slot_type"].alias("slot_type"), v["value"].alias("value")))
-    out = filled.select(*group, "attempt", slots.alias("slots"), pieces.alias("chunks"))
+    out = filled.select(*group, *ident, slots.alias("slots"), pieces.alias("chunks"))
     return out.withColumn("command", F.array_join(F.transform("chunks", lambda c: c["text"]), ""))
 
 
@@ -216,50 +224,193 @@ def _split_intent(attempts: DataFrame) -> DataFrame:
     return out.withColumn("command", F.substring_index("command", "\u0001", -1))
 
 
-def family_ablation(
+ROUNDS = 24  # of the permutation behind distinct draws
+
+
+def permuted(x: Column, n: Column, seed: int | str, *keys: str) -> Column:
+    """A permutation of ``0..n-1`` chosen by seed and keys, at place ``x``; any n.
+
+    Swap-or-not: a round pairs every number with its mirror image about a keyed point, and a
+    keyed bit of the pair says whether the two change places.
+    """
+
+    def step(at: Column, r: Column) -> Column:
+        def swap(mirror: Column) -> Column:
+            bit = draw(seed, *keys, r, F.greatest(at, mirror)) % 2
+            return F.when(bit == 1, mirror).otherwise(at)
+
+        return let(F.pmod(draw(seed, *keys, r) % n - at, n), swap)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x.cast("bigint"), step)
+
+
+def equal_shares(units: DataFrame, group: list[str], key: list[str], size: str, quota: str, out: str):
+    """Share ``quota`` of a group equally among its units, none above its ``size``; what a small
+    unit cannot take goes to the others.  A group is one template list, so a window is small.
+
+    Taking more never takes another: the shares of a larger quota hold those of a smaller.
+    """
+    w = W.partitionBy(*group)
+    up = w.orderBy("_size", *key)
+    u = units.withColumn("_size", F.least(F.col(size), F.col(quota)))
+    u = u.withColumn("_no", F.row_number().over(up)).withColumn(
+        "_below", F.coalesce(F.sum("_size").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    )
+    u = u.withColumn("_open", F.count(F.lit(1)).over(w) - F.col("_no") + 1)
+    u = u.withColumn("_full", F.col("_below") + F.col("_size") * F.col("_open") <= F.col(quota))
+    first = F.min(F.when(~F.col("_full"), F.struct("_no", "_below", "_open"))).over(w)
+    u = u.withColumn("_first", first).withColumn("_left", F.col(quota) - F.col("_first._below"))
+    extra = F.col("_no") - F.col("_first._no") < F.col("_left") % F.col("_first._open")
+    level = F.expr("_left div _first._open") + extra.cast("bigint")
+    share = F.when(F.col("_full"), F.col("_size")).otherwise(level)
+    return u.withColumn(out, share).drop("_size", "_no", "_below", "_open", "_full", "_first", "_left")
+
+
+def _variants(ready: DataFrame, group: list[str]) -> DataFrame:
+    """Each template once per choice of branches: the ``radix`` of its slots, and how many
+    combinations of values that gives.  Their number must fit a bigint (else an error)."""
+
+    def part(s: Column, start: Column, n: Column) -> Column:
+        return F.struct(
+            s["s_no"].alias("s_no"), s["slot_type"].alias("slot_type"), s["pool"].alias("pool"),
+            start.cast("bigint").alias("start"), n.cast("bigint").alias("n"),
+        )
+
+    def branches(s: Column) -> Column:
+        mixed = (s["n0"] > 0) & (s["n0"] < s["n"])
+        two = F.array(part(s, F.lit(0), s["n0"]), part(s, s["n0"], s["n"] - s["n0"]))
+        return F.when(mixed, two).otherwise(F.array(part(s, F.lit(0), s["n"])))
+
+    kind = "array<array<struct<s_no:int,slot_type:string,pool:string,start:bigint,n:bigint>>>"
+    every = F.aggregate(
+        F.coalesce("slots", F.array().cast(_SLOTS)),
+        F.array(F.array()).cast(kind),
+        lambda acc, s: F.flatten(
+            F.transform(acc, lambda a: F.transform(branches(s), lambda b: F.concat(a, F.array(b))))
+        ),
+    )
+    out = ready.select(*group, "t_no", F.posexplode(every).alias("v_no", "radix"))
+    size = F.aggregate("radix", F.lit(1).cast("bigint"), lambda acc, s: acc * s["n"])
+    out = out.withColumn("size", size)
+    return out.withColumn("t_size", F.sum("size").over(W.partitionBy(*group, "t_no")))
+
+
+def _decoded(number: Column) -> Column:
+    """The picks of a numbered combination, by mixed radix, first slot fastest."""
+
+    def step(acc: Column, s: Column) -> Column:
+        pos = s["start"] + F.pmod(acc["rest"], s["n"])
+        entry = F.struct(
+            s["s_no"].alias("s_no"), s["slot_type"].alias("slot_type"), s["pool"].alias("pool"), pos.alias("pos")
+        )
+        rest = F.call_function("div", acc["rest"], s["n"])
+        return F.struct(rest.alias("rest"), F.concat(acc["picks"], F.array(entry)).alias("picks"))
+
+    none = F.array().cast("array<struct<s_no:int,slot_type:string,pool:string,pos:bigint>>")
+    start = F.struct(number.cast("bigint").alias("rest"), none.alias("picks"))
+    return F.aggregate("radix", start, step)["picks"]
+
+
+def distinct_draws(
+    templates: DataFrame, pools: DataFrame, asked: DataFrame, group: list[str], seed: int | str = 42
+) -> DataFrame:
+    """``asked(group..., quota)`` different combinations of template and values per group, all of
+    them where there are no more: group, ``t_no, v_no, draw, command, slots, chunks``.
+
+    Templates share the quota equally as far as they go, and so do the kinds of values (words,
+    digits) in a template.  The draws of each are the first places of a keyed permutation of
+    its numbered combinations: nothing is tried twice or thrown away.
+    """
+    ready = prepare(templates, pools, group, [])
+    return _draws(ready, _variants(ready, group), pools, asked, group, seed)
+
+
+def _draws(ready, units, pools, asked, group, seed):
+    unit = [*group, "t_no"]
+    whole = units.select(*unit, "t_size").distinct().join(asked.select(*group, "quota"), group)
+    whole = equal_shares(whole, group, ["t_no"], "t_size", "quota", "t_share")
+    parts = units.drop("t_size").join(whole.select(*unit, "t_share"), unit)
+    parts = equal_shares(parts, unit, ["v_no"], "size", "t_share", "n_attempts")
+    places = attempt_rows(parts, [*unit, "v_no"]).withColumnRenamed("attempt", "draw")
+    d = places.join(parts.select(*unit, "v_no", "radix", "size"), [*unit, "v_no"])
+    d = d.withColumn("_number", permuted(F.col("draw"), F.col("size"), seed, *unit, "v_no"))
+    d = d.withColumn("picks", _decoded(F.col("_number")))
+    return _filled(d, ready, pools, group, ["t_no", "v_no", "draw"])
+
+
+def distinct_texts(
     templates: DataFrame,
     pools: DataFrame,
-    budget: int,
-    no_slot: float = 0.25,
+    quota: DataFrame,
+    group: list[str],
+    key: list[str],
+    priority: list[str] = (),
     seed: int | str = 42,
-    tries: int = 40,
+    finish=lambda made: made,
+) -> tuple[DataFrame, DataFrame]:
+    """``quota`` rows per group, unique by ``key``, and rows wanted, got and missing.
+
+    Different combinations may read the same (a value in two pools, two templates alike).
+    Such a text counts for the first group in ``priority`` and group order; groups that end
+    up short draw on, doubling their draws, until the quota is met or no combination is
+    left.  So ``missing`` is exact.  Only whether a group is still short reaches the driver.
+    ``finish`` adds the columns that ``key`` and ``priority`` name.
+    """
+    ready = prepare(templates, pools, group, [])
+    units = sized(_variants(ready, group), "units")
+    space = units.groupBy(*group).agg(F.sum("size").alias("_space"))
+    ask = quota.select(*group, F.col("quota").alias("_want"), "quota")
+    order = list(dict.fromkeys([*priority, *group, "draw", "t_no", "v_no"]))
+    while True:
+        made = finish(_draws(ready, units, pools, ask, group, seed))
+        uniq = sized(first_seen(made, key, order), "unique")
+        have = uniq.groupBy(*group).agg(F.count(F.lit(1)).alias("_have"))
+        state = ask.join(space, group).join(have, group, "left").na.fill(0, ["_have"])
+        short = (F.col("_have") < F.col("_want")) & (F.col("quota") < F.col("_space"))
+        state = sized(state.withColumn("_short", short), "state")
+        if state.where("_short").isEmpty():
+            break
+        ask = state.withColumn("quota", F.when(F.col("_short"), F.col("quota") * 2).otherwise(F.col("quota")))
+        ask = ask.select(*group, "_want", "quota")
+    place = [F.col("draw"), F.col("t_no"), F.col("v_no")]
+    r = running(uniq, group, place, F.expr(f"draw div {CHUNK}"))
+    r = r.join(quota.select(*group, "quota"), group).where("rn <= quota").drop("rn", "quota")
+    return r, shortfall(r, quota, group)
+
+
+def family_ablation(
+    templates: DataFrame, pools: DataFrame, budget: int, no_slot: float = 0.25, seed: int | str = 42
 ) -> tuple[DataFrame, DataFrame]:
     """New utterances of every register family at once, each family with the same budget.
 
     ``templates``: ``family, with_slot, intent, template``.  Unique per (family, intent,
     text); ``no_slot`` of the budget goes to templates without the main slot.  Also returns
-    rows wanted, got and missing per family: ``tries`` attempts per row may not suffice where
-    few texts are possible.
+    rows wanted, got and missing per family.
     """
     group = ["family", "with_slot"]
     fams = templates.select("family").distinct()
-    quota = fams.select("family", F.inline(split_quota(F.lit(budget), no_slot)))
-    wanted = quota.select(*group, (F.col("quota") * tries).alias("n_attempts"))
-    made = _split_intent(
-        expand_templates(_choose_intent(templates.drop("n")), pools, wanted, group, seed)
+    quota = sized(fams.select("family", F.inline(split_quota(F.lit(budget), no_slot))), "quotas")
+
+    def finish(made: DataFrame) -> DataFrame:
+        return _split_intent(made).withColumn("_p", (~F.col("with_slot")).cast("int"))
+
+    kept, missing = distinct_texts(
+        _choose_intent(templates), pools, quota, group, ["family", "intent", "command"], ["_p"], seed, finish
     )
-    made = made.withColumn("_p", (~F.col("with_slot")).cast("int"))
-    kept = fill_quota(made, quota, group, ["family", "intent", "command"], ["_p"]).drop("_p")
-    return kept, shortfall(kept, quota, group)
+    return kept.drop("_p"), missing
 
 
 def augment(
-    templates: DataFrame,
-    pools: DataFrame,
-    counts: DataFrame,
-    no_slot: float = 0.25,
-    seed: int | str = 42,
-    tries: int = 12,
+    templates: DataFrame, pools: DataFrame, counts: DataFrame, no_slot: float = 0.25, seed: int | str = 42
 ) -> tuple[DataFrame, DataFrame]:
     """Targeted augmentation: ``counts(intent, target)`` new utterances per intent, part of
     them without the slot, unique per (pattern, text) over all intents.  Also returns rows
     wanted, got and missing per group."""
     group = ["intent", "with_slot"]
-    quota = counts.select("intent", "target", F.inline(split_quota(F.col("target"), no_slot)))
-    wanted = quota.select(*group, (F.col("target") * tries).alias("n_attempts"))
-    made = expand_templates(templates, pools, wanted, group, seed)
-    kept = fill_quota(made, quota, group, ["with_slot", "command"], ["intent"])
-    return kept, shortfall(kept, quota, group)
+    quota = sized(counts.select("intent", F.inline(split_quota(F.col("target"), no_slot))), "quotas")
+    return distinct_texts(
+        templates, pools, quota, group, ["with_slot", "command"], ["intent"], seed
+    )
 
 
 def expand_coverage(

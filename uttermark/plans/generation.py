@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from uttermark.functions import tags as B
@@ -191,7 +193,60 @@ def families(t):
     )
 
 
-@query("k8_family_ablation")
+def _share_sql(name, source, group, key, size, quota):
+    """Equal shares in closed form: full units first, then a level and one more for the first."""
+    return f"""{name}_a AS (SELECT *, least({size}, {quota}) AS sz, row_number() OVER (PARTITION BY {group} ORDER BY least({size}, {quota}), {key}) AS no,
+  count(*) OVER (PARTITION BY {group}) AS cnt FROM {source}),
+{name}_b AS (SELECT *, coalesce(sum(sz) OVER (PARTITION BY {group} ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {name}_a),
+{name}_c AS (SELECT *, min(CASE WHEN below + sz * (cnt - no + 1) > {quota} THEN no END) OVER (PARTITION BY {group}) AS k FROM {name}_b),
+{name}_d AS (SELECT *, max(CASE WHEN no = k THEN below END) OVER (PARTITION BY {group}) AS bk FROM {name}_c),
+{name} AS (SELECT * EXCLUDE (sz, no, cnt, below, k, bk), CAST(CASE WHEN k IS NULL OR no < k THEN sz
+  ELSE ({quota} - bk) // (cnt - k + 1) + CASE WHEN no - k < ({quota} - bk) % (cnt - k + 1) THEN 1 ELSE 0 END END AS BIGINT) AS {name} FROM {name}_d)"""
+
+
+def _draws_sql(rows, quota):
+    """Distinct draws for templates of at most two slots: ``made(group..., intent, command)``.
+
+    ``rows``: (g1, with_slot, intent, template, text to sort by); ``quota``: a table of g1,
+    with_slot, quota.
+    """
+    values = []
+    for g1, with_slot, intent, template, place in rows:
+        slots = [f"'{x}'" for x in re.findall(r"\{(.*?)\}", template)]
+        s0, s1 = (slots + ["NULL", "NULL"])[:2]
+        values.append(f"('{g1}', {with_slot}, '{intent}', '{template}', '{place}', {s0}, {s1})")
+
+    def h(*parts):
+        text = " || ':' || ".join(["'42'", "g1", "CASE WHEN with_slot THEN 'true' ELSE 'false' END", "t_no", "v_no", *parts])
+        return f"CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)"
+
+    mirror = f"((({h('r')} % size) - a + size) % size)"
+    bit = h("r", f"greatest(a, {mirror})") + " % 2"
+    return f"""tpl(g1, with_slot, intent, template, place, s0, s1) AS (VALUES {", ".join(values)}),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY g1, with_slot ORDER BY place) - 1 AS t_no FROM tpl),
+br AS (SELECT pool, 0 AS b, 0 AS st, n0 AS n FROM ps WHERE n0 > 0 AND n0 < n UNION ALL SELECT pool, 1, n0, n - n0 FROM ps WHERE n0 > 0 AND n0 < n
+  UNION ALL SELECT pool, 0, 0, n FROM ps WHERE NOT (n0 > 0 AND n0 < n)),
+units AS (SELECT t.*, row_number() OVER (PARTITION BY g1, with_slot, t_no ORDER BY x.b, y.b) - 1 AS v_no, x.st AS st0, x.n AS n_0, coalesce(y.st, 0) AS st1,
+  coalesce(y.n, 1) AS n_1, x.n * coalesce(y.n, 1) AS size FROM numbered t JOIN br x ON x.pool = s0 LEFT JOIN br y ON y.pool = s1),
+whole AS (SELECT g1, with_slot, t_no, sum(size) AS t_size, any_value(quota) AS quota FROM units JOIN {quota} USING (g1, with_slot) GROUP BY 1, 2, 3),
+{_share_sql("t_share", "whole", "g1, with_slot", "t_no", "t_size", "quota")},
+parts AS (SELECT units.*, t_share FROM units JOIN t_share USING (g1, with_slot, t_no)),
+{_share_sql("n_draws", "parts", "g1, with_slot, t_no", "v_no", "size", "t_share")},
+drawn AS (SELECT *, unnest(range(0, n_draws)) AS draw FROM n_draws),
+perm AS (SELECT *, list_reduce(list_prepend(draw, range(1, 25)), lambda a, r: CASE WHEN {bit} = 1 THEN {mirror} ELSE a END) AS x FROM drawn),
+made AS (SELECT p.g1, p.with_slot, intent, replace(replace(template, '{{' || s0 || '}}', a.value), coalesce('{{' || s1 || '}}', '-'), coalesce(b.value, '-')) AS command
+  FROM perm p JOIN pools a ON a.pool = s0 AND a.pos = st0 + x % n_0 LEFT JOIN pools b ON b.pool = s1 AND b.pos = st1 + (x // n_0) % n_1)"""
+
+
+K8_QUOTA = """q8(g1, with_slot, quota) AS (VALUES ('indirect', true, 45), ('indirect', false, 15), ('first_person', true, 45), ('first_person', false, 15))"""
+K8_ROWS = [(f, w, i, x, f"{i}\u0001{x}") for f, w, i, x in FAMILIES]
+
+
+@query(
+    "k8_family_ablation",
+    f"""WITH {POOLS_SQL}, {K8_QUOTA}, {_draws_sql(K8_ROWS, "q8")}
+SELECT g1 AS family, with_slot, intent, command FROM made""",
+)
 def k8(t):
     d, _ = generate.family_ablation(families(t), value_pools(t), 60)
     return d.select("family", "with_slot", "intent", "command")
@@ -212,20 +267,31 @@ def k8_counts(t):
     return per.groupBy("family", "with_slot").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_unique"))
 
 
+AUGMENT = [(i, w, x) for _, w, i, x in FAMILIES] + [("where", False, "where am i near {part}")]
+
+
 def augmented(t):
-    rows = [(i, w, s) for f, w, i, s in FAMILIES] + [("where", False, "where am i near {part}")]
-    tpl = literal_table(t.spark, "intent string, with_slot boolean, template string", rows)
+    tpl = literal_table(t.spark, "intent string, with_slot boolean, template string", AUGMENT)
     counts = dist(t).select("intent", F.col("weight").alias("target"))
     return generate.augment(tpl, value_pools(t), counts)
 
 
-@query("k9_augment")
+K9_SQL = f"""{POOLS_SQL}, {DIST_SQL}, q9 AS (SELECT intent AS g1, s AS with_slot,
+  CAST(CASE WHEN s THEN weight - round_even(weight * 0.25::DOUBLE, 0) ELSE round_even(weight * 0.25::DOUBLE, 0) END AS BIGINT) AS quota FROM dist, (VALUES (true), (false)) v(s)),
+{_draws_sql([(i, w, i, x, x) for i, w, x in AUGMENT], "q9")}"""
+
+
+@query("k9_augment", f"WITH {K9_SQL} SELECT g1 AS intent, with_slot, command FROM made")
 def k9(t):
     made, _ = augmented(t)
     return made.select("intent", "with_slot", "command")
 
 
-@query("k9_shortfall")
+@query(
+    "k9_shortfall",
+    f"""WITH {K9_SQL} SELECT g1 AS intent, with_slot, quota, count(command) AS n_got, quota - count(command) AS missing
+FROM q9 LEFT JOIN made USING (g1, with_slot) GROUP BY 1, 2, 3""",
+)
 def k9_missing(t):
     """Rows wanted, got and missing: small value pools cannot fill every quota."""
     return augmented(t)[1]
