@@ -2,10 +2,13 @@
 
 import json
 import random
+import re
 import struct
+import time
 
 from pyspark.sql import functions as F
 
+from uttermark.functions.util import running_sum
 from uttermark.operators import labels
 from uttermark.session import literal_table
 from uttermark.sources import readers, writers
@@ -77,6 +80,39 @@ def test_json_answers(spark):
     ]
 
 
+def test_brace_blocks_equal_a_plain_scan(spark):
+    rng = random.Random(4)
+    pieces = ["{", "}", "{", "}", '"a": 1', "x", '{"k": ', "é", " ", "{}", '"b": "c"']
+    rows = ["".join(rng.choices(pieces, k=rng.randrange(60))) for _ in range(300)] + ["", "}}{", '{"a": ' * 300 + "1" + "}" * 300]
+
+    def plain(t):
+        out = []
+        for i, c in enumerate(t):
+            depth = 0
+            for j in range(i, len(t)) if c == "{" else ():
+                depth += (t[j] == "{") - (t[j] == "}")
+                if depth == 0:
+                    if re.match(r'\{\s*["}]', t[i : j + 1]):
+                        out.append((i + 1, j + 1))
+                    break
+        return out
+
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, r string")
+    got = df.select("i", labels.brace_blocks(F.col("r")).alias("b"), running_sum(F.array(F.lit(1), F.col("i"), F.lit(-2)), 2).alias("s")).collect()
+    for r in got:
+        assert [tuple(b) for b in r.b] == plain(rows[r.i]), rows[r.i]
+        assert r.s == [1, 1 + r.i, r.i - 1]
+
+
+def test_json_answer_after_many_braces(spark):
+    """20,000 braces, nested and in a row, before the object: sorted once, not walked for each."""
+    rows = ["{" * 5000 + "x" + "}" * 5000 + "{x} " * 5000 + '{"intent": "far", "slots": []} end', "{" * 20_000, "}" * 20_000]
+    df = spark.createDataFrame([(r,) for r in rows], "r string")
+    start = time.time()
+    got = [(r.pred_intent, r.parse_failed) for r in labels.parse_json_response(df, "r").collect()]
+    assert got == [("far", False), ("UNK", True), ("UNK", True)] and time.time() - start < 30
+
+
 def test_lexicon_forbidden_beats_expected(spark):
     rules = literal_table(spark, "intent string, expected array<string>, forbidden array<string>", [("on", ["allume"], ["éteins"]), ("set", ["règle"], [])])
     df = spark.createDataFrame([("on", "Allume puis eteins"), ("on", "ouvre"), ("set", "REGLE ça"), ("x", "?")], "intent string, t string")
