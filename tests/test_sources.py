@@ -80,6 +80,34 @@ def test_json_answers(spark):
     ]
 
 
+def test_inventory_reads_headers_only(spark, tmp_path):
+    """A sparse file of 5 GB with its note before the data, and names with blanks and marks."""
+    fmt = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16)
+    note = b"LIST" + struct.pack("<I", 3 << 30)
+    big = tmp_path / "a b#%20é.wav"
+    with open(big, "wb") as f:
+        f.write(b"RIFF" + struct.pack("<I", 0xFFFFFFFF) + b"WAVE" + fmt + note)
+        f.seek(44 + (3 << 30))
+        f.write(b"data" + struct.pack("<I", 1 << 30))
+        f.truncate(5 << 30)
+    (tmp_path / "short.wav").write_bytes(b"RIFF")
+    got = {r.file: r for r in readers.file_inventory(spark, str(tmp_path)).collect()}
+    assert (got[big.name].size, got[big.name].n_frames, got[big.name].valid) == (5 << 30, 1 << 29, True)
+    assert not got["short.wav"].valid and readers.file_inventory(spark, str(tmp_path), "*.none").count() == 0
+
+
+def test_unpacked_files_are_whole_or_absent(spark, tmp_path):
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / ".a.bin.7").write_bytes(b"half")  # what a dead attempt leaves
+    (out / "b.bin").write_bytes(b"older")
+    df = spark.createDataFrame([(bytearray(b"A"), "a.bin"), (bytearray(b"B"), "b.bin"), (None, "c.bin"), (bytearray(b"D"), None)], "b binary, n string")
+    writers.unpack_binary(df, "b", "n", str(out))
+    writers.unpack_binary(df, "b", "n", out.as_uri())
+    seen = {p.name: p.read_bytes() for p in out.iterdir() if not p.name.startswith(".")}
+    assert seen == {"a.bin": b"A", "b.bin": b"B"}
+
+
 def test_brace_blocks_equal_a_plain_scan(spark):
     rng = random.Random(4)
     pieces = ["{", "}", "{", "}", '"a": 1', "x", '{"k": ', "é", " ", "{}", '"b": "c"']

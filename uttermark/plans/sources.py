@@ -165,15 +165,23 @@ def _le(c, size):
     return F.unhex(F.concat(*[F.substring(h, i, 2) for i in range(size * 2 - 1, 0, -2)]))
 
 
+def _note(n):
+    """A LIST chunk of n bytes, padded to an even number."""
+    return F.concat(F.encode(F.lit("LIST"), "US-ASCII"), _le(F.lit(n), 4), F.unhex(F.lit("00" * (n + n % 2))))
+
+
 def clips(t):
-    """A WAV clip per turn whose samples are the bytes of the text; every tenth is broken."""
+    """A WAV clip per turn whose samples are the bytes of the text.  Every tenth is broken; some
+    have a note (its length even, or odd and padded) between format and samples."""
     data = F.encode("text", "UTF-8")
     n = F.expr("(octet_length(encode(text, 'UTF-8')) div 2) * 2").cast("bigint")
     rate = F.lit(8000) * (F.col("turn") % 2 + 1)
+    kind = F.col("conv_id") % 10
+    note = F.when(kind == 3, _note(10)).when(kind == 6, _note(5)).otherwise(F.unhex(F.lit("")))
     head = F.concat(
-        F.encode(F.lit("RIFF"), "US-ASCII"), _le(n + 36, 4), F.encode(F.lit("WAVEfmt "), "US-ASCII"),
+        F.encode(F.lit("RIFF"), "US-ASCII"), _le(n + 36 + F.octet_length(note), 4), F.encode(F.lit("WAVEfmt "), "US-ASCII"),
         _le(F.lit(16), 4), _le(F.lit(1), 2), _le(F.lit(1), 2), _le(rate, 4), _le(rate * 2, 4),
-        _le(F.lit(2), 2), _le(F.lit(16), 2), F.encode(F.lit("data"), "US-ASCII"), _le(n, 4),
+        _le(F.lit(2), 2), _le(F.lit(16), 2), note, F.encode(F.lit("data"), "US-ASCII"), _le(n, 4),
     )
     wav = F.when(F.col("conv_id") % 10 == 0, data).otherwise(
         F.concat(head, F.substring(data, F.lit(1), n.cast("int")))
@@ -182,7 +190,8 @@ def clips(t):
     return t.conversations.select(name.alias("file"), wav.alias("audio"), "role")
 
 
-CLIP_SQL = """cl AS (SELECT 'c' || conv_id || '_' || turn || '.wav' AS file, role, conv_id % 10 <> 0 AS valid, strlen(text) AS b, 8000 * (turn % 2 + 1) AS rate FROM conversations)"""
+CLIP_SQL = """cl AS (SELECT 'c' || conv_id || '_' || turn || '.wav' AS file, role, conv_id % 10 <> 0 AS valid, strlen(text) AS b,
+  CASE conv_id % 10 WHEN 3 THEN 62 WHEN 6 THEN 58 ELSE 44 END AS hb, 8000 * (turn % 2 + 1) AS rate FROM conversations)"""
 
 
 def _written_clips(t):
@@ -193,7 +202,7 @@ def _written_clips(t):
 
 @query(
     "a8_file_inventory",
-    f"""WITH {CLIP_SQL} SELECT file, CASE WHEN valid THEN 44 + b // 2 * 2 ELSE b END AS size, valid, CASE WHEN valid THEN 1 END AS channels,
+    f"""WITH {CLIP_SQL} SELECT file, CASE WHEN valid THEN hb + b // 2 * 2 ELSE b END AS size, valid, CASE WHEN valid THEN 1 END AS channels,
   CASE WHEN valid THEN 2 END AS sample_width, CASE WHEN valid THEN rate END AS sample_rate, CASE WHEN valid THEN b // 2 END AS n_frames,
   CASE WHEN valid THEN round((b // 2) / CAST(rate AS DOUBLE), 6) END AS duration FROM cl""",
 )
@@ -204,7 +213,7 @@ def a8(t):
 
 @query(
     "a9_unpack_binary",
-    f"WITH {CLIP_SQL} SELECT role, count(*) AS n_index, count(*) AS n_files, CAST(sum(CASE WHEN valid THEN 44 + b // 2 * 2 ELSE b END) AS BIGINT) AS bytes FROM cl GROUP BY 1",
+    f"WITH {CLIP_SQL} SELECT role, count(*) AS n_index, count(*) AS n_files, CAST(sum(CASE WHEN valid THEN hb + b // 2 * 2 ELSE b END) AS BIGINT) AS bytes FROM cl GROUP BY 1",
 )
 def a9(t):
     """Files against the index: every indexed clip is there with its bytes."""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,7 @@ from uttermark.functions.tags import align_tags, split_tags
 from uttermark.functions.text import space_tokens
 from uttermark.operators.order import running
 from uttermark.session import sized
+from uttermark.sources.files import located
 
 LINES = 100_000  # lines that one task orders at a time
 
@@ -215,29 +218,33 @@ def read_conll(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _uint(content: Column, at: int, size: int) -> Column:
-    """Little-endian unsigned number at a 0-based byte offset."""
-    parts = [F.hex(F.substring(content, at + i + 1, 1)) for i in reversed(range(size))]
-    return F.conv(F.concat(*parts), 16, 10).cast("bigint")
+FIRST = 4096  # bytes of a file read at once; most headers end before
 
 
-_HEAD = T.StructType([T.StructField(n, T.LongType()) for n in ("channels", "rate", "frame_bytes", "bits", "bytes")])
+class _Ranges:
+    """Byte ranges of one file: the first block is kept, later ones are read as asked for."""
 
+    def __init__(self, f):
+        self.f = f
+        self.first = f.read_at(FIRST, 0)
 
-@F.udf(_HEAD)
-def _walk(content):
-    """The numbers of a RIFF file with further chunks: from chunk to chunk up to the data."""
-    if content is None:
+    def __call__(self, at: int, n: int) -> bytes:
+        return self.first[at : at + n] if at + n <= len(self.first) else self.f.read_at(n, at)
+
+
+def _header(read: _Ranges, size: int) -> tuple | None:
+    """The numbers of a RIFF file, from chunk to chunk up to the data; only headers are read."""
+    if size < 44 or read(0, 4) != b"RIFF" or read(8, 4) != b"WAVE":
         return None
     fmt = facts = None
     at = 12
-    while at + 8 <= len(content):
-        name, size = struct.unpack_from("<4sI", content, at)
+    while at + 8 <= size:
+        name, length = struct.unpack("<4sI", read(at, 8))
         at += 8
-        if name == b"fmt " and size >= 16 and at + 16 <= len(content):
-            fmt = struct.unpack_from("<HHIIHH", content, at)
-        elif name == b"fact" and size >= 4 and at + 4 <= len(content):
-            (facts,) = struct.unpack_from("<I", content, at)
+        if name == b"fmt " and length >= 16 and at + 16 <= size:
+            fmt = struct.unpack("<HHIIHH", read(at, 16))
+        elif name == b"fact" and length >= 4 and at + 4 <= size:
+            (facts,) = struct.unpack("<I", read(at, 4))
         elif name == b"data":
             if fmt is None:
                 return None
@@ -245,42 +252,46 @@ def _walk(content):
             if tag not in (1, 3, 6, 7, 0xFFFE):  # compressed in blocks: the frames are those of the fact chunk
                 if facts is None:
                     return None
-                size = facts * frame_bytes
-            return channels, rate, frame_bytes, bits, size
-        at += size + size % 2
+                length = facts * frame_bytes
+            return channels, rate, frame_bytes, bits, length
+        at += length + length % 2
     return None
 
 
+_NUMBERS = ("channels", "rate", "frame_bytes", "bits", "bytes")
+
+
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``path, size`` to the numbers of each file's header, null where it has none."""
+    for b in batches:
+        paths, sizes = b.column(0).to_pylist(), b.column(1).to_pylist()
+        found = []
+        for path, size in zip(paths, sizes, strict=True):
+            fs, name = located(path)
+            with fs.open_input_file(name) as f:
+                found.append(_header(_Ranges(f), size) or (None,) * len(_NUMBERS))
+        numbers = [pa.array([h[i] for h in found], pa.int64()) for i in range(len(_NUMBERS))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *numbers], ["path", "size", *_NUMBERS])
+
+
 def file_inventory(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
     """``file, size, valid, channels, sample_width, sample_rate, n_frames, duration``.
 
-    The numbers come from the RIFF header: at once where it is the canonical one of 44 bytes, else
-    by a walk over the chunks before the data.  Any other file is not valid.
+    Spark lists the files (without their content, so a file may be of any size); the tasks
+    read ranges of bytes, from one chunk header to the next up to the data.  Files that are
+    no RIFF audio, or have no data chunk after their format, are not valid.
     """
-    raw = (
+    listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(path)
+        .select("path", F.col("length").alias("size"))
     )
-    c = F.col("content")
-
-    def is_text(at: int, word: str) -> Column:
-        return F.substring(c, at + 1, len(word)) == F.encode(F.lit(word), "US-ASCII")
-
-    riff = F.coalesce((F.length(c) >= 44) & is_text(0, "RIFF") & is_text(8, "WAVE"), F.lit(False))
-    ok = riff & is_text(12, "fmt ") & is_text(36, "data") & (_uint(c, 16, 4) == 16)
-    head = F.when(
-        ok,
-        F.struct(
-            _uint(c, 22, 2).alias("channels"), _uint(c, 24, 4).alias("rate"),
-            _uint(c, 32, 2).alias("frame_bytes"), _uint(c, 34, 2).alias("bits"), _uint(c, 40, 4).alias("bytes"),
-        ),
-    )
-    head = F.coalesce(head, _walk(F.when(riff & ~ok, c)))
-    d = raw.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), head.alias("h")
-    )
+    schema = "path string, size bigint, " + ", ".join(f"{n} bigint" for n in _NUMBERS)
+    head = F.struct(*_NUMBERS).alias("h")
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    d = listed.mapInArrow(_headers, schema).select(name, "size", head)
     valid = F.coalesce((F.col("h.rate") > 0) & (F.col("h.frame_bytes") > 0), F.lit(False))
     d = d.withColumn("valid", valid)
     frames = F.when(F.col("valid"), F.expr("h.bytes div h.frame_bytes"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from uttermark.sources.files import located, put, qualified
+
 
 def write_bio(df: DataFrame, out: str, by: list[str] = ("lang", "split")) -> None:
     """Aligned text files ``<by>/kind=seq.in|seq.out|label/part-*``.
@@ -64,15 +66,19 @@ def conll_text():
 def unpack_binary(df: DataFrame, bytes_col: str, name_col: str, out: str) -> None:
     """Write each row's bytes to its own file below ``out``.
 
-    Runs on the executors; the folder must be on a file system they share.  A repeated
-    task writes the same names again, so a lost executor does no harm.
+    Runs on the executors, on the file system that Spark takes for ``out``, which they must
+    share.  A file is moved to its name when it is whole, so a lost executor leaves none half
+    written, and a repeated task writes the same names again.  Rows without a name or without
+    bytes are left out; of equal names one stays.
     """
+    root = qualified(df.sparkSession, out)
 
     def write(rows: Iterator[Row]) -> None:
-        fs, base = pafs.FileSystem.from_uri(out) if "://" in out else (pafs.LocalFileSystem(), out)
+        fs, base = located(root)
         fs.create_dir(base, recursive=True)
-        for r in rows:
-            with fs.open_output_stream(f"{base}/{r[1]}") as f:
-                f.write(bytes(r[0]))
+        attempt = TaskContext.get().taskAttemptId()
+        for data, name in rows:
+            put(fs, f"{base}/{name}", bytes(data), attempt)
 
-    df.select(bytes_col, name_col).foreachPartition(write)
+    whole = F.col(bytes_col).isNotNull() & F.col(name_col).isNotNull()
+    df.where(whole).select(bytes_col, name_col).foreachPartition(write)
