@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from uttermark.functions.util import unnest
 from uttermark.operators.match import overlap_partition
 from uttermark.operators.metrics import accuracy
-from uttermark.session import materialise
+from uttermark.session import sized
 
 ALL_WORDS = (1 << 31) - 1  # a vocabulary size that keeps every word
 
@@ -41,12 +41,11 @@ def nb_predict(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     score = log prior + sum over known words of log((c + 1) / (words of class + vocabulary)).
     A word the class has not seen adds nothing to the numerator, so only seen words are
     joined; the denominators enter by the number of known words.  Ties go to the smaller
-    class name.
+    class name.  Training rows without a class do not count.
     """
-    words, docs = nb_counts(train)
-    words = materialise(words)  # used four times below
-    vocab = words.select("cell", "tok").distinct()
-    size = vocab.groupBy("cell").agg(F.count(F.lit(1)).alias("v"))
+    words, docs = nb_counts(train.where(F.col("class").isNotNull()))
+    words = sized(words, "words")  # used three times below
+    size = words.groupBy("cell").agg(F.count_distinct("tok").alias("v"))
     mass = words.groupBy("cell", "class").agg(F.sum("c").alias("t"))
     total = docs.groupBy("cell").agg(F.sum("n_docs").alias("n_cell"))
     prior = (
@@ -57,22 +56,43 @@ def nb_predict(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
             F.log((F.coalesce("t", F.lit(0)) + F.coalesce("v", F.lit(0))).cast("double")).alias("denom"),
         )
     )
-    # One row: cells x classes, whose number the experiment fixes.
-    table = prior.agg(F.collect_list(F.struct("cell", "class", "prior", "denom")).alias("_p"))
-
+    # One row per cell with its classes; their numbers are set by the experiment, not the data.
+    cells = prior.groupBy("cell").agg(
+        F.array_sort(F.collect_list(F.struct("class", "prior", "denom"))).alias("_classes")
+    )
+    cells = sized(cells, "cells")
+    one_row = cells.agg(F.collect_list("cell").alias("_cells"))
+
+    # A word's weights in all cells and classes are one array, so a test word meets one row.  The
+    # entry without a class counts the word as known in the cell.
+    weight = F.struct("cell", "class", F.log((F.col("c") + 1).cast("double")).alias("w"))
+    weights = words.groupBy("tok").agg(F.collect_list(weight).alias("_w"))
+    known = F.transform(
+        F.array_distinct(F.transform("_w", lambda e: e["cell"])),
+        lambda c: F.struct(c.alias("cell"), F.lit(None).cast("string").alias("class"), F.lit(1.0).alias("w")),
+    )
+    weights = weights.select("tok", F.concat("_w", known).alias("_w"))
     bag = unnest(test, [key], F.col("tokens"), "tok").groupBy(key, "tok").agg(
         F.count(F.lit(1)).alias("_k")
     )
-    known = bag.join(vocab, "tok").groupBy(key, "cell").agg(F.sum("_k").alias("n_known"))
-    hits = bag.join(words, "tok").groupBy(key, "cell", "class").agg(
-        F.sum(F.col("_k") * F.log((F.col("c") + 1).cast("double"))).alias("_s")
+    hits = bag.join(weights, "tok").select(key, "_k", F.inline("_w"))
+    hits = hits.groupBy(key, "cell", "class").agg(F.sum(F.col("_k") * F.col("w")).alias("_s"))
+    hits = hits.groupBy(key, "cell").agg(
+        F.max(F.when(F.col("class").isNull(), F.col("_s"))).alias("_known"),
+        F.map_from_entries(
+            F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "_s")))
+        ).alias("_sums"),
     )
-    base = test.select(key).crossJoin(table).select(key, F.inline("_p"))
-    scored = base.join(known, [key, "cell"], "left").join(hits, [key, "cell", "class"], "left")
-    score = F.col("prior") + F.coalesce("_s", F.lit(0.0)) - F.coalesce("n_known", F.lit(0)) * F.col("denom")
-    scored = scored.withColumn("score", F.round(score, 6))
-    best = F.min_by("class", F.struct((-F.col("score")).alias("a"), F.col("class").alias("b")))
-    return scored.groupBy("cell", key).agg(best.alias("pred"))
+    base = test.select(key).crossJoin(one_row).select(key, F.explode("_cells").alias("cell"))
+    scored = base.join(hits, [key, "cell"], "left").join(cells, "cell")
+
+    def score(c):
+        seen = F.coalesce(F.try_element_at("_sums", c["class"]), F.lit(0.0))
+        s = F.round(c["prior"] + seen - F.coalesce("_known", F.lit(0.0)) * c["denom"], 6)
+        return F.struct((-s).alias("a"), c["class"].alias("b"))
+
+    best = F.array_min(F.transform("_classes", score))["b"]
+    return scored.select("cell", key, best.alias("pred"))
 
 
 def intent_sweep(train: DataFrame, test: DataFrame, key: str, label: str = "class") -> DataFrame:
