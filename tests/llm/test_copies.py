@@ -290,6 +290,37 @@ def test_surroundings_are_compared_alike_in_small_and_large_groups():
     assert across and all((i >= 21) != (j >= 21) for i, j in across)
 
 
+@pytest.mark.parametrize("asking", [range(0, 35, 5), range(35), [3]])
+def test_blocks_compare_every_open_kind_with_all(spark, monkeypatch, asking):
+    monkeypatch.setattr(chaining, "BLOCK", 4)
+    r = random.Random(14)
+    kin = [[r.randrange(256) for _ in range(101)] for _ in range(7)]
+    ctx = [bytes((48, *kin[k % 7][:48], 1, 2, 3, 4, 5, *kin[k % 7][53:])) for k in range(35)]
+    rows = [(9, k, k, False, k in asking, len(asking), 35, k, bytearray(c)) for k, c in enumerate(ctx)]
+    kinds = spark.createDataFrame(
+        rows, "h long, ck long, at long, again boolean, open boolean, u long, m long, rid long, ctx binary"
+    )
+    found = [(x["rid"], x["prid"]) for x in chaining.compared(kinds).collect()]
+    assert set(found) == {(i, j) for i in asking for j in range(35) if i != j and i % 7 == j % 7}
+
+
+def test_runs_of_frequent_seeds(spark):
+    rows = [(h, 1, (2 << 32) | x, 0) for h, x in ((11, 3), (12, 10), (13, 20), (14, 30), (15, 300))]
+    rows += [(h, 5, x, 0) for h, x in ((11, 100), (12, 108), (13, 115), (14, 125))]
+    d = spark.createDataFrame(rows, "h long, rid long, at long, ck long")
+    by = {}
+    for x in chaining.runs(d).collect():
+        by.setdefault(x["run"], set()).add((x["rid"], x["at"] & 0xFFFFFFFF))
+    pairs = [{(1, a), (5, b)} for a, b in ((3, 100), (10, 108), (20, 115))]
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, [*pairs, pairs[0]]))  # twos, and the run of four
+
+
+def test_open_kinds_are_those_outside_passages(spark):
+    d = spark.createDataFrame([(1, 7, 10, 1), (1, 7, 58, 2), (2, 7, 20, 3), (1, 8, 10, 1)], "h long, rid long, at long, ck long")
+    p = spark.createDataFrame([(7, 0, 5, 60)], "rid long, sub int, start int, end int")
+    assert {(x["h"], x["ck"]) for x in chaining.open_kinds(d, p).collect()} == {(1, 1), (1, 2)}
+
+
 def test_hash_of_surroundings_is_that_of_the_words_alone():
     r = random.Random(13)
     shared = words(r, 120, 10**6)
