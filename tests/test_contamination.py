@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from uttermark.operators import best_match, contamination
+from uttermark.operators import best_match, contamination, grams
 
 
 def lcs(a, b):
@@ -118,3 +118,43 @@ def test_best_match_over_many_shards_and_chunks(spark, monkeypatch):
     got = {r.i: r.best for r in contamination.max_rouge_l(c, o, "text", "i").collect()}
     assert got == {i: pytest.approx(max(rouge(t or "", x or "") for x in origs)) for i, t in enumerate(cands)}
     assert {r.best for r in contamination.max_bleu4(c, o.limit(0), "text", "i").collect()} == {0.0}
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    all_ = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(all_.apply(i).totalShuffleWrite() for i in range(all_.size()))
+
+
+def test_ngrams_over_many_chunks_and_partitions(spark, monkeypatch):
+    rng = random.Random(8)
+    make = lambda n: " ".join(f"w{rng.randrange(9)}" for _ in range(n))
+    cands = [make(rng.randint(1, 90)) for _ in range(60)] + ["", None, "--", make(700)] + ["w1 w2 w3 w4"] * 20
+    origs = [make(rng.randint(1, 30)) for _ in range(20)] + ["w1 w2 w3", None]
+    monkeypatch.setattr(grams, "CHUNK", 200)
+    monkeypatch.setattr(grams, "TASK", 5000)
+    c, o = (spark.createDataFrame([(t,) for t in x], "text string") for x in (cands, origs))
+
+    def brute(texts, n):
+        words = [(t or "").replace("--", "").split() for t in texts]
+        return {tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1)}
+
+    for r in contamination.ngram_jaccard(c, o, "text", 6).collect():
+        a, b = brute(cands, r.n), brute(origs, r.n)
+        assert (r.cand_unique, r.orig_unique, r.shared) == (len(a), len(b), len(a & b)), r.n
+        assert r.jaccard == pytest.approx(len(a & b) / len(a | b))
+    for n in (2, 4):
+        a, b = brute(cands, n), brute(origs, n)
+        got = Counter(r.sides for r in contamination.ngram_sets(c, o, "text", n).collect())
+        assert got == {s: k for s, k in ((1, len(a - b)), (2, len(b - a)), (3, len(a & b))) if k}
+    assert contamination.ngram_sets(c.limit(0), o.limit(0), "text", 2).count() == 0
+    assert {r.cand_unique for r in contamination.ngram_jaccard(c.limit(0), o, "text", 5).collect()} == {0}
+
+
+def test_ngrams_of_five_orders_cost_few_bytes_a_word(spark):
+    rng = random.Random(9)
+    texts = [(" ".join(f"w{rng.randrange(40000)}" for _ in range(200)),) for _ in range(400)]
+    c, o = spark.createDataFrame(texts, "text string"), spark.createDataFrame(texts[:3], "text string")
+    before = shuffled(spark)
+    assert {r.n: r.shared for r in contamination.ngram_jaccard(c, o, "text").collect()}[5] == 3 * 196
+    assert shuffled(spark) - before < 60 * 200 * 400

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uttermark.functions.text import bleu13a_tokens, ngrams, normalize, rouge_tokens, word_tokens
-from uttermark.functions.util import ratio, unnest
+from uttermark.functions.text import bleu13a_tokens, normalize, rouge_tokens
+from uttermark.functions.util import ratio
+from uttermark.operators import grams
 from uttermark.operators.best_match import Bleu4, RougeL, best_match
 
 
@@ -28,37 +29,14 @@ def exact_match_rate(cands: DataFrame, originals: DataFrame, text: str) -> DataF
     return out.withColumn("match_pct", ratio(F.col("n_matches"), F.col("n_candidates"), 100.0))
 
 
-def digest(gram: Column) -> list[Column]:
-    """128 bits of an n-gram as two numbers: what is shuffled instead of its text."""
-    return [F.xxhash64(gram).alias("g1"), F.xxhash64(F.lit("second"), gram).alias("g2")]
-
-
-def gram_rows(df: DataFrame, text: str, max_n: int) -> DataFrame:
-    """One row ``n, g1, g2`` per n-gram of every order up to ``max_n``: its order and digest."""
-    d = df.select(word_tokens(F.col(text)).alias("_tok"))
-    orders = [
-        F.struct(F.lit(n).cast("byte").alias("n"), ngrams(F.col("_tok"), n).alias("grams"))
-        for n in range(1, max_n + 1)
-    ]
-    d = unnest(d, [], F.array(*orders), "_o").select("_o.*")
-    return unnest(d, ["n"], F.col("grams"), "gram").select("n", *digest(F.col("gram")))
-
-
 def ngram_jaccard(cands: DataFrame, originals: DataFrame, text: str, max_n: int = 5) -> DataFrame:
     """Per n: distinct n-grams of either side, shared ones and their Jaccard index.
 
-    One shuffle, on the n-gram's digest: both sides are tagged and united, and the flags merge
-    on the map side.  A frequent n-gram is one row per task.
+    One shuffle of packed digests (see ``grams``): 24 bytes a place of a text for the orders 3 to 5.
     """
-    both = gram_rows(cands, text, max_n).withColumn("side", F.lit(1)).unionByName(
-        gram_rows(originals, text, max_n).withColumn("side", F.lit(2))
-    )
-    flags = both.groupBy("n", "g1", "g2").agg(F.bit_or("side").alias("sides"))
-    out = flags.groupBy(F.col("n").cast("int").alias("n")).agg(
-        F.count_if(F.col("sides").bitwiseAND(1) > 0).alias("cand_unique"),
-        F.count_if(F.col("sides").bitwiseAND(2) > 0).alias("orig_unique"),
-        F.count_if(F.col("sides") == 3).alias("shared"),
-        F.count(F.lit(1)).alias("_union"),
+    out = grams.counted(cands, originals, text, max_n).select(
+        "n", F.col("a").alias("cand_unique"), F.col("b").alias("orig_unique"),
+        F.col("both").alias("shared"), F.col("either").alias("_union"),
     )
     orders = cands.sparkSession.range(1, max_n + 1).select(F.col("id").cast("int").alias("n"))
     out = orders.join(out, "n", "left").na.fill(0)
@@ -70,13 +48,7 @@ def ngram_jaccard(cands: DataFrame, originals: DataFrame, text: str, max_n: int
 
 def ngram_sets(a: DataFrame, b: DataFrame, text: str, n: int) -> DataFrame:
     """The digest of every n-gram of either corpus with the sides it is found on."""
-
-    def grams(df, side):
-        g = ngrams(word_tokens(F.col(text)), n)
-        return unnest(df, [], g, "gram").select(*digest(F.col("gram")), F.lit(side).alias("side"))
-
-    both = grams(a, 1).unionByName(grams(b, 2))
-    return both.groupBy("g1", "g2").agg(F.bit_or("side").alias("sides"))
+    return grams.sets(a, b, text, n)
 
 
 def max_rouge_l(cands: DataFrame, originals: DataFrame, text: str, key: str) -> DataFrame:
