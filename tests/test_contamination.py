@@ -5,8 +5,11 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from uttermark.functions import text
 from uttermark.operators import best_match, contamination, grams
 
 
@@ -158,3 +161,24 @@ def test_ngrams_of_five_orders_cost_few_bytes_a_word(spark):
     before = shuffled(spark)
     assert {r.n: r.shared for r in contamination.ngram_jaccard(c, o, "text").collect()}[5] == 3 * 196
     assert shuffled(spark) - before < 60 * 200 * 400
+
+
+def test_both_scores_in_one_pass_agree_and_texts_are_shuffled_twice(spark):
+    rng = random.Random(12)
+    make = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) if rng.random() < 0.8 else "the" for _ in range(n))
+    cands = [make(200) for _ in range(300)]
+    origs = [c[:200] for c in cands[:20]] + [make(150) for _ in range(3)]
+    texts = [*cands, *["A\u00a0b. ,c-\nd 5,000&amp;x-<skipped>\n(y)...", "", None]]
+    c = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    o = spark.createDataFrame([(t,) for t in [*origs, "a b cd", "A b . , cd 5,000 & x ( y )"]], "text string")
+    before = shuffled(spark)
+    both = contamination.max_scores(c, o, "text", "i").collect()
+    assert shuffled(spark) - before < 2.5 * sum(len(t or "") for t in texts)
+    for name, one in (("rouge_l", contamination.max_rouge_l), ("bleu4", contamination.max_bleu4)):
+        assert {r.i: r[name] for r in both} == {r.i: r.best for r in one(c, o, "text", "i").collect()}
+    for column, measure in ((text.rouge_tokens, best_match.RougeL), (text.bleu13a_tokens, best_match.Bleu4)):
+        want = [r.t for r in c.where("text IS NOT NULL").orderBy("i").select(column(F.col("text")).alias("t")).collect()]
+        assert best_match.Texts(pa.array([t for t in texts if t is not None]), measure).lists() == want
+    got = {r.i: r.rouge_l for r in both}
+    long = [i for i in range(0, 300, 25)]
+    assert [got[i] for i in long] == pytest.approx([max(rouge(texts[i], x) for x in origs) for i in long])
