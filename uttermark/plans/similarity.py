@@ -173,9 +173,9 @@ def report(t):
     )
     b = m.select(F.lit("exact_match_pct").alias("metric"), F.round("match_pct", 6).alias("value"))
     docs = t.wide("documents", "doc_id", "text")
-    scores = contamination.max_rouge_l(docs, t.benchmark, "text", "doc_id").select(F.lit("rouge_l").alias("name"), "best")
-    bleu = contamination.max_bleu4(docs, t.benchmark, "text", "doc_id").select(F.lit("bleu4").alias("name"), "best")
-    return a.unionByName(b).unionByName(score_rows(scores.unionByName(bleu)))
+    best = contamination.max_scores(docs, t.benchmark, "text", "doc_id")
+    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("best")) for c in ("rouge_l", "bleu4")])
+    return a.unionByName(b).unionByName(score_rows(best.select(F.inline(each))))
 
 
 def score_rows(scores):
