@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from uttermark.functions.tags import align_tags, split_tags
 from uttermark.functions.text import space_tokens
+from uttermark.functions.util import let
 from uttermark.operators.order import running
 from uttermark.session import sized
 from uttermark.sources.files import located
@@ -22,8 +24,8 @@ LINES = 100_000  # lines that one task orders at a time
 def numbered_lines(spark: SparkSession, path: str, drop_blank: bool = False) -> DataFrame:
     """``file, line_no, value`` of text files of any size.
 
-    A large file is read in blocks by many tasks; the lines are counted per block and the
-    counts give each block the number of its first line.
+    A large file is read in blocks by many tasks; the lines are counted per cell of a block
+    and the counts give each cell the number of its first line.
     """
     raw = spark.read.option("recursiveFileLookup", True).text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -118,12 +120,12 @@ def read_entities(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 def json_elements(spark: SparkSession, path: str) -> DataFrame:
     """``file, element_no, value``: the elements of JSON arrays as text, each file read by many tasks.
 
-    A file is cut at its commas, in blocks.  What a piece does to the state of a reader is known
+    A file is cut at its commas, in cells.  What a piece does to the state of a reader is known
     without the text before it: how many quotes it has, and which brackets it opens or closes if it
-    starts inside a string or outside.  Sums over the pieces before, taken per block and then
-    across blocks, give each piece its state, so commas between elements are told from all others;
-    only the pieces of one element are put together.  A file that is one object is one element;
-    empty files and arrays have none.
+    starts inside a string or outside.  Sums inside a cell are taken for both cases at once, so sums
+    over the cells before, which are few, give each piece its state, and commas between elements are
+    told from all others; only the pieces of one element are put together.  A file that is one object
+    is one element; empty files and arrays have none.
     """
     raw = spark.read.option("recursiveFileLookup", True).option("lineSep", ",").text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -131,25 +133,43 @@ def json_elements(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_place"),
         "value",
     )
+    place, cell = F.struct("_block", "_place"), F.struct("_block", F.expr(f"_place div {LINES}"))
+
+    def change(parts: Column, odd: int) -> Column:
+        bare = F.array_join(F.filter(parts, lambda _, i: i % 2 == odd), "")
+        return (F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"[\]}]"))).cast("bigint")
+
     bare = F.regexp_replace("value", r"(?s)\\.", "")  # no pair of backslash and letter spans a comma
-    raw = sized(raw.select("*", F.split(bare, '"', -1).alias("_parts")), "json-pieces")
-    kinds = raw.groupBy("file").agg((F.min_by(F.ltrim(F.regexp_replace("value", r"^[\s\uFEFF]+", "")), "_place").startswith("[")).alias("_array"))
-    place, cell = [F.col("_place")], F.col("_block")
-
-    quotes = (F.size("_parts") - 1).cast("bigint")
-    d = running(raw.withColumn("_quotes", quotes), ["file"], place, cell, F.col("_quotes"), cum="_q")
-    inside = (F.col("_q") - F.col("_quotes")) % 2  # 1: the piece starts inside a string
-    bare = F.array_join(F.filter("_parts", lambda _, i: (i + F.col("_inside")) % 2 == 0), "")
-    d = d.withColumn("_inside", inside)
-    change = F.regexp_count(bare, F.lit(r"[\[{]")) - F.regexp_count(bare, F.lit(r"[\]}]"))
-    d = d.withColumn("_change", change.cast("bigint")).drop("_parts")
-    d = running(d, ["file"], place, cell, F.col("_change"), cum="_depth")
-
-    between = F.when(F.col("_array") & (F.col("_depth") == 1) & (F.col("_q") % 2 == 0), 1).otherwise(0)
-    d = d.join(kinds, "file").withColumn("_between", between.cast("bigint"))
-    d = running(d, ["file"], place, cell, F.col("_between"), cum="_n")
+    numbers = let(
+        F.split(bare, '"', -1),
+        lambda p: F.struct((F.size(p) - 1).cast("bigint").alias("_quotes"), change(p, 0).alias("_even"), change(p, 1).alias("_odd")),
+    )
+    inside = W.partitionBy("file", cell).orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
+    d = raw.withColumn("_new", numbers).select("file", "_block", "_place", "value", "_new.*")
+    d = d.withColumn("_q", F.sum("_quotes").over(inside))
+    flip = (F.col("_q") - F.col("_quotes")) % 2 == 1  # the piece starts in the state that the cell does not start in
+    d = d.withColumn("_out", F.when(flip, F.col("_odd")).otherwise(F.col("_even")))
+    d = d.withColumn("_in", F.when(flip, F.col("_even")).otherwise(F.col("_odd")))
+    d = d.withColumns({"_out": F.sum("_out").over(inside), "_in": F.sum("_in").over(inside)})
+    d = sized(d.drop("_quotes", "_even", "_odd"), "json-pieces")
+
+    cells = d.groupBy("file", cell.alias("_cell")).agg(*[F.max_by(c, "_place").alias(c) for c in ("_q", "_out", "_in")])
+    before = W.partitionBy("file").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("_inside", F.coalesce(F.sum("_q").over(before), F.lit(0)) % 2 == 1)
+    ends = F.when(F.col("_inside"), F.col("_in")).otherwise(F.col("_out"))
+    cells = cells.select("file", "_cell", "_inside", F.coalesce(F.sum(ends).over(before), F.lit(0)).alias("_above"))
+    first = F.min_by(F.regexp_replace("value", r"^[\s\uFEFF]+", ""), place)
+    kinds = d.groupBy("file").agg(first.startswith("[").alias("_array"))
+    cells = sized(cells.join(kinds, "file"), "json-cells")
+
+    d = d.withColumn("_cell", cell).join(cells, ["file", "_cell"]).drop("_cell")
+    d = d.withColumn("_depth", F.col("_above") + F.when(F.col("_inside"), F.col("_in")).otherwise(F.col("_out")))
+    closed = (F.col("_q") + F.col("_inside").cast("int")) % 2 == 0
+    between = F.when(F.col("_array") & (F.col("_depth") == 1) & closed, 1).otherwise(0)
+    d = d.select("file", "_block", "_place", "value", "_array", "_depth", between.cast("bigint").alias("_between"))
+    d = running(d, ["file"], [F.col("_place")], cell, F.col("_between"), cum="_n")
     d = d.groupBy("file", (F.col("_n") - F.col("_between")).alias("element_no"), "_array").agg(
-        F.array_sort(F.collect_list(F.struct("_place", "value"))).alias("p"), F.min("_depth").alias("_least")
+        F.array_sort(F.collect_list(F.struct("_block", "_place", "value"))).alias("p"), F.min("_depth").alias("_least")
     )
     text = F.array_join("p.value", ",")
     text = F.when(F.col("_array") & (F.col("element_no") == 0), F.regexp_replace(text, r"^[\s\uFEFF]*\[", "")).otherwise(text)
