@@ -202,3 +202,38 @@ def test_json_arrays_are_split_among_tasks(spark, tmp_path):
     assert sorted((r.asDict() for r in got), key=lambda r: r["i"]) == want
     numbers = sorted((r["file"][-6:], r["element_no"]) for r in elements)
     assert numbers == [("a.json", i) for i in range(120)] + [("b.json", i) for i in range(179)] + [("c.json", 0)]
+
+
+def test_lines_of_one_block_are_ordered_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "LINES", 50)
+    words = [f"w{i} O O" if i % 7 else "" for i in range(3000)]
+    (tmp_path / "one.txt").write_text("\n".join(words))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        lines = readers.numbered_lines(spark, str(tmp_path))
+        assert [r.value for r in lines.orderBy("line_no").collect()] == words
+        tasks = [r.task for r in lines.select("line_no", F.spark_partition_id().alias("task")).collect()]
+        assert max(map(tasks.count, set(tasks))) < 1500
+        sentences = readers.read_conll(spark, str(tmp_path)).orderBy("sent_no").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.tokens for r in sentences] == [[f"w{i}" for i in range(a + 1, min(a + 7, 3000))] for a in range(0, 3000, 7)]
+
+
+def test_pieces_of_an_array_are_shuffled_few_times(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [{"i": i, "s": "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40)), "l": [i, str(i)]} for i in range(20000)]
+    (tmp_path / "a.json").write_text(json.dumps(rows))
+
+    def shuffled():
+        all_ = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(all_.apply(i).totalShuffleWrite() for i in range(all_.size()))
+
+    before = shuffled()
+    got = readers.read_json_records(spark, str(tmp_path), "i bigint, s string, l array<string>")
+    assert got.agg(F.sum("i"), F.count_distinct("s")).first() == (sum(range(20000)), 20000)
+    assert shuffled() - before < 7.5 * (tmp_path / "a.json").stat().st_size

@@ -35,7 +35,8 @@ def numbered_lines(spark: SparkSession, path: str, drop_blank: bool = False) ->
     )
     if drop_blank:
         raw = raw.where(F.trim("value") != "")
-    out = running(raw, ["file"], [F.col("_place")], F.col("_block"), cum="line_no")
+    cell = F.struct("_block", F.expr(f"_place div {LINES}"))
+    out = running(raw, ["file"], [F.col("_place")], cell, cum="line_no")
     return out.select("file", "line_no", "value")
 
 
