@@ -95,6 +95,57 @@ def test_components(spark):
     assert components.components(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_a_bucket_of_near_copies_makes_no_row_for_a_pair(spark, monkeypatch, block):
+    """120 texts around the limit: many pairs that signatures allow, of which some are links."""
+    r = random.Random(12)
+    base = words(r, 150)
+    texts = [" ".join(edited(random.Random(k), base, 40 + k % 17)) for k in range(120)]
+    sets = [minhash.shingle_set(t) for t in texts]
+    made = minhash.signatures(sets, minhash.FINE[0])
+    few = (made[:, : minhash.NIBBLES] & np.uint64(15)).astype(np.uint64)
+    short = (few[:, ::2] << np.uint64(4) | few[:, 1::2]).astype(np.uint8).view(np.int64)
+    nodes = [minhash.fingerprint(s) for s in sets]
+    assert len(set(nodes)) == len(nodes)
+    known = [(n, n, len(s), x.tolist(), s.view(np.int64).tolist()) for n, s, x in zip(nodes, sets, short, strict=True)]
+    known = spark.createDataFrame(known, "node binary, root binary, n_shingles long, nibbles array<long>, items array<long>")
+    pieces = -(-len(nodes) // block)
+    rows = known.drop("items").selectExpr("*", f"{pieces}L AS pieces", "explode(array(1L, 2L, 3L)) AS bucket")
+
+    met = minhash.alike(rows).distinct().collect()
+    links = minhash.forests(spark.createDataFrame(met, "part binary, side int, node binary").join(known, "node")).collect()
+    want = {}
+    pairs = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            k = len(np.intersect1d(a, sets[j]))
+            pairs += 100 * k >= 65 * (len(a) + len(sets[j]) - k)
+            if 100 * k >= 75 * (len(a) + len(sets[j]) - k):
+                want.setdefault(nodes[i], set()).add(nodes[j])
+    assert pairs > 2000 and want
+    assert len(met) <= rows.count() * pieces
+    if pieces == 1:
+        assert len(met) <= len(nodes)  # the same part in three buckets is one
+        assert len(links) < len(nodes)
+    assert _roots(nodes, [(x["u"], x["v"]) for x in links]) == _roots(nodes, [(u, v) for u in want for v in want[u]])
+
+
+def _roots(nodes, links):
+    root = {n: n for n in nodes}
+    for u, v in links:
+        a, b = sorted((root[u], root[v]))
+        if a != b:
+            root = {n: a if x == b else x for n, x in root.items()}
+    return root
+
+
+def test_first_of_each_group_reads_texts_without_shuffling_them(spark, copies):
+    kept = minhash.keep_first(docs(spark, copies))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert {r["doc_id"] for r in kept.collect()} == {c for _, c in near(copies)}
+
+
 def test_groups_of_awkward_rows(spark):
     d = awkward(spark)
     rows = minhash.groups(d).collect()

@@ -12,12 +12,14 @@ shares most buckets, and components are formed; so large groups of copies never
 pairs.  Nodes whose buckets still hold several components, such as documents that merely share a
 frequent line, get longer signatures with wider bands, which tell 75 % from a half far better.
 There neighbours in a bucket are compared, and components are joined; and then all nodes of different
-components that share a bucket: blocks of the bucket meet in tasks of their own, and only pairs
-whose signatures agree well enough leave them.
+components that share a bucket: blocks of the bucket meet in tasks of their own.  No pair leaves them:
+nodes whose signatures agree well enough are one group, each a row of it, and a group that several
+buckets make is one.  The full sets of a group meet in one task, which gives the links of a forest.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -45,6 +47,7 @@ NIBBLES = 880
 MAY_DIFFER = ((1050, 244), (1750, 245), (3500, 248), (7000, 252))  # up to so many shingles
 MAY_DIFFER_ELSE = 257
 BLOCK = 512  # nodes of a bucket that meet the same others
+BLOCK_SHINGLES = 1 << 20  # and about how many shingles they may have together
 CHUNK = 1 << 17  # shingles that offer together
 REMEMBERED = 500_000
 
@@ -266,22 +269,23 @@ def node_components(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFr
     top = members.groupBy("bucket").agg(F.max_by("node", F.struct("shared", "node")).alias("v"))
     pairs = members.join(top, "bucket").where("node != v").select(F.col("node").alias("u"), "v").distinct()
     pairs = fitting(nodes, pairs)
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    sets = stored(full_sets(docs, nodes.join(wanted, "node")), "sets")
-    links = confirmed(pairs, sets)
-    discard(sets)
     alone = members.select("node").distinct().withColumn("root", F.col("node"))
-    labels = merged(stored(alone, "labels"), links)
+    labels = stored(alone, "labels")
+    # The texts are read once, for all nodes that share a bucket; what follows takes the sets.
+    wanted = stored(nodes.join(labels, "node").select("doc_id", "node"), "wanted")
+    met = stored(full_sets(docs, wanted), "sets")
+    discard(wanted)
+    labels = merged(labels, confirmed(pairs, met))
 
     # Buckets that hold several components: their nodes meet again in finer bands.
     mixed = members.join(labels, "node").groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"))
     open_ = members.join(mixed.where("a != b").select("bucket"), "bucket").select("node").distinct()
-    # Their texts are read once; what follows takes the sets.
-    sets = stored(full_sets(docs, nodes.join(open_, "node")), "open-sets")
+    sets = stored(met.join(open_, "node", "left_semi"), "open-sets")
+    discard(met)
     discard(members)
     again = stored(fine_signatures(sets), "fine-signatures")
     places = again.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
-    crowded = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = places.groupBy("bucket").agg(F.count("*").alias("size"), _pieces().alias("pieces")).where("size > 1")
     fine = stored(places.join(crowded, "bucket"), "fine")
     short = again.select("node", "nibbles")
 
@@ -301,7 +305,11 @@ def node_components(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFr
     rows = fine.join(labels, "node")
     mixed = rows.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
     rows = rows.join(mixed.select("bucket"), "bucket").join(short, "node")
-    labels = _with_links(labels, again, alike(rows).distinct(), sets)
+    near = stored(alike(rows).distinct(), "alike")
+    if not near.isEmpty():
+        known = again.select("node", "n_shingles", "nibbles").join(labels, "node").join(sets, "node")
+        labels = merged(labels, forests(near.join(known, "node")))
+    discard(near)
     for used in (sets, again, fine):
         discard(used)
     return nodes, labels
@@ -312,42 +320,65 @@ def _with_links(labels: DataFrame, nodes: DataFrame, pairs: DataFrame, sets: Dat
     return labels if pairs.isEmpty() else merged(labels, confirmed(pairs, sets))
 
 
+def _pieces():
+    """Into how many blocks a bucket is cut."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES))
+
+
 def _piece():
-    return F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / BLOCK))
+    return F.pmod(F.xxhash64("node", "bucket"), F.col("pieces"))
 
 
 def alike(rows: DataFrame) -> DataFrame:
-    """Pairs (u, v) of ``bucket, size, node, root, n_shingles, nibbles`` that share a bucket, are of
-    different roots, and whose sizes and signatures allow 75 %.
+    """``part, side, node``: the nodes of ``bucket, pieces, node, root, n_shingles, nibbles`` that share
+    a bucket with one of another root, where sizes and signatures allow 75 %.
 
     A bucket is cut into blocks, and every two of them meet; so a row is sent once for each block of
-    its bucket, and no pair is formed that does not pass.
+    its bucket.  What leaves is at most a row for each that came: nodes connected by such pairs have
+    one ``part``, named by its nodes.  Of two blocks, only nodes of different ``side`` have met.
     """
-    pieces = F.ceil(F.col("size") / BLOCK)
-    d = rows.withColumn("own", _piece()).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    d = rows.withColumn("own", _piece()).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
     d = d.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "root", "n_shingles", "nibbles")
-    d = d.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    return _by_group(d, ["bucket", "a", "b"], _block_parts, "part binary, side int, node binary")
 
-    def run(batches):
-        left = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([left, t]).combine_chunks() if left is not None else t
-            key = np.stack([t.column(i).to_numpy() for i in range(3)])
-            ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            starts = [0, *ends.tolist()]
-            out = [p for at, end in zip(starts, starts[1:], strict=False) for p in _block_pairs(t.slice(at, end - at))]
-            left = t.slice(starts[-1])
-            yield _pairs_batch(out)
-        if left is not None:
-            yield _pairs_batch(_block_pairs(left))
 
-    return d.mapInArrow(run, "u binary, v binary")
+def forests(rows: DataFrame) -> DataFrame:
+    """Links (u, v) of ``part, side, node, root, n_shingles, nibbles, items``, confirmed on the full sets.
 
+    Nodes already in one tree are not compared again, so a part of n nodes gives n - 1 links at most.
+    """
+    d = rows.select("part", "side", "node", "root", "n_shingles", "nibbles", "items")
+    return _by_group(d, ["part"], _part_links, "u binary, v binary")
+
+
+def _by_group(rows: DataFrame, keys: list[str], made, schema: str) -> DataFrame:
+    """``made`` of the table of each group of rows with equal keys."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = T.StructType.fromDDL(schema)
+    kinds = [pa.int32() if f.dataType == T.IntegerType() else pa.binary() for f in types]
+
+    def batch_of(found):
+        cols = [pa.array([row[i] for row in found], type=kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    def run(batches):
+        waiting: list = []  # batches of the group that the last one ended with
+        last = None
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in keys]
+            key = list(zip(*columns, strict=True))
+            at = 0
+            while at < len(key):
+                end = bisect.bisect_right(key, key[at], lo=at) if key[-1] != key[at] else len(key)
+                if waiting and key[at] != last:
+                    yield batch_of(made(pa.Table.from_batches(waiting)))
+                    waiting = []
+                waiting.append(batch.slice(at, end - at))
+                last, at = key[at], end
+        if waiting:
+            yield batch_of(made(pa.Table.from_batches(waiting)))
 
-def _pairs_batch(pairs: list) -> pa.RecordBatch:
-    ends = [pa.array([p[i] for p in pairs], type=pa.binary()) for i in (0, 1)]
-    return pa.RecordBatch.from_arrays(ends, names=["u", "v"])
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 _totals = np.array([total for total, _ in MAY_DIFFER])
@@ -355,25 +386,64 @@ _limits = np.array([most for _, most in MAY_DIFFER] + [MAY_DIFFER_ELSE])
 _unequal = np.array([(x > 15) + (x & 15 > 0) for x in range(256)], dtype=np.uint8)  # nibbles of a byte that are set
 
 
-def _block_pairs(t: pa.Table) -> list[tuple[bytes, bytes]]:
-    """The pairs of one task of ``alike``: of one block, or across two."""
-    own, n = t.column("own").to_numpy(), t.column("n_shingles").to_numpy()
-    root = np.unique(np.array(t.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
-    if root.max() == 0:
-        return []
-    nodes = t.column("node").to_pylist()
-    short = t.column("nibbles").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1).view(np.uint8)
-    across = t.column("a")[0] != t.column("b")[0]
-    index, out = np.arange(len(nodes)), []
-    for i in range(len(nodes)):
-        fits = (index > i) & (root != root[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
-        if across:
-            fits &= own != own[i]
+class _Meeting:
+    """The nodes of a table, with the trees they are in: those of one root at first."""
+
+    def __init__(self, t: pa.Table, side: np.ndarray):
+        self.nodes = t.column("node").to_pylist()
+        self.side, self.n = side, t.column("n_shingles").to_numpy()
+        self.tree = np.unique(np.array(t.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+        self.index = np.arange(len(self.nodes))
+        if self.tree.max():
+            nibbles = t.column("nibbles").combine_chunks().flatten().to_numpy()
+            self.short = nibbles.reshape(len(self.nodes), -1).view(np.uint8)
+
+    def near(self, i: int) -> np.ndarray:
+        """Later nodes in another tree that the signatures allow to be like node i."""
+        n, side = self.n, self.side
+        fits = (self.index > i) & (self.tree != self.tree[i]) & ((side == 0) | (side != side[i]))
+        fits &= 100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])
         near = np.flatnonzero(fits)
-        if len(near):
-            most = _limits[np.searchsorted(_totals, n[near] + n[i])]
-            near = near[_unequal[short[near] ^ short[i]].sum(axis=1, dtype=np.int64) <= most]
-            out += [(nodes[i], nodes[j]) for j in near.tolist()]
+        if not len(near):
+            return near
+        most = _limits[np.searchsorted(_totals, n[near] + n[i])]
+        return near[_unequal[self.short[near] ^ self.short[i]].sum(axis=1, dtype=np.int64) <= most]
+
+
+def _block_parts(t: pa.Table) -> list[tuple[bytes, int, bytes]]:
+    """The rows of one task of ``alike``: of one block (side 0), or across two (sides 1 and 2)."""
+    own, a, b = (t.column(c).to_numpy() for c in ("own", "a", "b"))
+    m = _Meeting(t, np.zeros(len(own), dtype=np.int64) if a[0] == b[0] else 1 + (own == b))
+    if not m.tree.max():
+        return []
+    group = m.index.copy()
+    for i in m.index.tolist():
+        for j in m.near(i).tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+    out = []
+    for g in np.flatnonzero(np.bincount(group) > 1).tolist():
+        rows = sorted((int(m.side[k]), m.nodes[k]) for k in np.flatnonzero(group == g).tolist())
+        part = xxhash.xxh3_128_digest(b"".join(bytes([side]) + node for side, node in rows))
+        out += [(part, side, node) for side, node in rows]
+    return out
+
+
+def _part_links(t: pa.Table) -> list[tuple[bytes, bytes]]:
+    """The links of one task of ``forests``."""
+    m = _Meeting(t, t.column("side").to_numpy())
+    items = t.column("items").combine_chunks()
+    ends, values = items.offsets.to_numpy(), items.values.to_numpy()
+    sets = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    out = []
+    for i in m.index.tolist():
+        for j in m.near(i).tolist():
+            if m.tree[j] == m.tree[i]:
+                continue
+            k = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * k >= PERCENT * (len(sets[i]) + len(sets[j]) - k):
+                out.append((m.nodes[i], m.nodes[j]))
+                m.tree[m.tree == m.tree[j]] = m.tree[i]
     return out
 
 
@@ -432,12 +502,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     rows = stored(signed(docs), "signed")
     found = stored(_grouped(docs, rows), "grouped")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    again = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    again = stored(again.select(F.col("doc_id").alias("_again")), "repeated")
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    once = left.join(again, left["doc_id"] == again["_again"], "left_anti")
-    more = left.join(again, left["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
+    known = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_marked"))
+    marks = known.agg(F.count("*").alias("n"), F.every("kept").alias("first")).where("n > 1 OR NOT first")
+    # Their size is known once they are stored, so texts are shuffled only where they are many.
+    marked = stored(marks.select("_marked"), "marked")
+    again = stored(marks.where("first").select("_marked"), "repeated")
+    once = docs.join(marked, docs["doc_id"] == marked["_marked"], "left_anti")
+    more = docs.join(again, docs["doc_id"] == again["_marked"], "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(more)
 
 
