@@ -8,9 +8,11 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import awkward, docs, empty
 from uttermark.llm import chaining, components, deepshallow, minhash, substrings
+from uttermark.llm.common import sifted
 
 
 def words(r, n, size=3000):
@@ -146,6 +148,34 @@ def test_first_of_each_group_reads_texts_without_shuffling_them(spark, copies):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c in near(copies)}
 
 
+def test_first_of_each_group_shuffles_marked_texts_only(spark, copies, monkeypatch):
+    """Also where the marked ids are too many to broadcast: a filter of bounded size goes first."""
+    monkeypatch.setattr(minhash, "FEW", 0)
+    d = docs(spark, [*copies, *[f"a text of its own, number {i} of them" for i in range(300)]])
+    d = d.unionByName(d.where("doc_id % 10 = 0")).withColumn("a.b", F.lit(1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = minhash.keep_first(d)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        rows = kept.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
+    assert kept.columns == d.columns
+    want = sorted({c for _, c in near(copies)} | set(range(len(copies), len(copies) + 300)))
+    assert sorted(r["doc_id"] for r in rows) == want
+
+
+def test_sifted_keeps_every_row_and_all_with_a_key(spark):
+    rows = spark.range(50_000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("k"), "id")
+    keys = spark.range(0, 50_000, 11).select(F.col("id").alias("k"))
+    maybe, no = sifted(rows, keys)
+    assert maybe.columns == no.columns == ["k", "id"]
+    assert maybe.count() + no.count() == 50_000
+    assert no.join(keys, "k").count() == 0 and no.where("k IS NULL").count() == rows.where("k IS NULL").count()
+    assert maybe.count() < 1.1 * keys.count()
+
+
 def test_groups_of_awkward_rows(spark):
     d = awkward(spark)
     rows = minhash.groups(d).collect()

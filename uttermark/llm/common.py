@@ -71,6 +71,24 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def sifted(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose key may be in the only column of ``keys``, and those whose key,
+    the column of that name, is not there (null keys are not).
+
+    A bit per hash of a key tells them apart, 2^24 bits and so some megabytes at most, whatever the
+    number of keys.  So a join with keys that are too many to broadcast shuffles the first rows alone.
+    """
+    (key,) = keys.columns
+    cell, bits = fresh(rows, "_cell", "_bits")
+    h = F.xxhash64(key)
+    place = F.shiftrightunsigned(h, 58).cast("int")
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    marks = keys.where(F.col(key).isNotNull()).groupBy(F.pmod(h, F.lit(1 << 18)).alias(cell)).agg(F.bit_or(mark).alias(bits))
+    both = rows.withColumn(cell, F.pmod(h, F.lit(1 << 18))).join(F.broadcast(stored(marks, "marks")), cell, "left")
+    hit = F.col(key).isNotNull() & (F.coalesce(F.getbit(bits, place), F.lit(0)) == 1)
+    return both.where(hit).drop(cell, bits), both.where(~hit).drop(cell, bits)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from uttermark.llm.common import discard, stored
+from uttermark.llm.common import discard, fresh, sifted, stored
 from uttermark.llm.components import merged
 
 SHINGLE = 5
@@ -49,7 +49,8 @@ MAY_DIFFER_ELSE = 257
 BLOCK = 512  # nodes of a bucket that meet the same others
 BLOCK_SHINGLES = 1 << 20  # and about how many shingles they may have together
 CHUNK = 1 << 17  # shingles that offer together
-REMEMBERED = 500_000
+FEW = 10_000  # ids that are broadcast as they are
+REMEMBERED = 100_000  # words, some 15 MB in each Python process
 
 _word = re.compile(rb"[^\x20\x09-\x0D]+")
 _u64 = np.uint64
@@ -189,23 +190,27 @@ def fingerprint(s: np.ndarray) -> bytes | None:
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, items`` of the wanted nodes, made anew from the texts of their first documents."""
-    hits = docs.select("doc_id", "text").join(wanted.select("doc_id", "node"), "doc_id")
+    texts, _ = sifted(docs.select("doc_id", "text"), wanted.select("doc_id"))
+    hits = texts.join(wanted.select("doc_id", "node"), "doc_id")
+    hits = hits.dropDuplicates(["doc_id", "node", "text"])  # where the join has dealt them out by id
     schema = "node binary, items array<bigint>"
 
     def run(batches):
         for batch in batches:
-            nodes, items = [], []
-            for text, node in zip(batch.column("text").to_pylist(), batch.column("node").to_pylist(), strict=True):
-                s = shingle_set(text)
-                if fingerprint(s) == node:  # another row may share the id
-                    nodes.append(node)
-                    items.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, type=pa.binary()), pa.array(items, type=pa.list_(pa.int64()))],
-                names=["node", "items"],
-            )
+            for at in range(0, len(batch), 2000):
+                nodes, items = [], []
+                rows = batch.slice(at, 2000)
+                for text, node in zip(rows.column("text").to_pylist(), rows.column("node").to_pylist(), strict=True):
+                    s = shingle_set(text)
+                    if fingerprint(s) == node:  # another row may share the id
+                        nodes.append(node)
+                        items.append(s.view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes, type=pa.binary()), pa.array(items, type=pa.list_(pa.int64()))],
+                    names=["node", "items"],
+                )
 
-    return hits.mapInArrow(run, schema).dropDuplicates(["node"])
+    return hits.mapInArrow(run, schema)
 
 
 def fine_signatures(sets: DataFrame) -> DataFrame:
@@ -280,7 +285,10 @@ def node_components(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFr
     # Buckets that hold several components: their nodes meet again in finer bands.
     mixed = members.join(labels, "node").groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"))
     open_ = members.join(mixed.where("a != b").select("bucket"), "bucket").select("node").distinct()
-    sets = stored(met.join(open_, "node", "left_semi"), "open-sets")
+    open_ = stored(open_, "open")
+    sets = sifted(met, open_)[0].join(open_, "node", "left_semi")
+    sets = stored(sets.dropDuplicates(["node"]), "open-sets")  # different texts under one id may have one set
+    discard(open_)
     discard(met)
     discard(members)
     again = stored(fine_signatures(sets), "fine-signatures")
@@ -502,14 +510,17 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     rows = stored(signed(docs), "signed")
     found = stored(_grouped(docs, rows), "grouped")
-    known = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_marked"))
-    marks = known.agg(F.count("*").alias("n"), F.every("kept").alias("first")).where("n > 1 OR NOT first")
-    # Their size is known once they are stored, so texts are shuffled only where they are many.
-    marked = stored(marks.select("_marked"), "marked")
-    again = stored(marks.where("first").select("_marked"), "repeated")
-    once = docs.join(marked, docs["doc_id"] == marked["_marked"], "left_anti")
-    more = docs.join(again, docs["doc_id"] == again["_marked"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more)
+    (first,) = fresh(docs, "_first")
+    known = found.where("doc_id IS NOT NULL").groupBy("doc_id")
+    marks = known.agg(F.count("*").alias("n"), F.every("kept").alias(first)).where(F.expr("n > 1") | ~F.col(first))
+    marks = stored(marks.drop("n"), "marked")
+    if marks.count() <= FEW:  # Spark broadcasts them: no text is shuffled
+        once = docs.join(marks.select("doc_id"), "doc_id", "left_anti")
+        more = docs.join(marks.where(first).select("doc_id"), "doc_id", "left_semi")
+    else:  # only texts are shuffled whose id is marked, or shares the bit of one that is
+        asked, once = sifted(docs, marks.select("doc_id"))
+        more = asked.join(marks, "doc_id", "left").where(F.coalesce(first, F.lit(True))).drop(first)
+    return once.unionByName(more.dropDuplicates(["doc_id", "text"]))
 
 
 NEAR_SQL = r"""
