@@ -10,7 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import awkward, empty
-from uttermark.llm import bpe, piece_counts
+from uttermark.llm import bpe, minhash, piece_counts
 from uttermark.llm.queries import PIECES, WORD_BPE
 
 PARTS = [
@@ -93,3 +93,12 @@ def test_digests(spark):
     ids = Tokenizer.from_file(path).encode("Hello, world", add_special_tokens=False).ids
     assert r["n_tokens"] == len(ids)
     assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+
+def test_what_a_process_remembers_between_tasks_is_bounded():
+    """Python processes are kept from stage to stage, and so is what they remember."""
+    coder = bpe.tokenizer(public_tokenizers.path(WORD_BPE))
+    for i in range(0, 160_000, 1000):
+        coder.encode(" ".join(f"w{i + k}" for k in range(1000)))
+        minhash.shingle_set(" ".join(f"w{i + k}" for k in range(1000)))
+    assert max(map(len, (coder.known, coder.chunks, minhash._hashes))) <= 102_000

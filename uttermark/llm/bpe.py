@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 #: Words whose tokens are remembered by one worker; the memory is emptied when full.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 TOGETHER = 256  # texts that a worker holds in all their forms at a time
 
 
