@@ -102,3 +102,13 @@ def test_what_a_process_remembers_between_tasks_is_bounded():
         coder.encode(" ".join(f"w{i + k}" for k in range(1000)))
         minhash.shingle_set(" ".join(f"w{i + k}" for k in range(1000)))
     assert max(map(len, (coder.known, coder.chunks, minhash._hashes))) <= 102_000
+
+
+def test_words_in_use_are_remembered_when_the_memory_is_full():
+    coder = bpe.WordBpe(public_tokenizers.path(WORD_BPE))
+    cut, seen = coder.encode_word, []
+    coder.encode_word = lambda data: seen.append(data) or cut(data)
+    for i in range(0, 250_000, 1000):
+        coder.encode("Usedagain, usedagain " + " ".join(f"w{i + k}" for k in range(1000)))
+        assert len(coder.known) + len(coder.known.before) <= 2 * 102_000
+    assert seen.count(b"usedagain") == 1

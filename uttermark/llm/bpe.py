@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-#: Words whose tokens are remembered by one worker; the memory is emptied when full.
+#: Stretches whose tokens one worker remembers; when twice as many are there, those not used since go.
 REMEMBERED = 100_000
+PAIRS = 250_000  # pairs of tokens that a worker remembers
 TOGETHER = 256  # texts that a worker holds in all their forms at a time
 
 
@@ -92,12 +93,11 @@ class WordBpe:
         self.text = np.frombuffer(b"".join(names), dtype=np.uint8)
         self.offset = np.zeros(size + 1, dtype=np.int64)
         np.cumsum([len(n) for n in names], out=self.offset[1:])
-        self.known = _Memory(self._word)
-        self.chunks = _Memory(self._chunk)
+        self.known = self.chunks = _Memory(self._chunk)  # of words and of what stands between blanks
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the text of both tokens gives back just these two."""
-        if len(self.compatible) > REMEMBERED:
+        if len(self.compatible) > PAIRS:
             self.compatible.clear()
         found = self.compatible[left, right] = self._fits(left, right)
         return found
@@ -132,31 +132,34 @@ class WordBpe:
         compatible = self.compatible
         out: list[int] = []
         dead: set[int] = set()  # places that no token sequence leads on from
-        at, token = 0, next(longest(s, 0))[1]
-        while at < n:
+        follow = longest(s)  # goes on by itself behind each longest entry
+        at, left, cut, token = 0, -1, False, next(follow)[1]
+        while True:
             while token >= 0:
                 end = at + length[token]
                 if end not in dead:
-                    if not out:
+                    if left < 0:
                         break
-                    pair = (out[-1], token)
-                    fits = compatible.get(pair)
+                    fits = compatible.get((left, token))
                     if fits is None:
-                        fits = self.fits(*pair)
+                        fits = self.fits(left, token)
                     if fits:
                         break
-                token = shorter[token]
+                token, cut = shorter[token], True
             if token >= 0:
                 out.append(token)
-                at = end
-                if at < n:
-                    token = next(longest(s, at))[1]
+                if end == n:
+                    return out
+                at, left = end, token
+                if cut:
+                    follow, cut = longest(s, at), False
+                token = next(follow)[1]
             else:  # nothing may follow here: give up this place and shorten the token before
                 dead.add(at)
                 token = out.pop()
                 at -= length[token]
-                token = shorter[token]
-        return out
+                left = out[-1] if out else -1
+                token, cut = shorter[token], True
 
     def encode(self, text: str | None) -> bytes:
         """Token ids of a text, as little-endian unsigned 32-bit integers."""
@@ -173,23 +176,26 @@ class WordBpe:
 
     def _plain(self, text: str) -> bytes:
         # No word holds a blank, and no letter changes next to one, so the text may be cut there.
-        chunks = self.chunks
-        found = b"".join([chunks[c] for c in text.replace("\n", " ").split(" ")])
-        if len(chunks) > REMEMBERED:
-            chunks.clear()
+        known = self.known
+        found = b"".join([known[c] for c in text.replace("\n", " ").split(" ")])
+        if len(known) > REMEMBERED:
+            known.turn()
         return found
 
     def _chunk(self, text: str) -> bytes:
+        plain = text
         if not text.isascii():
             if self.young.search(text):
                 return self._by_library(text)
-            text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # lower case letter by letter, without final sigma
+            plain = unicodedata.normalize("NFC", text)
+            plain = plain.replace("Σ", "σ")  # lower case letter by letter, without final sigma
+        plain = plain.lower()
+        words = [plain] if plain.isascii() and plain.isalpha() else self.words.findall(plain)
+        if words == [text]:
+            return self._word(text)
+        # A word cut from a chunk is, as a chunk, that word alone, so one memory serves both.
         known = self.known
-        found = b"".join([known[w] for w in self.words.findall(text.lower())])
-        if len(known) > REMEMBERED:
-            known.clear()
-        return found
+        return b"".join([known[w] for w in words])
 
     def _word(self, word: str) -> bytes:
         ids = array("I", self.encode_word(word.encode()))
@@ -199,7 +205,7 @@ class WordBpe:
 
     def _by_library(self, text: str) -> bytes:
         words = self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(text))
-        return b"".join([self.known[bytes(map(self.letters.get, w)).decode()] for w, _ in words])
+        return b"".join([self._word(bytes(map(self.letters.get, w)).decode()) for w, _ in words])
 
     def decode(self, ids: bytes) -> str:
         """The tokens' texts with blanks between them, gathered through the offset table."""
@@ -223,15 +229,23 @@ def _young_letters() -> str:
 
 
 class _Memory(dict):
-    """Remembers what ``make`` gave."""
+    """Remembers what ``make`` gave, and until the next ``turn`` what was there before the last one."""
 
     def __init__(self, make):
         self.make = make
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        found = self[text] = self.make(text)
+        found = self.before.get(text)
+        if found is None:
+            found = self.make(text)
+        self[text] = found
         return found
 
+    def turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordBpe:
