@@ -6,20 +6,15 @@ engine: one aggregation for the model, one join and one aggregation for the scor
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from uttermark.functions.util import unnest
+from uttermark.operators import logistic
 from uttermark.operators.match import overlap_partition
 from uttermark.operators.metrics import accuracy
 from uttermark.session import sized
 
-ALL_WORDS = (1 << 31) - 1  # a vocabulary size that keeps every word
-
-
 def nb_counts(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Word counts ``(cell, class, tok, c)`` and class sizes ``(cell, class, n_docs)``.
 
@@ -109,25 +104,9 @@ def intent_sweep(train: DataFrame, test: DataFrame, key: str, label: str = "clas
 def intent_sweep_logreg(
     train: DataFrame, test: DataFrame, cells: list[str]
 ) -> DataFrame:
-    """The same table from logistic regression: one distributed fit per cell, on counts of
+    """The same table from logistic regression: all cells fitted in the same jobs, on counts of
     every word of the cell (no hashing, so no two words share a feature)."""
-    out = None
-    for cell in cells:
-        rows = train.where(F.array_contains("cells", cell))
-        model = Pipeline(
-            stages=[
-                StringIndexer(inputCol="class", outputCol="_y", handleInvalid="keep"),
-                CountVectorizer(inputCol="tokens", outputCol="_x", vocabSize=ALL_WORDS),
-                LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=20, regParam=0.01),
-            ]
-        ).fit(rows)
-        scored = model.transform(test).withColumn("_ok", (F.col("prediction") == F.col("_y")).cast("int"))
-        r = scored.agg(
-            F.lit(cell).alias("cell"), F.count(F.lit(1)).alias("n_test"),
-            F.sum("_ok").alias("n_correct"), F.avg("_ok").alias("accuracy"),
-        )
-        out = r if out is None else out.unionByName(r)
-    return out
+    return logistic.sweep(train, test, cells)
 
 
 def partition_baseline(train: DataFrame, test: DataFrame, key: str, text: str) -> DataFrame:

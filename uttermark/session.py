@@ -41,7 +41,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove what this application has put below ``scratch_path``; for the end of a run."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    _remove(spark, _run_folder(spark))
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -61,7 +65,14 @@ def sized(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._sized_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table of ``sized`` that no plan in use reads any more."""
+    _remove(table.sparkSession, table._sized_at)
 
 
 def literal_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
