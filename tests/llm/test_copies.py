@@ -97,6 +97,20 @@ def test_components(spark):
     assert components.components(d.limit(0)).count() == 0
 
 
+def test_few_links_take_no_rounds_and_give_the_components_of_the_rounds(spark, monkeypatch):
+    r = random.Random(8)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)]
+    d = spark.createDataFrame(links, "u long, v long").repartition(7)
+    made, keep = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: made.append(name) or keep(df, name))
+    short = {tuple(x) for x in components.components(d).collect()}
+    assert made == ["links", "forest"]
+    monkeypatch.setattr(components, "FEW", 10)
+    assert {tuple(x) for x in components.components(d).collect()} == short
+    assert made.count("stars") > 1
+
+
+
 @pytest.mark.parametrize("block", [512, 7])
 def test_a_bucket_of_near_copies_makes_no_row_for_a_pair(spark, monkeypatch, block):
     """120 texts around the limit: many pairs that signatures allow, of which some are links."""

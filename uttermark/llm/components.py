@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from uttermark.llm.common import discard, stored
 
+FEW = 50_000  # links that one task takes together, some megabytes
+
 
 def _forest(pairs):
     """Union-find over the links of one partition: (node, smallest node of its tree)."""
@@ -54,11 +56,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn, both in one plan a round: every node tells its
     neighbours the smallest node it knows.  A node's neighbours are never gathered, only their
-    minimum; the number of rounds is about the logarithm of the longest path.
+    minimum; the number of rounds is about the logarithm of the longest path.  Once few links are
+    left, union-find over all of them ends the rounds.
     """
     edges, now = _told(local_forests(links.select("u", "v").where("u != v")).distinct(), "links")
     before = None
     while now[0] and now != before:
+        if now[0] <= FEW:
+            last, edges = edges, stored(local_forests(edges.coalesce(1)), "forest")
+            discard(last)
+            break
         last, before = edges, now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
