@@ -422,3 +422,69 @@ def test_hash_of_surroundings_is_that_of_the_words_alone():
     a, b = (chaining.word_hashes(" ".join(words(r, n, 10**6) + shared).encode()) for n in (7, 900))
     x, y = (chaining.surrounded(w, np.array([p + 50, p + 10, p + 70])) for w, p in ((a, 7), (b, 900)))
     assert x[0] == y[0] and x[1] != y[1] and x[2] == y[2] and x[0] != x[2]
+
+
+def test_stretches_of_one_word_are_compared_at_few_places(spark, monkeypatch):
+    r = random.Random(11)
+    texts = [[x for w in words(r, 6, 3) for x in [w] * r.randint(20, 40) + words(r, 30, 10**6)] for _ in range(8)]
+    shared = words(r, 30, 10**6) + ["w1"] * 30
+    for t in texts[:2]:
+        t[0:0] = shared
+    seen, compared = [], chaining.compared
+    monkeypatch.setattr(chaining, "compared", lambda kinds: seen.append(kinds.count()) or compared(kinds))
+    rows = chaining.repeated_passages(docs(spark, [" ".join(t) for t in texts])).collect()
+    assert 0 < sum(seen) < 500  # 652 without stand-ins
+    assert {x["doc_id"] for x in rows if x["start_word"] == 0 and x["n_words"] >= 60} == {0, 1}
+
+
+def test_one_seed_in_step_with_either_end_stands_for_a_stretch():
+    h = np.array([7] * 100 + [1, 2, 3] + [7] * 3, dtype=np.uint64)
+    place = np.array([*range(50, 150), 160, 162, 200, *range(400, 403)])
+    by = chaining.stand_ins(h, place)
+    own = np.flatnonzero(by == np.arange(len(h)))
+    assert {0, 99, 100, 101, 102, 103, 105} <= set(own.tolist()) and len(own) < 25
+    assert (h[by] == h).all() and (by[by] == by).all() and (place[own][1:] - place[own][:-1])[:16].max() < chaining.SAMPLED
+
+
+def test_seeds_of_several_texts_are_those_of_each():
+    r = random.Random(2)
+    for _ in range(50):
+        texts = [chaining.word_hashes(" ".join(words(r, r.choice([0, 1, 5, 19, 20, 21, 90]), r.choice([1, 3, 999]))).encode()) for _ in range(r.randint(1, 8))]
+        start = np.cumsum([0, *map(len, texts)])
+        h, place = chaining.seeds_of(texts)
+        each = [chaining.seeds(w) for w in texts]
+        assert h.tolist() == [x for one, _ in each for x in one.tolist()]
+        assert place.tolist() == [x + a for (_, at), a in zip(each, start) for x in at.tolist()]
+
+
+def extended(a, b):
+    i = j = hits = 0
+    end = (0, 0, 0)
+    while i < len(a) and j < len(b):
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j, hits = i + 1, j + 1, hits + 1
+            end = (i, j, hits)
+        for di, dj in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2)):
+            if a[i + di : i + di + 2] == b[j + dj : j + dj + 2] and len(a) > i + di + 1 and len(b) > j + dj + 1:
+                i, j = i + di, j + dj
+                break
+        else:
+            break
+    return end
+
+
+def test_many_pairs_are_extended_as_one_by_one():
+    r = random.Random(4)
+    pairs = []
+    for _ in range(200):
+        a = [r.randrange(4) for _ in range(r.randrange(60))]
+        b = [w if r.random() < 0.9 else 9 for w in a if r.random() < 0.95]
+        pairs.append((a, b))
+    x, y = (np.array([w for p in pairs for w in p[k]] + [0]) for k in (0, 1))
+    na, nb = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    a, b = np.cumsum(na) - na, np.cumsum(nb) - nb
+    on = chaining.extend(x, y, a, b, na, nb, np.ones(len(pairs), dtype=int))
+    back = chaining.extend(x, y, a + na - 1, b + nb - 1, na, nb, np.full(len(pairs), -1))
+    for k, (p, q) in enumerate(pairs):
+        assert tuple(on[:, k].tolist()) == extended(p, q)
+        assert tuple(back[:, k].tolist()) == extended(p[::-1], q[::-1])
