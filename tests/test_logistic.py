@@ -88,3 +88,30 @@ def test_no_word_comes_to_the_driver(tables, monkeypatch):
 def test_a_cell_without_rows_is_refused(tables):
     with pytest.raises(ValueError, match="nothing"):
         intent_sweep_logreg(*tables, ["all", "nothing"])
+
+
+def test_words_are_stored_in_few_bytes(spark):
+    r = random.Random(8)
+    rows = [(i, "ab"[i % 2], [True], False, [f"word{int(r.paretovariate(0.7))}" for _ in range(100)]) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "_no long, class string, member array<boolean>, test boolean, tokens array<string>")
+    cells = logistic.Cells([{"a": 500, "b": 500}])
+    stored = logistic._word_blocks(docs.repartition(1).sortWithinPartitions("_no"), cells, 2).where("b IS NOT NULL").collect()
+    entries = sum(len(set(row[-1])) for row in rows)
+    assert sum(len(x.place) + len(x.word) + len(x.n) for x in stored) < 6 * entries  # 16 unpacked
+
+
+def test_many_blocks_of_words_share_few_shelves(tables, monkeypatch):
+    names = ["all", "half", "two"]
+    monkeypatch.setattr(logistic, "STEPS", 3)
+    monkeypatch.setattr(logistic, "BLOCK", 64)
+    want = intent_sweep_logreg(*tables, names).collect()
+    monkeypatch.setattr(logistic, "WORDS", 100)
+    sent, gradient = [], logistic._step
+
+    def watched(state, words, cells, points, blocks):
+        sent.append((blocks, words.select("g").distinct().count()))
+        return gradient(state, words, cells, points, blocks)
+
+    monkeypatch.setattr(logistic, "_step", watched)
+    assert sorted(intent_sweep_logreg(*tables, names).collect()) == sorted(want)
+    assert all(blocks > 30 and shelves <= max(8, -(-blocks // logistic.SHELF)) for blocks, shelves in sent)

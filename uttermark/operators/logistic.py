@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uttermark.functions.util import unnest
 from uttermark.session import discard, sized
 
 STEPS = 20
@@ -28,6 +30,7 @@ TOLERANCE = 1e-6
 HISTORY = 10
 BLOCK = 1024  # documents of a block
 WORDS = 1 << 23  # words in their places that a block of words has about
+SHELF = 4  # blocks of words that a task of a step goes through
 TOGETHER = 1 << 20  # entries that are added up at a time
 
 
@@ -90,6 +93,26 @@ def _numbers(value, kind=np.float64) -> np.ndarray:
     return np.frombuffer(value, dtype=kind)
 
 
+def _packed(value: np.ndarray, kind) -> bytes:
+    return zstandard.compress(value.astype(kind).tobytes(), 1)
+
+
+def _unpacked(value: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(value), dtype=kind)
+
+
+@contextmanager
+def _tidy(spark):
+    """What the jobs in it shuffle is removed after each of them, not when the driver's memory is swept."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _document_blocks(docs: DataFrame, cells: Cells) -> DataFrame:
     """``b, y, member, test, seen``: a row for each block of documents, its arrays packed."""
     labels, k = cells.labels, cells.k
@@ -109,59 +132,136 @@ def _document_blocks(docs: DataFrame, cells: Cells) -> DataFrame:
     return d.groupBy("b").applyInArrow(pack, "b long, y binary, member binary, test binary, seen binary")
 
 
+_BAG = "w long, b long, member binary, data binary, size binary, place binary, word binary, n binary"
+
+
+def _bags(docs: DataFrame, blocks: int) -> DataFrame:
+    """``_BAG``: the words of a block of words that some documents of a block have.
+
+    ``data`` and ``size`` are the different words, ``word`` is a number among them, ``place`` that of
+    the document, ``n`` how often it has the word.  A block of documents may be in several rows.
+    """
+
+    def run(batches):
+        for batch in batches:
+            no = batch.column(0).to_numpy()
+            cuts = [*np.flatnonzero(np.diff(no // BLOCK, prepend=-1)).tolist(), len(no)]
+            for a, z in zip(cuts, cuts[1:]):
+                yield from bags(no[a:z], batch.slice(a, z - a))
+
+    def bags(no, batch):
+        lists = batch.column(2)
+        doc = np.repeat(np.arange(len(no)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        tokens = lists.flatten().dictionary_encode()
+        known = tokens.indices.is_valid().to_numpy(zero_copy_only=False)
+        code = tokens.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[known]
+        words = [t.encode() for t in tokens.dictionary.to_pylist()]
+        if not len(code):
+            return
+        cell, n = np.unique(doc[known] * len(words) + code, return_counts=True)
+        doc, code = cell // len(words), cell % len(words)
+        member = np.zeros((BLOCK, len(batch.column(1)[0])), dtype=np.uint8)
+        member[no % BLOCK] = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(no), -1)
+        member = _packed(np.packbits(member), np.uint8)
+        w = np.array([xxhash.xxh3_64_intdigest(x) % blocks for x in words])
+        order = np.argsort(w[code], kind="stable")
+        ends = np.searchsorted(w[code[order]], np.arange(blocks + 1))
+        out = []
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            at = order[ends[k] : ends[k + 1]]
+            some, number = np.unique(code[at], return_inverse=True)
+            texts = [words[c] for c in some.tolist()]
+            size = np.array([len(x) for x in texts])
+            place = (no[doc[at]] % BLOCK).astype(np.int64)
+            out.append((
+                k, int(no[0]) // BLOCK, member, zstandard.compress(b"".join(texts), 1), _packed(size, np.int32),
+                _packed(place, np.int32), _packed(number, np.int32), _packed(n[at], np.int32),
+            ))
+        schema = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.binary()) for f in _BAG.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return docs.select("_no", "member", "tokens").mapInArrow(run, _BAG)
+
+
 def _word_blocks(docs: DataFrame, cells: Cells, blocks: int) -> DataFrame:
     """``w, b, place, word, n``: the counts of a block of words in a block of documents, packed.
 
-    The row without ``b`` has the words' scales and means in each cell.
+    The row without ``b`` has the words' scales and means in each cell.  Blocks of words that share the
+    shelf ``g`` are in one partition.
     """
     n = np.array(cells.n, dtype=float)
 
     def pack(key, table):
-        table = table.sort_by("_no").combine_chunks()
-        words = table["tok"].combine_chunks().dictionary_encode()
-        word, size = words.indices.to_numpy(zero_copy_only=False), len(words.dictionary)
-        no, count = table["_no"].to_numpy(), table["n"].to_numpy().astype(float)
-        member = table["member"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(no), len(n))
-        total, square = np.zeros((size, len(n))), np.zeros((size, len(n)))
-        for c in range(len(n)):
-            total[:, c] = np.bincount(word, count * member[:, c], size)
-            square[:, c] = np.bincount(word, count * count * member[:, c], size)
+        rows = sorted(table.to_pylist(), key=lambda r: (r["b"], r["place"], r["word"]))
+        numbers: dict[bytes, int] = {}
+        out, held, many = [], [], 0
+        total, square = np.zeros((0, len(n))), np.zeros((0, len(n)))
+
+        def add():
+            nonlocal total, square
+            word, count, member = (np.concatenate(x) for x in zip(*held))
+            grown = np.zeros((len(numbers) - len(total), len(n)))
+            total, square = np.concatenate([total, grown]), np.concatenate([square, grown])
+            for c in range(len(n)):
+                total[:, c] += np.bincount(word, count * member[:, c], len(numbers))
+                square[:, c] += np.bincount(word, count * count * member[:, c], len(numbers))
+
+        for row in rows:
+            data, ends = zstandard.decompress(row["data"]), np.cumsum(_unpacked(row["size"], np.int32)).tolist()
+            known = np.array([numbers.setdefault(data[a:z], len(numbers)) for a, z in zip([0, *ends], ends)])
+            place, count = _unpacked(row["place"], np.int32), _unpacked(row["n"], np.int32).astype(float)
+            word = known[_unpacked(row["word"], np.int32)]
+            member = np.unpackbits(_unpacked(row["member"], np.uint8))[: BLOCK * len(n)].reshape(BLOCK, len(n))
+            out.append((key[0].as_py(), row["b"], row["place"], _packed(word, np.int32), row["n"]))
+            held.append((word, count, member[place]))
+            many += len(word)
+            if many > TOGETHER:
+                add()
+                held, many = [], 0
+        if held:
+            add()
         mean = total / n
         spread = np.sqrt(np.maximum(square - n * mean * mean, 0) / np.maximum(n - 1, 1))
         scale = np.divide(1, spread, out=np.zeros_like(spread), where=spread > 1e-12)
-        out = [(key[0].as_py(), None, scale.tobytes(), None, mean.tobytes())]
-        cuts = [*np.flatnonzero(np.diff(no // BLOCK, prepend=-1)), len(no)]
-        for a, z in zip(cuts, cuts[1:]):
-            place = (no[a:z] % BLOCK).astype(np.int32)
-            out.append((key[0].as_py(), int(no[a]) // BLOCK, place.tobytes(), word[a:z].astype(np.int32).tobytes(), count[a:z].tobytes()))
+        out.append((key[0].as_py(), None, scale.tobytes(), None, mean.tobytes()))
         return pa.table(dict(zip(("w", "b", "place", "word", "n"), map(list, zip(*out)))), schema=pa.schema([
             ("w", pa.int64()), ("b", pa.int64()), ("place", pa.binary()), ("word", pa.binary()), ("n", pa.binary()),
         ]))
 
-    bag = unnest(docs, ["_no", "member"], F.col("tokens"), "tok").where(F.col("tok").isNotNull())
-    bag = bag.withColumn("w", F.pmod(F.xxhash64("tok"), F.lit(blocks).cast("long"))).repartition(blocks, "w")
-    bag = bag.groupBy("w", "_no", "tok").agg(F.count(F.lit(1)).alias("n"), F.first("member").alias("member"))
-    packed = bag.groupBy("w").applyInArrow(pack, "w long, b long, place binary, word binary, n binary")
-    return packed.repartition(blocks, "w").sortWithinPartitions("w")
+    shelves = _shelves(docs, blocks)
+    packed = _bags(docs, blocks).groupBy("w").applyInArrow(pack, "w long, b long, place binary, word binary, n binary")
+    packed = packed.withColumn("g", F.pmod("w", F.lit(shelves).cast("long")))
+    return packed.repartition(shelves, "g").sortWithinPartitions("g", "w", "b")
+
+
+def _shelves(docs: DataFrame, blocks: int) -> int:
+    """Residuals go to each shelf of blocks of words, so there are no more than tasks and memory need."""
+    return min(blocks, max(docs.sparkSession.sparkContext.defaultParallelism, -(-blocks // SHELF)))
 
 
 def _gradient(cells: Cells):
-    """For one block of words: from residuals of all documents to their margins under the gradient."""
+    """For a shelf of blocks of words: from residuals of all documents to their margins under the gradient."""
     columns, cell = len(cells.sent), cells.cell
 
     def run(key, x, rest):
         blocks = rest["b"].to_pylist()
         r = {b: _numbers(v.as_py()).reshape(-1, columns) for b, v in zip(blocks, rest["rest"])}
-        weight, centre = np.zeros((0, columns)), np.zeros(columns)
-        rows = x.to_pylist()
-        for row in [row for row in rows if row["b"] is None]:
-            scale = _numbers(row["place"]).reshape(-1, len(cells.k))[:, cell]
-            mean = _numbers(row["n"]).reshape(-1, len(cells.k))[:, cell]
-            weight = -mean * sum(v.sum(axis=0) for v in r.values())
+        out = {b: np.zeros(v.shape) for b, v in r.items()}
+        shelf = defaultdict(list)
+        for row in x.to_pylist():
+            shelf[row["w"]].append(row)
+        for w in sorted(shelf):
+            block(shelf.pop(w), r, out)
+        return pa.table({"b": pa.array(blocks, pa.int64()), "part": [out[b].tobytes() for b in blocks]})
+
+    def block(rows, r, out):
+        (about,) = [row for row in rows if row["b"] is None]
+        scale, mean = (_numbers(about[name]).reshape(-1, len(cells.k)) for name in ("place", "n"))
         rows = [row for row in rows if row["b"] is not None]
+        weight = -mean[:, cell] * sum(v.sum(axis=0) for v in r.values())
         held, many = [], 0
         for i, row in enumerate(rows):
-            place, word, n = _numbers(row["place"], np.int32), _numbers(row["word"], np.int32), _numbers(row["n"])
+            place, word, n = (_unpacked(row[name], np.int32) for name in ("place", "word", "n"))
             held.append((word, r[row["b"]][place] * n[:, None]))
             many += len(n)
             if many > TOGETHER or i + 1 == len(rows):
@@ -170,15 +270,16 @@ def _gradient(cells: Cells):
                 for c in range(columns):
                     weight[:, c] += np.bincount(word, value[:, c], len(weight))
                 held, many = [], 0
-        if len(weight):
-            weight = weight * scale * scale
-            centre = (mean * weight).sum(axis=0)
-        out = {b: np.tile(-centre, (len(v), 1)) for b, v in r.items()}
+        centre = np.zeros(columns)
+        for c, of in enumerate(cell):
+            weight[:, c] *= scale[:, of] * scale[:, of]
+            centre[c] = (mean[:, of] * weight[:, c]).sum()
+        for v in out.values():
+            v -= centre
         for row in rows:
-            place, word, n = _numbers(row["place"], np.int32), _numbers(row["word"], np.int32), _numbers(row["n"])
+            place, word, n = (_unpacked(row[name], np.int32) for name in ("place", "word", "n"))
             first = np.flatnonzero(np.diff(place, prepend=-1))
             out[row["b"]][place[first]] += np.add.reduceat(weight[word] * n[:, None], first, axis=0)
-        return pa.table({"b": pa.array(blocks, pa.int64()), "part": [out[b].tobytes() for b in blocks]})
 
     return run
 
@@ -231,8 +332,9 @@ def _step(state: DataFrame, words: DataFrame, cells: Cells, points: list, blocks
         return pa.table({"b": pa.array([row["b"]], pa.int64()), **packed, "seen": [seen.tobytes()], "figures": [figures.tolist()]})
 
     rest = _mapped(state, cells, "b long, rest binary", residuals)
-    rest = rest.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("w"))
-    parts = words.groupBy("w").cogroup(rest.groupBy("w")).applyInArrow(_gradient(cells), "b long, part binary")
+    last = _shelves(state, blocks) - 1
+    rest = rest.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("g"))
+    parts = words.groupBy("g").cogroup(rest.groupBy("g")).applyInArrow(_gradient(cells), "b long, part binary")
     grown = state.groupBy("b").cogroup(parts.groupBy("b")).applyInArrow(
         add, "b long, y binary, member binary, test binary, seen binary, figures array<double>"
     )
@@ -420,10 +522,13 @@ def sweep(train: DataFrame, test: DataFrame, names: list[str]) -> DataFrame:
     cells = Cells([counts[i] for i in range(len(names))])
     places = docs.agg(F.sum(F.size(F.coalesce("tokens", F.array())))).first()[0] or 0
     blocks = max(docs.sparkSession.sparkContext.defaultParallelism, 1 + places // WORDS)
-    words = _word_blocks(docs, cells, blocks).persist(StorageLevel.DISK_ONLY)
-    state, points = _fit(sized(_document_blocks(docs, cells), "logistic"), words, cells, blocks)
-    words.unpersist()
-    discard(docs)
+    with _tidy(docs.sparkSession):
+        words = _word_blocks(docs, cells, blocks).persist(StorageLevel.DISK_ONLY)
+        words.count()
+        state = sized(_document_blocks(docs, cells), "logistic")
+        discard(docs)
+        state, points = _fit(state, words, cells, blocks)
+        words.unpersist()
 
     def score(row, d):
         margins = cells.margins(d.seen, points)
